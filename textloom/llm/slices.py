@@ -22,33 +22,41 @@ from .shared import Stored, arrow_batches
 #: A null doc_id comes after all others: it takes nothing from other documents.
 NO_ID = np.iinfo(np.int64).max
 
-_SLICE = pa.schema([("slice_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.binary()), ("text", pa.binary())])
+_SLICE = pa.schema([("slice_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.binary()), ("text", pa.binary()), ("rest", pa.binary())])
+_COLUMNS = "slice_id long, doc_ids array<long>, offsets binary, text binary, rest binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("slice_id", pa.int64()), ("payload", pa.binary())])
 _ANSWER = pa.schema([("slice_id", pa.int64()), ("bucket", pa.int32()), ("reply", pa.binary())])
 SENT, ANSWER = "bucket int, slice_id long, payload binary", "slice_id long, bucket int, reply binary"
 
 
 def _cut(batches):
-    compressor, part, count = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+    """Rows of (doc_id, text, other columns) to slices; the other columns are kept as an Arrow stream."""
+    compressor, part, count, size = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0, 0
     held: list[tuple] = []
 
     def row():
-        nonlocal count, held
+        nonlocal count, held, size
         ids = pa.concat_arrays([h[0] for h in held])
         text = np.concatenate([h[1] for h in held])
         ends = np.cumsum(np.concatenate([np.diff(h[2]) for h in held]))
         offsets = np.concatenate([[0], ends]).astype(np.int64)
-        slice_id, count, held = (part << 32) + count, count + 1, []
+        rest = None
+        if held[0][3].num_columns:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0][3].schema) as out:
+                for h in held:
+                    out.write_batch(h[3])
+            rest = compressor.compress(sink.getvalue().to_pybytes())
+        slice_id, count, size, held = (part << 32) + count, count + 1, 0, []
         lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        return pa.RecordBatch.from_arrays([pa.array([slice_id]), lists, pa.array([offsets.tobytes()], pa.binary()), pa.array([compressor.compress(text.tobytes())], pa.binary())], schema=_SLICE)
+        return pa.RecordBatch.from_arrays([pa.array([slice_id]), lists, *(pa.array([x], pa.binary()) for x in (offsets.tobytes(), compressor.compress(text.tobytes()), rest))], schema=_SLICE)
 
-    size = 0
     for batch in batches:
-        for rows, text, at in W.slices(batch, limit=W.SLICE_BYTES // 4):
-            held.append((rows.column(0).cast(pa.int64()), text.copy(), at))
+        for rows, text, at in W.slices(batch, "_text", limit=W.SLICE_BYTES // 4):
+            other = pa.RecordBatch.from_arrays(rows.columns[2:], schema=pa.schema(list(rows.schema)[2:]))
+            held.append((rows.column(0).cast(pa.int64()), text.copy(), at, other))
             size += len(text)
             if size >= W.SLICE_BYTES:
-                size = 0
                 yield row()
     if held:
         yield row()
@@ -57,13 +65,20 @@ def _cut(batches):
 class Slice:
     """One row of the slice table with the answers it has got."""
 
-    def __init__(self, slice_id: int, doc_ids: pa.Array, offsets: bytes, text: bytes, answers: list | None):
-        self.id, self.doc_ids = slice_id, doc_ids
+    def __init__(self, slice_id: int, doc_ids: pa.Array, offsets: bytes, text: bytes, rest: bytes | None, answers: list | None):
+        self.id, self.doc_ids, self._rest = slice_id, doc_ids, rest
         self.at = np.frombuffer(offsets, np.int64)
         self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
         self.docs = doc_ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
         self._answers = {(a["level"], a["bucket"]): a["reply"] for a in answers or ()}
 
+    def answer(self, level: int, bucket: int) -> bytes:
+        return self._answers.get((level, bucket), b"")
+
+    def rest(self) -> pa.Table:
+        """The other columns of its rows."""
+        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self._rest)).read_all()
+
     def bits(self, level: int, counts: np.ndarray) -> np.ndarray:
         """The answers of a level in the order in which the keys were sent."""
         out = [np.unpackbits(np.frombuffer(self._answers[level, b], np.uint8), count=n) for b, n in enumerate(counts.tolist()) if n]
@@ -72,9 +87,10 @@ class Slice:
 
 def read_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
     for batch in batches:
-        answers = batch.column(4) if batch.num_columns > 4 else None
+        answers = batch.column(5) if batch.num_columns > 5 else None
         for k in range(batch.num_rows):
-            yield Slice(batch.column(0)[k].as_py(), batch.column(1)[k].values if batch.column(1)[k].is_valid else pa.array([], pa.int64()), batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), answers[k].as_py() if answers is not None else None)
+            ids, (offsets, text, rest) = batch.column(1)[k].values, (batch.column(c)[k].as_py() for c in (2, 3, 4))
+            yield Slice(batch.column(0)[k].as_py(), ids, offsets, text, rest, answers[k].as_py() if answers is not None else None)
 
 
 def bucket_counts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -93,11 +109,11 @@ def sent(slice_id: int, counts: np.ndarray, payload: Callable[[int, int], bytes]
 
 
 class SliceTable:
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, keep_columns: bool = False):
         self.spark = docs.sparkSession
         arrow_batches(self.spark)
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.df = Stored(texts.mapInArrow(_cut, "slice_id long, doc_ids array<long>, offsets binary, text binary"), "slices").df
+        texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *(docs.columns if keep_columns else []))
+        self.df = Stored(texts.mapInArrow(_cut, _COLUMNS), "slices").df
         self.count = self.df.count()
         self.answers: DataFrame | None = None
 
@@ -110,11 +126,15 @@ class SliceTable:
         got = self.answers.groupBy("slice_id").agg(F.collect_list(F.struct("level", "bucket", "reply")).alias("answers"))
         return self.df.join(got, "slice_id", "left")
 
+    def add(self, level: int, replies: DataFrame) -> None:
+        """Answers (slice_id, bucket, reply) of a level that some other search has found."""
+        replies = replies.select("slice_id", F.col("bucket").cast("int").alias("bucket"), "reply", F.lit(level).alias("level"))
+        self.answers = replies if self.answers is None else self.answers.unionByName(replies)
+
     def ask(self, level: int, send: Callable, answer: Callable, label: str) -> None:
         """One search: ``send`` maps slices to SENT rows, ``answer`` maps a bucket's rows to ANSWER rows."""
         asked = self.rows().mapInArrow(send, SENT)
-        replies = Stored(asked.groupBy("bucket").applyInArrow(_as_tables(answer), ANSWER).withColumn("level", F.lit(level)), label).df
-        self.answers = replies if self.answers is None else self.answers.unionByName(replies)
+        self.add(level, Stored(asked.groupBy("bucket").applyInArrow(_as_tables(answer), ANSWER), label).df)
 
 
 def _as_tables(answer: Callable):
