@@ -33,6 +33,12 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"))
 
 
+def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -98,7 +104,7 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(7 + length(role) + 1 + size + 9) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
-""".replace("\\\\", "\\")
+"""
 
 
 def oracle_sql() -> dict[str, str]:
