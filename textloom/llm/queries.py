@@ -9,7 +9,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str = "word_bpe_49k.json") -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -24,7 +24,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), _tokenizer())
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
