@@ -5,8 +5,8 @@ words, or null, are the empty set, which is linked with nothing. One permutation
 least hash of each; an empty bin takes the value of the first filled bin in an order of its own, the same for every set.
 Bands of bins are buckets. A bucket proposes a star, each member with the bucket's least document, so that pairs grow with
 the members. Every proposed pair is confirmed on the full sets. Members that a star leaves in another component than
-others of their bucket get further stars, and in the end whatever is still apart in a bucket is compared, so a bucket
-loses no link. Equal sets are one node from the start.
+others of their bucket get further stars, and in the end whatever is still apart in a bucket is compared block by block,
+without a row for a pair, so a bucket loses no link. Equal sets are one node from the start.
 
 Rows with one doc_id are one document. An empty table gives no rows. Only ``doc_id`` and ``text`` are read."""
 
@@ -27,7 +27,9 @@ SIMILAR_PERCENT = 75
 BANDS, BAND_BINS = 36, 4
 BINS = BANDS * BAND_BINS
 #: Rounds of stars before what is left apart in a bucket is compared in full.
-STARS = 4
+STARS = 3
+#: Bytes of sets that a task holds at once in that comparison.
+BLOCK_BYTES = 4 << 20
 
 #: For each bin, the order in which it looks for a filled one.
 _LOOKS = np.argsort(W.mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(12345)).reshape(BINS, BINS), axis=1)
@@ -122,6 +124,64 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "one", "other").mapInArrow(_confirm, "a long, b long")
 
 
+class _Block:
+    """Some members of a bucket, which others are compared with."""
+
+    def __init__(self):
+        self.ids, self.labels, self.sets, self.hashes = [], [], [], None
+
+    def add(self, doc_id: int, label: int, hashes: np.ndarray) -> None:
+        self.ids.append(doc_id)
+        self.labels.append(label)
+        self.sets.append(hashes)
+
+    def links(self, doc_id: int, label: int, hashes: np.ndarray) -> list[tuple[int, int]]:
+        """A link to each other component that has one here; further links would join nothing more."""
+        if self.hashes is None:
+            sizes = np.array([len(s) for s in self.sets])
+            joint = np.concatenate(self.sets)
+            order = np.argsort(joint, kind="stable")
+            self.hashes, self.owners, self.sizes = joint[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes
+            self.labels = np.array(self.labels)
+        low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
+        n = high - low
+        met = self.owners[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        common = np.bincount(met, minlength=len(self.sizes))
+        good = np.flatnonzero((100 * common >= SIMILAR_PERCENT * (self.sizes + len(hashes) - common)) & (self.labels != label))
+        return [(doc_id, self.ids[k]) for k in good[np.unique(self.labels[good], return_index=True)[1]]]
+
+
+def _compare(batches):
+    at, block = None, _Block()
+    for batch in batches:
+        found = []
+        for key, part, far, doc_id, label, hashes in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            if (key, part) != at:
+                at, block = (key, part), _Block()
+            hashes = np.frombuffer(hashes, np.uint64)
+            if far:
+                found += block.links(doc_id, label, hashes) if block.ids else []
+            else:
+                block.add(doc_id, label, hashes)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], schema=_LINKS)
+
+
+def _compared(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links between components in each bucket, however many members it has, without a row for each pair.
+
+    A bucket's members are dealt to blocks of bounded size; those outside the bucket's largest component go by every
+    block, one after another."""
+    main = apart.groupBy("key", "label").count().groupBy("key").agg(F.expr("max_by(label, struct(count, -label))").alias("main"))
+    rows = apart.drop("main").join(main, "key").join(sets, "doc_id")
+    blocks = apart.join(sets.select("doc_id", F.length("hashes").alias("bytes")), "doc_id").groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    rows = Stored(rows.join(blocks, "key"), "compared").df
+    one = rows.select("key", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("part"), F.lit(False).alias("far"), "doc_id", "label", "hashes")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    far = rows.where("label <> main").select("key", every.alias("part"), F.lit(True).alias("far"), "doc_id", "label", "hashes")
+    dealt = one.unionByName(far).repartition("key", "part").sortWithinPartitions("key", "part", "far")
+    return dealt.mapInArrow(_compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -139,21 +199,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = buckets.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     links, labels = None, None
     for star in range(STARS + 1):
-        found = Stored(_confirmed(pairs, sets), "links").df
+        found = Stored(_confirmed(pairs, sets) if star < STARS else _compared(apart, sets), "links").df
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+        if star == STARS:
+            break
         apart = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
         # buckets whose members are in one component have nothing left to tell
         split = apart.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("last")).where("main < last").select("key", "main")
         apart = Stored(apart.join(split, "key"), "apart").df
-        if star == STARS or apart.limit(1).count() == 0:
+        if apart.limit(1).count() == 0:
             break
-        hubs = apart.where("label <> main").groupBy("key").agg(F.expr("min_by(struct(doc_id, label), xxhash64(doc_id, key))").alias("hub"))
+        hubs = apart.where("label <> main").groupBy("key").agg(F.expr(f"min_by(struct(doc_id, label), xxhash64(doc_id, {star}))").alias("hub"))
         pairs = apart.join(hubs, "key").where("label <> hub.label").select(F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct()
-    if apart.limit(1).count():
-        other = apart.select("key", F.col("doc_id").alias("b"), F.col("label").alias("other"))
-        pairs = apart.join(other, "key").where("label < other").select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-        labels = components(links.unionByName(Stored(_confirmed(pairs, sets), "links").df))
     classes = nodes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
