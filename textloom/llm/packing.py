@@ -181,10 +181,7 @@ def _words(text: np.ndarray, at: np.ndarray) -> W.Words:
     out.first = np.searchsorted(out.starts, at)
     out.counts = np.diff(out.first)
     out.rows = np.repeat(np.arange(len(at) - 1), out.counts)
-    offsets = np.zeros(len(out.starts) + 1, np.int32)
-    np.cumsum(out.ends - out.starts, out=offsets[1:])
-    encoded = pa.Array.from_buffers(pa.binary(), len(out.starts), [None, pa.py_buffer(offsets), pa.py_buffer(text[W.PLAIN[text]])]).dictionary_encode()
-    out.codes, out.distinct = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
+    out.text, out._inside = text, W.PLAIN[text]
     return out
 
 

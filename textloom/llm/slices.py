@@ -3,10 +3,11 @@
 A slice is a few MB of whole texts, kept as one compressed row. A search sends keys (hashes of windows) from every slice to
 buckets by hash, each distinct key once a slice, however often it occurs there. A bucket answers each slice with a bit per
 key. So a passage in a third of all documents costs one key a slice, no group of copies is ever gathered in one task, and
-buckets hold even shares whatever the text. The number of buckets follows the number of slices."""
+buckets hold even shares whatever the text. The number of buckets follows the bytes of text."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import Stored, arrow_batches
+from .shared import Stored, arrow_batches, new_folder
 
 #: A null doc_id comes after all others: it takes nothing from other documents.
 NO_ID = np.iinfo(np.int64).max
+SLICE_BYTES = BUCKET_BYTES = 2 << 20
 
-_SLICE = pa.schema([("slice_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.binary()), ("text", pa.binary()), ("rest", pa.binary())])
-_COLUMNS = "slice_id long, doc_ids array<long>, offsets binary, text binary, rest binary"
+_SLICE = pa.schema([("slice_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.binary()), ("text", pa.binary()), ("rest", pa.binary()), ("size", pa.int64())])
+_COLUMNS = "slice_id long, doc_ids array<long>, offsets binary, text binary, rest binary, size long"
 _SENT = pa.schema([("bucket", pa.int32()), ("slice_id", pa.int64()), ("payload", pa.binary())])
 _ANSWER = pa.schema([("slice_id", pa.int64()), ("bucket", pa.int32()), ("reply", pa.binary())])
 SENT, ANSWER = "bucket int, slice_id long, payload binary", "slice_id long, bucket int, reply binary"
@@ -49,14 +51,14 @@ def _cut(batches):
             rest = compressor.compress(sink.getvalue().to_pybytes())
         slice_id, count, size, held = (part << 32) + count, count + 1, 0, []
         lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        return pa.RecordBatch.from_arrays([pa.array([slice_id]), lists, *(pa.array([x], pa.binary()) for x in (offsets.tobytes(), compressor.compress(text.tobytes()), rest))], schema=_SLICE)
+        return pa.RecordBatch.from_arrays([pa.array([slice_id]), lists, *(pa.array([x], pa.binary()) for x in (offsets.tobytes(), compressor.compress(text.tobytes()), rest)), pa.array([len(text)])], schema=_SLICE)
 
     for batch in batches:
-        for rows, text, at in W.slices(batch, "_text", limit=W.SLICE_BYTES // 4):
+        for rows, text, at in W.slices(batch, "_text", limit=SLICE_BYTES // 4):
             other = pa.RecordBatch.from_arrays(rows.columns[2:], schema=pa.schema(list(rows.schema)[2:]))
             held.append((rows.column(0).cast(pa.int64()), text.copy(), at, other))
             size += len(text)
-            if size >= W.SLICE_BYTES:
+            if size >= SLICE_BYTES:
                 yield row()
     if held:
         yield row()
@@ -87,7 +89,7 @@ class Slice:
 
 def read_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
     for batch in batches:
-        answers = batch.column(5) if batch.num_columns > 5 else None
+        answers = batch.column(6) if batch.num_columns > 6 else None
         for k in range(batch.num_rows):
             ids, (offsets, text, rest) = batch.column(1)[k].values, (batch.column(c)[k].as_py() for c in (2, 3, 4))
             yield Slice(batch.column(0)[k].as_py(), ids, offsets, text, rest, answers[k].as_py() if answers is not None else None)
@@ -113,8 +115,14 @@ class SliceTable:
         self.spark = docs.sparkSession
         arrow_batches(self.spark)
         texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *(docs.columns if keep_columns else []))
-        self.df = Stored(texts.mapInArrow(_cut, _COLUMNS), "slices").df
-        self.count = self.df.count()
+        # a bucketed table: the slices are dealt by slice_id once, and the joins with their answers move answers alone
+        parts, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"slices_{uuid.uuid4().hex}"
+        dealt = texts.mapInArrow(_cut, _COLUMNS).repartition(parts, "slice_id")
+        dealt.write.bucketBy(parts, "slice_id").option("compression", "zstd").option("path", new_folder(self.spark, "slices")).saveAsTable(name)
+        self.df = self.spark.table(name)
+        self.size = self.df.agg(F.sum("size")).first()[0] or 0
+        #: Shares of a search's keys; a bucket holds about those of BUCKET_BYTES of text.
+        self.buckets = max(8, -(-self.size // BUCKET_BYTES))
         self.answers: DataFrame | None = None
 
     def rows(self) -> DataFrame:

@@ -54,7 +54,7 @@ class _Windows:
     def full(self):
         """The last level: distinct 96-bit keys in order, each with its smallest document here."""
         one = W.rolled(self.hashes, self.width)[self.starts]
-        other = (W.rolled(W.mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D)), self.width)[self.starts] >> np.uint64(32)).astype(np.uint32)
+        other = (W.rolled(self.words.hashes(1), self.width)[self.starts] >> np.uint64(32)).astype(np.uint32)
         docs = self.docs()
         order = np.lexsort((docs, other, one))
         one, other, docs = one[order], other[order], docs[order]
@@ -143,7 +143,7 @@ def _remove(width: int, buckets: int, with_text: bool):
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 and (if asked for) kept_text."""
     table = SliceTable(docs)
-    buckets = max(8, table.count)
+    buckets = table.buckets
     for level, _ in enumerate(levels(width)):
         table.ask(level, _send_level(level, width, buckets), in_several, f"level{level}")
     table.ask(len(levels(width)), _send_full(width, buckets), in_smaller, "full")

@@ -162,11 +162,6 @@ def _names(text: np.ndarray, larger: np.ndarray, seeds: np.ndarray, number: np.n
     return np.concatenate([[0], np.cumsum(~equal)])
 
 
-def loads(text: np.ndarray) -> np.ndarray:
-    """The 8 bytes that start at each place, as a number."""
-    return np.ndarray((max(0, len(text) - 7),), "<u8", np.ascontiguousarray(text), 0, (1,)) if len(text) >= 8 else np.zeros(0, np.uint64)
-
-
 class _Windows:
     """The windows of a slice, in runs that share a document and a sampled gram."""
 
@@ -178,7 +173,7 @@ class _Windows:
         sizes = np.diff(at)
         if n < width or sizes.max() < width:
             return
-        eight = loads(piece.text)
+        eight = W.loads(piece.text)
         grams = W.mix(W.mix(eight[: n - GRAM + 1]) * np.uint64(0xA0761D6478BD642F) + eight[GRAM - 8 :])
         least = W.sliding_min(grams, width - GRAM + 1)
         row = np.repeat(np.arange(len(sizes)), sizes)[: n - width + 1]
@@ -257,7 +252,7 @@ def _sort_shard(width: int, budget: int):
         starts = np.arange(len(text)) + width <= (ends - 1)[run_of]
         order = suffix_array(text, width, budget)
         order = order[starts[order]].astype(np.int64)
-        eight = loads(np.concatenate([text, np.zeros(8, np.uint8)]))
+        eight = W.loads(np.concatenate([text, np.zeros(8, np.uint8)]))
         same = np.ones(max(0, len(order) - 1), bool)
         for k in [*range(0, width - 7, 8), width - 8]:
             part = eight[order + k]
@@ -321,7 +316,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_spans: bool = True,
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if asked for) spans, the removed runs as
     start, end, start, end ... in bytes. ``width`` is 24 at least."""
     table = SliceTable(docs)
-    buckets = max(8, table.count)
+    buckets = table.buckets
     table.ask(0, _send_grams(width, buckets), in_several, "grams")
     table.ask(1, _send_runs(width, buckets), _sort_shard(width, budget), "shards")
     return table.rows().mapInArrow(_remove(width, buckets, with_spans), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
