@@ -1,0 +1,120 @@
+"""Operators of the library on worked cases."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.functions import text as X
+from textloom.operators import articles as A
+from textloom.operators import pages as P
+from textloom.operators import runs as R
+from textloom.operators import stories as S
+from textloom.operators.graph import components
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_text_functions(spark):
+    assert one(spark, X.normalise(F.lit("  The U.S., 2nd\tÉcole "))) == "the u s 2nd cole"
+    assert one(spark, X.salient(F.lit("Airstrikes attacked cities, officials postponed meetings"))) == ["strike", "strike", "city", "delay"]
+    assert one(spark, X.canonical(F.array(*map(F.lit, ("attacks", "stories", "running", "threatened", "gas"))))) == ["strike", "story", "runn", "threat", "gas"]
+    assert one(spark, X.sentences(F.lit("One. Two!  Three? four"))) == ["One.", "Two!", "Three?", "four"]
+    assert one(spark, X.lead(F.lit(" One.  Two. Three."))) == "One. Two."
+    assert one(spark, X.jaccard(F.array(F.lit("a")), F.expr("cast(array() as array<string>)"))) == 0.0
+    assert one(spark, X.bigrams(F.array(*map(F.lit, "abc")))) == ["a b", "b c"]
+    assert one(spark, X.has_keyword(F.lit("the reward of war"), "war")) is True
+    assert one(spark, X.has_keyword(F.lit("a reward"), "war")) is False
+    assert one(spark, X.keyword_count(F.lit("ai and the new delhi ai"), ["ai", "new delhi", "war"])) == 2
+    assert one(spark, X.normalise_url(F.lit(" HTTPS://Ex.COM/A/b//?q#f"))) == "https://ex.com/A/b"
+    assert one(spark, X.normalise_url(F.lit("not a url"))) == "not a url"
+    assert one(spark, X.hashtags(F.lit("tech"), F.lit("Big Chip maker wins big Deal"), F.lit(True))) == "#breaking #tech #chip #maker #wins"
+    assert one(spark, X.share_in_range(F.lit("ab éé"), r"\x{C0}", r"\x{24F}")) == 50.0
+
+
+def test_null_and_empty_texts(spark):
+    frame = spark.createDataFrame([(None,), ("",)], "t string")
+    rows = frame.select(X.normalise("t").alias("n"), X.salient("t").alias("s"), X.sentences("t").alias("z"), X.lead("t").alias("l"), X.numbers("t").alias("d"), X.entities("t").alias("e")).collect()
+    assert [tuple(r) for r in rows] == [("", [], [], "", [], [])] * 2
+
+
+def test_components(spark):
+    got = {r.node: r.label for r in components(spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
+
+
+def articles(spark, rows):
+    return spark.createDataFrame(rows, "article_id long, title string, body string, event_ts timestamp")
+
+
+def test_clusters_follow_the_order(spark):
+    body = "The ministry of health in Norway said 40 hospitals were closed in Oslo on Monday. Storm Ingrid cut power lines across northern towns. Repairs go on."
+    at = lambda h, m: datetime(2026, 3, 5, h, m)
+    rows = [
+        (1, "Storm Ingrid closes 40 hospitals in Norway", body, at(10, 0)),
+        (2, "40 hospitals in Norway closed by storm Ingrid", body + " More later.", at(10, 18)),
+        (3, "Norway: storm Ingrid shuts 40 hospitals", body, at(10, 21)),
+        (4, "Central bank of Chile keeps rates", "The central bank of Chile kept its rate on hold. Inflation slowed.", at(10, 5)),
+        (5, "Storm Ingrid closes 40 hospitals in Norway", body, at(16, 0)),
+    ]
+    got = {r.article_id: r.cluster_id for r in S.clusters(articles(spark, rows), 90).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert S.clusters(articles(spark, [])).count() == 0
+
+
+def test_clusters_never_merge(spark):
+    import pandas as pd
+
+    pairs = pd.DataFrame({"early": [1, 2], "late": [2, 3], "score": [0.9, 0.8]})
+    assert dict(S._follow(pairs).values.tolist()) == {1: 1, 2: 1, 3: 1}
+    pairs = pd.DataFrame({"early": [1, 2], "late": [3, 3], "score": [0.8, 0.9]})
+    assert dict(S._follow(pairs).values.tolist()) == {1: 1, 2: 2, 3: 2}
+
+
+@pytest.mark.parametrize(("span", "good", "confidence"), [(20, True, 0.855), (80, False, 0.805)])
+def test_breaking(spark, span, good, confidence):
+    weights = {"Reuters": 0.95, "BBC": 0.90, "Guardian": 0.88}
+    rows = [(1, k, s, s, "tech", datetime(2026, 1, 1, 10, span * (k == 2) % 60) if span < 60 or k < 2 else datetime(2026, 1, 1, 11, span - 60)) for k, s in enumerate(weights)]
+    members = spark.createDataFrame(rows, "cluster_id long, article_id long, title string, source string, category string, event_ts timestamp")
+    row = S.breaking(S.rollup(members), weights, min_sources=3).first()
+    assert (row.is_breaking, row.confidence, row.title) == (good, confidence, "Guardian")
+    assert good or any("outside_30m_window" in r for r in row.reasons)
+
+
+def test_quotas(spark):
+    rows = [(0, "x", True, 1)] + [(k, "x", False, k) for k in range(1, 10)]
+    pools = spark.createDataFrame(rows, "article_id long, category string, breaking boolean, rank long")
+    plan = spark.createDataFrame([("x", 0, 5, 3)], "category string, pos int, total int, target int")
+    got = A.quota_plan(pools, plan, 30).orderBy("slot").collect()
+    assert [(r.article_id, r.as_breaking) for r in got] == [(0, True), (1, True), (2, True), (3, False), (4, False)]
+    assert A.quota_plan(pools, plan, 2).count() == 2
+
+
+def test_pages_and_runs(spark):
+    html = '<title>Short</title><h1 class="a">A long enough heading &amp; more</h1><a href="/x">1</a><a href="http://o/y">2</a><a href="/x">3</a><p>tiny</p><p>This paragraph is <b>long</b> enough to be kept here.</p>'
+    pages = spark.createDataFrame([(1, "https://h.org/p?q", html), (2, None, None)], "page_id long, url string, html string")
+    assert [(r.pos, r.link) for r in P.links(pages).orderBy("pos").collect()] == [(1, "https://h.org/x"), (2, "http://o/y")]
+    row = pages.select(P.title(F.col("html")).alias("t"), P.body(F.col("html")).alias("b")).where("t is not null").first()
+    assert tuple(row) == ("A long enough heading & more", "This paragraph is long enough to be kept here.")
+    states = spark.createDataFrame([("a", "running", datetime(2026, 1, 1, 10, 0)), ("b", "queued", datetime(2026, 1, 1, 10, 14))], "run_id string, status string, last_ts timestamp")
+    assert [r.run_id for r in R.stale(states, F.lit(datetime(2026, 1, 1, 10, 16))).collect()] == ["a"]
+
+
+def test_streams(spark, tmp_path):
+    from textloom.streaming.stories import event_counts, first_in_span
+
+    rows = [(k, datetime(2026, 1, 1, k % 24, 0), f"key{k % 5}", "view") for k in range(40)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, story_key string, event_type string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("event_id long, ts timestamp, story_key string, event_type string").parquet(f"{tmp_path}/in")
+    for name, df, want in (("firsts", first_in_span(stream), 5), ("counts", event_counts(stream), 24)):
+        query = df.writeStream.format("memory").queryName(name).outputMode("append" if name == "firsts" else "complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/{name}").start()
+        query.awaitTermination(120)
+        assert spark.table(name).count() == want
+
+
+def test_the_registry_is_whole():
+    from textloom.plans import registry
+
+    assert registry.FLAGSHIP in registry.QUERIES and set(registry.ORACLES) < set(registry.QUERIES)

@@ -31,22 +31,17 @@ def words(c: Column | str) -> Column:
 
 
 def _synonym(token: Column) -> Column:
-    out = None
-    for target in dict.fromkeys(L.SYNONYMS.values()):
-        hit = token.isin(*(k for k, v in L.SYNONYMS.items() if v == target))
-        out = F.when(hit, F.lit(target)) if out is None else out.when(hit, F.lit(target))
-    return out.otherwise(token)
+    table = F.create_map(*(F.lit(x) for pair in L.SYNONYMS.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, token), token)
 
 
 def _cut(token: Column, n: int) -> Column:
     return F.left(token, F.length(token) - n)
 
 
-def canonical(token: Column) -> Column:
-    """A word's stand-in: synonym, then one ending off, then synonym again."""
-    token = _synonym(token)
+def _ending(token: Column) -> Column:
     n = F.length(token)
-    cut = (
+    return (
         F.when(token.endswith("ies") & (n > 5), F.concat(_cut(token, 3), F.lit("y")))
         .when(token.endswith("ing") & (n > 6), _cut(token, 3))
         .when(token.endswith("ed") & (n > 5), _cut(token, 2))
@@ -54,7 +49,12 @@ def canonical(token: Column) -> Column:
         .when(token.endswith("s") & (n > 4), _cut(token, 1))
         .otherwise(token)
     )
-    return _synonym(cut)
+
+
+def canonical(tokens: Column) -> Column:
+    """The words' stand-ins: synonym, then one ending off, then synonym again. A step a transform, so that each word's
+    value is worked out once a step."""
+    return F.transform(F.transform(F.transform(tokens, _synonym), _ending), _synonym)
 
 
 def _topical(token: Column) -> Column:
@@ -63,7 +63,7 @@ def _topical(token: Column) -> Column:
 
 def salient(c: Column | str) -> Column:
     """Canonical topical words in order, repeats kept."""
-    return F.filter(F.transform(words(normalise(c)), canonical), _topical)
+    return F.filter(canonical(words(normalise(c))), _topical)
 
 
 def bigrams(tokens: Column) -> Column:
@@ -98,7 +98,7 @@ def numbers_fit(a: Column, b: Column) -> Column:
 def entities(c: Column | str) -> Column:
     """Distinct canonical words with a capital, in order."""
     raw = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"\b[A-Z][A-Za-z0-9'-]{2,}\b"), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(raw, lambda w: canonical(F.lower(w))), _topical))
+    return F.array_distinct(F.filter(canonical(F.transform(raw, F.lower)), _topical))
 
 
 def has_keyword(text: Column, keyword: str) -> Column:

@@ -20,7 +20,7 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def sequence_ratio(a: str, b: str) -> Column:
     """Matching-blocks ratio of two strings: no built-in function has it."""
-    return F.pandas_udf(_ratios, "double", F.PandasUDFType.SCALAR)(a, b)
+    return F.pandas_udf(_ratios, "double")(a, b)
 
 
 def features(articles: DataFrame) -> DataFrame:
