@@ -1,50 +1,13 @@
-"""The folder that driver and executors share, and tables written to it."""
+"""What the operators share: stored tables, batch sizes, joins of skewed sides."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import Stored, new_folder, remove, shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        local = tempfile.mkdtemp(prefix="textloom-")
-        atexit.register(shutil.rmtree, local, True)
-        spark.sparkContext.setCheckpointDir(local)
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete folders through Hadoop's file systems, whichever they are in."""
-    sc = spark.sparkContext
-    for path in paths:
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Stored:
-    """A table cut off from its lineage: Parquet in the shared folder."""
-
-    def __init__(self, df: DataFrame, label: str, partition_by: str | None = None):
-        self.spark, self.path = df.sparkSession, new_folder(df.sparkSession, label)
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
+__all__ = ["Stored", "arrow_batches", "new_folder", "remove", "salted_join", "shared_root"]
 
 
 def arrow_batches(spark: SparkSession) -> None:
