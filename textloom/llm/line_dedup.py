@@ -1,14 +1,14 @@
 r"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept per group.
 
-A line (between \n) is normalised: lower case, digits to 0, everything but letters, digits and marks to one space. Lines of
-at least ``MIN_CHARS`` normalised characters take part; shorter ones are always kept, as they carry no passage. Equal
-normalised lines are one group from the start. Distinct ones get a 64-bit SimHash of their words and word pairs. Lines
-within ``DISTANCE`` bits agree on two of five blocks by the pigeonhole principle, so each line goes to ten tables of
-two blocks (about 25 bits); lines that meet are compared by Hamming distance and then by edit similarity: they are linked
-if their Levenshtein distance is at most ``EDIT_PERCENT`` percent of the longer one. Of each connected group the occurrence
-with the least (doc_id, line) stays; the others go. Lines that meet nobody anywhere are told by a search over slices, so
-their texts are never moved. A bucket of more than ``SMALL`` lines proposes stars first; only lines still apart from others
-of their bucket are compared further, so no link is lost.
+A line (between \n) is normalised: A-Z to lower case, digits to 0, and every run of other ASCII characters to one space.
+Lines of at least ``MIN_BYTES`` normalised bytes take part; shorter ones are always kept, as they carry no passage. Equal
+normalised lines are one group from the start. Distinct ones get a 64-bit SimHash of their words. Lines within
+``DISTANCE`` bits agree on two of five blocks by the pigeonhole principle, so each line goes to ten tables of two blocks
+(about 25 bits). Lines that are within that distance of nothing anywhere are told by a search over slices, so their texts
+are never moved. Pairs of the others are linked if their Levenshtein distance is at most ``EDIT_PERCENT`` percent of the
+longer one. Of each connected group the occurrence with the least (doc_id, line) stays; the others go. A bucket of more than
+``SMALL`` lines proposes stars first; only lines still apart from others of their bucket are compared further, so no link
+is lost.
 
 Null texts stay null and empty ones empty; rows with one doc_id are one document; a null doc_id comes last. Every row gives
 one row, with its columns as they are, and an empty table gives none."""
@@ -20,97 +20,157 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
 from .shared import Stored
-from .slices import NO_ID, Slice, SliceTable, bucket_counts, distinct_keys, in_several, read_slices, sent
+from .slices import Slice, SliceTable, bucket_counts, read_slices, sent
 
-MIN_CHARS = 24
+MIN_BYTES = 24
 DISTANCE = 3
 EDIT_PERCENT = 10
 #: The 64 bits in five blocks; two lines within three bits agree on two blocks at least.
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
-SMALL = 32
-STARS = 4
-
-_OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
-_DIGIT = regex.compile(r"\p{N}")
-
-
-def normalise(line: str) -> str:
-    return _DIGIT.sub("0", _OTHER.sub(" ", line.lower())).strip()
-
-
-def simhashes(lines: list[str]) -> np.ndarray:
-    """64-bit SimHash of each line's words and pairs of neighbouring words."""
-    text, at = W.utf8(pa.array(lines, pa.string()))
-    words = W.Words(text, at)
-    hashes = words.hashes(7)
-    pairs = W.rolled(hashes, 2)
-    pair_at = words.window_starts(2)
-    features = np.concatenate([hashes, pairs[pair_at]])
-    rows = np.concatenate([words.rows, words.rows[pair_at]])
-    order = np.argsort(rows, kind="stable")
-    features, rows = features[order], rows[order]
-    counts = np.bincount(rows, minlength=len(lines))
-    out = np.zeros(len(lines), np.uint64)
-    held = np.flatnonzero(counts)
-    begins = np.cumsum(counts)[held] - counts[held]
-    for first in range(0, len(held), 4096):
-        part = held[first : first + 4096]
-        low, high = begins[first], begins[first] + counts[part].sum()
-        bits = np.unpackbits(features[low:high].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, begins[first : first + 4096] - low, axis=0, dtype=np.int32)
-        out[part] = np.packbits(2 * ones > counts[part][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+TABLES = tuple(itertools.combinations(range(len(BLOCKS)), 2))
+SMALL = 16
+STARS = 2
+#: A bucket of more distinct SimHashes than this isn't looked at closer when lines are told apart: all of it goes on.
+LOOKED_AT = 1024
+
+_NORMAL = W.LOWER.copy()
+_NORMAL[0x30:0x3A] = 0x30
+#: Each bit of a byte in a byte of its own, so that eight counters are added at once.
+_SPREAD = np.array([sum(1 << (8 * k) for k in range(8) if b >> k & 1) for b in range(256)], np.uint64)
+
+
+def simhashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bitwise majority of each line's word hashes; counts: words of each line, none 0."""
+    # counters have eight bits, so a line is added up in runs of 255 words
+    runs = -(-counts // 255)
+    line = np.repeat(np.arange(len(counts)), runs)
+    first_run = np.cumsum(runs) - runs
+    begins = np.repeat(np.cumsum(counts) - counts, runs) + 255 * (np.arange(len(line)) - np.repeat(first_run, runs))
+    ones = np.empty((len(line), 8), np.uint64)
+    for k in range(8):
+        ones[:, k] = np.add.reduceat(_SPREAD[(hashes >> np.uint64(8 * k)) & np.uint64(255)], begins)
+    ones = np.add.reduceat(ones.view(np.uint8).reshape(len(line), 64), first_run, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 class _Lines:
-    """The lines of a slice that take part: of each occurrence its document's row, its number there and its text's code."""
-
-    def __init__(self, piece: Slice):
-        raw, rows, at, codes, seen = piece.text.tobytes(), [], [], [], {}
-        for row, (a, b) in enumerate(zip(piece.at[:-1].tolist(), piece.at[1:].tolist())):
-            for k, line in enumerate(raw[a:b].split(b"\n")):
-                if len(line) >= MIN_CHARS and len(plain := normalise(line.decode())) >= MIN_CHARS:
-                    rows.append(row)
-                    at.append(k)
-                    codes.append(seen.setdefault(plain, len(seen)))
-        self.rows, self.at, self.codes, self.plain = np.array(rows, np.int64), np.array(at, np.int64), np.array(codes, np.int64), list(seen)
+    """The lines of a slice that take part: of each occurrence its document's row, its number there and a code of its
+    normalised text."""
+
+    def __init__(self, piece: Slice, with_simhash: bool):
+        text, at = _NORMAL[piece.text], piece.at
+        self.words = words = W.Words(text, at, W.ALNUM)
+        starts = np.union1d(at[:-1][np.diff(at) > 0], np.flatnonzero(text == 10) + 1)
+        line = np.searchsorted(starts, words.starts, "right") - 1
+        new = np.concatenate([[True], line[1:] != line[:-1]]) if len(line) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        counts = np.diff(np.concatenate([first, [len(line)]]))
+        ends = np.cumsum(words.ends - words.starts)
+        size = ends[first + counts - 1] - ends[first] + (words.ends - words.starts)[first] + counts - 1
+        long = size >= MIN_BYTES
+        self.first, self.counts, line = first[long], counts[long], line[first[long]]
+        self.rows = words.rows[self.first]
+        self.at = line - np.searchsorted(starts, at[self.rows])
         self.docs = piece.docs[self.rows]
-        self.hashes = simhashes(self.plain) if seen else np.zeros(0, np.uint64)
-
-    def table_keys(self) -> np.ndarray:
-        """Ten keys of each distinct line, one a table."""
-        parts = [(self.hashes >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1) for low, high in BLOCKS]
-        keys = [W.mix(W.mix(parts[a] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) + parts[b]) for n, (a, b) in enumerate(itertools.combinations(range(len(BLOCKS)), 2))]
-        return np.stack(keys, 1)
+        hashes = words.hashes()
+        place = np.arange(len(hashes)) - np.repeat(first, counts)
+        inside = np.repeat(long, counts)
+        begins = np.cumsum(self.counts) - self.counts
+        hashes, place = hashes[inside], place[inside].astype(np.uint64)
+        none = np.zeros(0, np.uint64)
+        one = np.add.reduceat(W.mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), begins) if len(begins) else none
+        self.keys, self.head, self.codes = np.unique(W.mix(one + self.counts.astype(np.uint64)), return_index=True, return_inverse=True)
+        self.uses = np.bincount(self.codes, minlength=len(self.keys))
+        if with_simhash:
+            every = simhashes(hashes, self.counts) if len(begins) else none
+            self.hashes = every[self.head]
+
+    def table_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted by key: (key, table, SimHash), each once; and of each, its place among lines times tables."""
+        keys = np.stack([_table_key(n, self.hashes) for n in range(len(TABLES))], 1).ravel()
+        table, simhash = np.tile(np.arange(len(TABLES), dtype=np.uint8), len(self.keys)), np.repeat(self.hashes, len(TABLES))
+        order = np.lexsort((simhash, table, keys))
+        keys, table, simhash = keys[order], table[order], simhash[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (simhash[1:] != simhash[:-1]) | (table[1:] != table[:-1])]) if len(keys) else np.zeros(0, bool)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return keys[new], table[new], simhash[new], number.reshape(-1, len(TABLES))
 
     def meeting(self, piece: Slice, buckets: int) -> np.ndarray:
-        """Which distinct lines are, or meet, another line somewhere."""
-        keys = self.table_keys()
-        found, number, _ = distinct_keys(keys.ravel(), np.zeros(keys.size, np.int64))
-        uses = np.bincount(number, weights=np.repeat(np.bincount(self.codes, minlength=len(self.plain)), keys.shape[1]), minlength=len(found))
-        again = (uses > 1) | piece.bits(0, bucket_counts(found, buckets))
-        return again[number].reshape(keys.shape).any(axis=1)
+        """The codes of lines that occur again or are near another line somewhere."""
+        keys, _, _, number = self.table_keys()
+        near = piece.bits(0, bucket_counts(keys, buckets))
+        shared = np.bincount(number[:, 0], minlength=len(keys))[number[:, 0]] > 1
+        return np.flatnonzero((self.uses > 1) | shared | near[number].any(axis=1))
+
+    def texts(self, codes: np.ndarray) -> list[str]:
+        """The normalised texts of some codes."""
+        first, n = self.first[self.head[codes]], self.counts[self.head[codes]]
+        which = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        begin, size = self.words.starts[which], self.words.ends[which] - self.words.starts[which] + 1
+        upto = np.cumsum(size)
+        place = np.repeat(begin - (upto - size), size) + np.arange(int(size.sum()))
+        raw = self.words.text[np.minimum(place, len(self.words.text) - 1)].copy() if len(place) else np.zeros(0, np.uint8)
+        raw[upto - 1] = 0x20
+        last = np.concatenate([[0], upto])[np.cumsum(n)] if len(n) else []
+        raw, begin = raw.tobytes(), 0
+        out = []
+        for end in np.asarray(last).tolist():
+            out.append(raw[begin : end - 1].decode())
+            begin = end
+        return out
+
+
+def _table_key(table: int, hashes: np.ndarray) -> np.ndarray:
+    (a, b), (c, d) = (BLOCKS[k] for k in TABLES[table])
+    parts = [(hashes >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1) for low, high in ((a, b), (c, d))]
+    return W.mix(W.mix(parts[0] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(table)) + parts[1])
 
 
 def _send_keys(buckets: int):
     def run(batches):
         for piece in read_slices(batches):
-            keys = np.unique(_Lines(piece).table_keys())
-            yield from sent(piece.id, bucket_counts(keys, buckets), lambda a, b, keys=keys: keys[a:b].tobytes())
+            keys, table, simhash, _ = _Lines(piece, True).table_keys()
+            yield from sent(piece.id, bucket_counts(keys, buckets), lambda a, b, t=table, s=simhash: t[a:b].tobytes() + s[a:b].tobytes())
 
     return run
 
 
-_MEETING = pa.schema([("slice_id", pa.int64()), ("code", pa.int32()), ("id", pa.int64()), ("line_key", pa.binary()), ("keys", pa.list_(pa.int64())), ("simhash", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("uses", pa.int64()), ("plain", pa.string())])
-_MEETING_SQL = "slice_id long, code int, id long, line_key binary, keys array<long>, simhash long, doc_id long, line long, uses long, plain string"
+def near_others(payloads: list[bytes]) -> list[bytes]:
+    """For slices' (table, SimHash) entries: which equal another slice's or are within the distance of another entry."""
+    sizes = [len(p) // 9 for p in payloads]
+    table = np.concatenate([np.frombuffer(p, np.uint8, n) for p, n in zip(payloads, sizes)])
+    simhash = np.concatenate([np.frombuffer(p, np.uint64, n, n) for p, n in zip(payloads, sizes)])
+    keys = np.empty(len(table), np.uint64)
+    for t in range(len(TABLES)):
+        keys[table == t] = _table_key(t, simhash[table == t])
+    order = np.lexsort((simhash, keys))
+    keys, simhash = keys[order], simhash[order]
+    hit = np.zeros(len(keys), bool)
+    left, step = np.arange(len(keys)), 1
+    while len(left):
+        left = left[left + step < len(keys)]
+        left = left[keys[left] == keys[left + step]]
+        if step == LOOKED_AT:
+            hit[left] = hit[left + step] = True
+            hit |= np.isin(keys, np.unique(keys[left]))
+            break
+        near = np.bitwise_count(simhash[left] ^ simhash[left + step]) <= DISTANCE
+        hit[left[near]] = hit[left[near] + step] = True
+        step += 1
+    out = np.empty(len(keys), bool)
+    out[order] = hit
+    return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
+
+
+_MEETING = pa.schema([("slice_id", pa.int64()), ("code", pa.int32()), ("id", pa.int64()), ("simhash", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("uses", pa.int64()), ("plain", pa.string())])
+_MEETING_SQL = "slice_id long, code int, id long, simhash long, doc_id long, line long, uses long, plain string"
 
 
 def _meeting(buckets: int):
@@ -118,15 +178,11 @@ def _meeting(buckets: int):
 
     def run(batches):
         for piece in read_slices(batches):
-            lines = _Lines(piece)
-            code = np.flatnonzero(lines.meeting(piece, buckets))
+            lines = _Lines(piece, True)
+            code = lines.meeting(piece, buckets)
             order = np.lexsort((lines.at, lines.docs, lines.codes))
             first = order[np.searchsorted(lines.codes[order], code)]
-            plain = [lines.plain[c] for c in code]
-            digests = [xxhash.xxh3_128_digest(p.encode()) for p in plain]
-            ids = np.array([int.from_bytes(d[:8], "little") >> 1 for d in digests], np.int64)
-            keys = lines.table_keys()[code].view(np.int64)
-            columns = (np.full(len(code), piece.id), code, ids, digests, list(keys), lines.hashes[code].view(np.int64), lines.docs[first], lines.at[first], np.bincount(lines.codes, minlength=len(lines.plain))[code], plain)
+            columns = (np.full(len(code), piece.id), code, lines.keys[code].view(np.int64), lines.hashes[code].view(np.int64), lines.docs[first], lines.at[first], lines.uses[code], lines.texts(code))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MEETING)], schema=_MEETING)
 
     return run
@@ -142,12 +198,16 @@ def _linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     one, other = lines.select(F.col("id").alias("a"), F.col("plain").alias("one")), lines.select(F.col("id").alias("b"), F.col("plain").alias("other"))
     longer = F.greatest(F.length("one"), F.length("other"))
     sized = pairs.join(one, "a").join(other, "b").where(100 * F.abs(F.length("one") - F.length("other")) <= EDIT_PERCENT * longer)
-    return sized.where(100 * F.levenshtein("one", "other") <= EDIT_PERCENT * longer).select("a", "b")
+    # with a limit only a band of the table is worked out; beyond the limit the distance is -1
+    limit = F.floor(longer * EDIT_PERCENT / 100).cast("int")
+    return sized.withColumn("limit", limit).where(F.expr("levenshtein(one, other, limit) >= 0")).select("a", "b")
 
 
 def _groups(lines: DataFrame) -> DataFrame:
     """(node, label) of the distinct lines that are linked with another."""
-    rows = lines.select("id", "simhash", F.explode("keys").alias("key"))
+    part = lambda low, high: F.shiftrightunsigned("simhash", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+    keys = F.array(*(F.xxhash64(F.lit(n), part(*BLOCKS[a]), part(*BLOCKS[b])) for n, (a, b) in enumerate(TABLES)))
+    rows = lines.select("id", "simhash", F.explode(keys).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = Stored(rows.join(sizes, "key"), "line-buckets").df
     small, large = buckets.where(F.col("n") <= SMALL), buckets.where(F.col("n") > SMALL)
@@ -177,19 +237,18 @@ def _groups(lines: DataFrame) -> DataFrame:
 
 
 def _packed(table: pa.Table) -> pa.Table:
-    order = np.argsort(table.column("code").to_numpy(), kind="stable")
-    code, doc, line = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("code", "keep_doc", "keep_line"))
-    reply = np.concatenate([code, doc, line]).tobytes()
+    reply = np.concatenate([table.column(c).to_numpy().astype(np.int64) for c in ("id", "keep_doc", "keep_line")]).tobytes()
     return pa.table({"slice_id": table.column("slice_id")[:1], "bucket": pa.array([0], pa.int32()), "reply": pa.array([reply], pa.binary())})
 
 
 def _rewrite(out: pa.Schema, report: bool):
     def run(batches):
         for piece in read_slices(batches):
-            lines = _Lines(piece)
-            code, doc, line = np.frombuffer(piece.answer(1, 0), np.int64).reshape(3, -1)
-            keep_doc, keep_line = np.full(len(lines.plain), -1), np.full(len(lines.plain), -1)
-            grouped = np.zeros(len(lines.plain), bool)
+            lines = _Lines(piece, False)
+            key, doc, line = np.frombuffer(piece.answer(1, 0), np.int64).reshape(3, -1)
+            code = np.searchsorted(lines.keys, key.view(np.uint64))
+            keep_doc, keep_line = np.full(len(lines.keys), -1), np.full(len(lines.keys), -1)
+            grouped = np.zeros(len(lines.keys), bool)
             grouped[code], keep_doc[code], keep_line[code] = True, doc, line
             gone = grouped[lines.codes] & ((lines.docs != keep_doc[lines.codes]) | (lines.at != keep_line[lines.codes]))
             dropped: dict[int, set] = {}
@@ -219,15 +278,15 @@ _REPORT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_remove
 
 def _searched(docs: DataFrame, keep_columns: bool) -> SliceTable:
     table = SliceTable(docs, keep_columns)
-    buckets = max(8, table.count)
-    table.ask(0, _send_keys(buckets), in_several, "line-keys")
+    buckets = table.buckets
+    table.ask(0, _send_keys(buckets), near_others, "line-keys")
     met = Stored(table.rows().mapInArrow(_meeting(buckets), _MEETING_SQL), "line-meeting").df
-    lines = Stored(met.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.sum("uses").alias("uses"), F.first("simhash").alias("simhash"), F.first("keys").alias("keys"), F.first("plain").alias("plain")), "line-distinct").df
+    lines = Stored(met.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.sum("uses").alias("uses"), F.first("simhash").alias("simhash"), F.first("plain").alias("plain")), "line-distinct").df
     labels = _groups(lines)
     grouped = lines.select("id", "at", "uses").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     keepers = grouped.groupBy("label").agg(F.min("at").alias("keep"), F.sum("uses").alias("all")).where("all > 1").select("label", "keep")
     keep = Stored(grouped.select("id", "label").join(keepers, "label").select("id", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line")), "line-keep").df
-    told = met.select("slice_id", "code", "id").join(keep, "id").select("slice_id", "code", "keep_doc", "keep_line")
+    told = met.select("slice_id", "id").join(keep, "id").select("slice_id", "id", "keep_doc", "keep_line")
     table.add(1, told.groupBy("slice_id").applyInArrow(_packed, "slice_id long, bucket int, reply binary"))
     return table
 

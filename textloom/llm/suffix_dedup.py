@@ -27,6 +27,8 @@ from .slices import Slice, SliceTable, bucket_counts, distinct_keys, in_several,
 
 WIDTH = 50
 GRAM = 16
+#: Shards for each bucket of keys: a suffix array takes some 70 bytes a byte of text.
+SHARDS = 3
 #: Bytes of positions that a round of induction holds in memory before its queues go to disk.
 QUEUE_BYTES = 64 << 20
 
@@ -130,10 +132,11 @@ def suffix_array(raw: np.ndarray, depth: int, budget: int = QUEUE_BYTES) -> np.n
         rough = np.concatenate(_induce(text, larger, by_value, 257, budget))
         # the end comes after no suffix, so nothing has induced it
         rough = np.concatenate([np.array([n - 1], np.int32), rough[mark[rough]]])
-        number = np.zeros(n, np.int64)
-        number[seeds] = np.arange(len(seeds))
+        number = np.zeros(n, np.int32)
+        number[seeds] = np.arange(len(seeds), dtype=np.int32)
         names = np.empty(len(seeds), np.int64)
-        names[number[rough]] = _names(text, larger, seeds, number, rough)
+        names[number[rough]] = _names(text, seeds, number, rough)
+        del mark, number, rough
         # names of runs of twice as many substrings, until they reach the depth; a substring brings two bytes at least
         reach = 1
         while reach * 2 < depth + 2 and int(names.max()) + 1 < len(names):
@@ -146,7 +149,7 @@ def suffix_array(raw: np.ndarray, depth: int, budget: int = QUEUE_BYTES) -> np.n
     return order[order < n - 1]
 
 
-def _names(text: np.ndarray, larger: np.ndarray, seeds: np.ndarray, number: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+def _names(text: np.ndarray, seeds: np.ndarray, number: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Of the substrings between seeds, in order: equal numbers for equal ones."""
     ends = np.concatenate([seeds[1:], [len(text) - 1]])[number[ordered]]
     length = ends - ordered
@@ -227,7 +230,7 @@ def _send_runs(width: int, buckets: int):
                 packed = np.array([n], np.int64).tobytes() + docs[a:b].tobytes() + s.astype(np.int32).tobytes() + piece.text[place].tobytes()
                 return compressor.compress(packed)
 
-            yield from sent(piece.id, bucket_counts(grams, buckets), payload)
+            yield from sent(piece.id, bucket_counts(grams, SHARDS * buckets), payload)
 
     return run
 
@@ -241,17 +244,19 @@ def _sort_shard(width: int, budget: int):
             sizes.append(np.frombuffer(p, np.int32, n, 8 + 8 * n).astype(np.int64))
             texts.append(np.frombuffer(p, np.uint8, -1, 8 + 12 * n))
             windows.append(int((sizes[-1] - width + 1).sum()))
-        docs, size = np.concatenate(docs), np.concatenate(sizes)
+        docs, size, raw = np.concatenate(docs), np.concatenate(sizes), np.concatenate(texts)
+        del sizes, texts, p
         # 0xFF is in no UTF-8 text: it parts the runs
         ends = np.cumsum(size + 1)
         text = np.full(int(ends[-1]), 0xFF, np.uint8)
         inside = np.ones(len(text), bool)
         inside[ends - 1] = False
-        text[inside] = np.concatenate(texts)
-        run_of = np.repeat(np.arange(len(size)), size + 1)
+        text[inside] = raw
+        del inside, raw
+        run_of = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
         starts = np.arange(len(text)) + width <= (ends - 1)[run_of]
         order = suffix_array(text, width, budget)
-        order = order[starts[order]].astype(np.int64)
+        order = order[starts[order]]
         eight = W.loads(np.concatenate([text, np.zeros(8, np.uint8)]))
         same = np.ones(max(0, len(order) - 1), bool)
         for k in [*range(0, width - 7, 8), width - 8]:
@@ -277,7 +282,7 @@ def _remove(width: int, buckets: int, with_spans: bool):
             _, size, least, grams, number = windows.runs()
             counts = size - width + 1
             upto = np.concatenate([[0], np.cumsum(counts)])
-            cut = np.concatenate([[0], np.cumsum(bucket_counts(grams, buckets))])
+            cut = np.concatenate([[0], np.cumsum(bucket_counts(grams, SHARDS * buckets))])
             bits = piece.bits(1, upto[cut[1:]] - upto[cut[:-1]])
             mine = windows.last - windows.first
             place = np.repeat(windows.first - (np.cumsum(mine) - mine), mine) + np.arange(int(mine.sum()))

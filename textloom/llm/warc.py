@@ -85,10 +85,14 @@ def _write(folder: str, roll: int, date: str):
             done.append((shard, number, out["temporary"], f"part-{shard:05d}-{number:05d}.warc.gz", out["records"], out["bytes"], out["hash"].hexdigest(), out["first"], out["last"]))
             out, number = None, number + 1
 
+        mark = None
         for batch in batches:
             for row in batch.to_pylist():
-                payload = (row["html"] or "").encode()
-                member = gzip.compress(record(row["page_id"], row["url"], payload, row["digest"], row["refers_to"], date), 6, mtime=0)
+                if row["refers_to"] is not None:
+                    mark = row
+                    continue
+                refers_to = mark["refers_to"] if mark and (mark["page_id"], mark["digest"]) == (row["page_id"], row["digest"]) else None
+                member = gzip.compress(record(row["page_id"], row["url"], row["html"].encode(), row["digest"], refers_to, date), 6, mtime=0)
                 if out and out["bytes"] + len(member) > roll:
                     close()
                 if not out:
@@ -123,28 +127,31 @@ def _rename(folder: str):
     return run
 
 
-def classified(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest and refers_to (null for responses).
+def revisits(pages: DataFrame) -> DataFrame:
+    """page_id, digest and refers_to of the pages whose payload an earlier page has.
 
     The smallest page_id of each payload is an aggregate that Spark combines before the shuffle; only payloads that occur
     twice are joined back, by digest and salt, so a payload that a third of all pages share is no single task's."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keyed = rows.select("page_id", F.unhex(F.sha2("html", 256)).alias("key")).where(F.octet_length("html") >= REVISIT_BYTES)
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    keyed = pages.where(F.octet_length(html) >= REVISIT_BYTES).select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha2(html, 256)).alias("key"))
     firsts = keyed.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    later = salted_join(keyed.where("page_id is not null"), firsts, ["key"], "page_id").where("page_id > first").select(F.col("page_id").alias("_page"), F.col("key").alias("_key"), "first").distinct()
-    marked = rows.withColumn("key", F.unhex(F.sha2("html", 256)))
-    joined = marked.join(later, (F.col("page_id") == F.col("_page")) & (F.col("key") == F.col("_key")), "left")
-    return joined.select("page_id", "url", "html", F.lower(F.hex("key")).alias("digest"), F.col("first").alias("refers_to"))
+    later = salted_join(keyed.where("page_id is not null"), firsts, ["key"], "page_id").where("page_id > first")
+    return later.select("page_id", F.lower(F.hex("key")).alias("digest"), F.col("first").alias("refers_to")).distinct()
 
 
 def write_warc(pages: DataFrame, folder: str, shards: int | None = None, roll: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
-    """Write the archives to an empty folder and return the manifest that is committed."""
+    """Write the archives to an empty folder and return the manifest that is committed.
+
+    Pages are moved once, by the range sort; a revisit's mark is sorted right before its page."""
     spark = pages.sparkSession
     arrow_batches(spark)
-    rows = classified(pages)
-    by = [F.col("page_id").asc_nulls_last(), F.col("digest"), F.col("url")]
-    ranged = rows.repartitionByRange(shards, *by) if shards else rows.repartitionByRange(*by)
-    written = ranged.sortWithinPartitions(*by).mapInArrow(_write(folder, roll, date), _MANIFEST_SQL)
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    marks = Stored(revisits(pages), "warc-marks").df.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
+    by, then = [F.col("page_id").asc_nulls_last(), F.col("digest")], [F.col("refers_to").asc_nulls_last(), F.col("url")]
+    every = rows.unionByName(marks)
+    ranged = every.repartitionByRange(shards, *by) if shards else every.repartitionByRange(*by)
+    written = ranged.sortWithinPartitions(*by, *then).mapInArrow(_write(folder, roll, date), _MANIFEST_SQL)
     manifest = Stored(written, "warc-manifest").df
     renamed = manifest.repartition("name").mapInArrow(_rename(folder), _MANIFEST_SQL)
     renamed.coalesce(1).write.mode("overwrite").json(f"{folder}/_manifest")
