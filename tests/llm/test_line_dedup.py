@@ -80,3 +80,9 @@ def test_lines_match_brute_force(spark, monkeypatch, small):
 def test_an_empty_table(spark):
     assert line_dedup.report(documents(spark, [])).count() == 0
     assert [r.text for r in line_dedup.remove_lines(documents(spark, [None])).collect()] == [None]
+
+
+def test_repeated_short_lines_go(spark):
+    texts = ["All rights reserved\nfirst", "ALL RIGHTS RESERVED.\nsecond", "third\nall rights reserved", "a\n-\n\nnext", "a!\n-\n\nlast"]
+    got = [r.text for r in line_dedup.remove_lines(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["All rights reserved\nfirst", "second", "third", "a\n-\n\nnext", "-\n\nlast"]

@@ -1,7 +1,7 @@
 r"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept per group.
 
 A line (between \n) is normalised: A-Z to lower case, digits to 0, and every run of other ASCII characters to one space.
-Lines of at least ``MIN_BYTES`` normalised bytes take part; shorter ones are always kept, as they carry no passage. Equal
+Lines of at least ``MIN_BYTES`` normalised bytes take part, that is all with a word; lines without one are always kept. Equal
 normalised lines are one group from the start. Distinct ones get a 64-bit SimHash of their words. Lines within
 ``DISTANCE`` bits agree on two of five blocks by the pigeonhole principle, so each line goes to ten tables of two blocks
 (about 25 bits). Lines that are within that distance of nothing anywhere are told by a search over slices, so their texts
@@ -28,7 +28,7 @@ from .components import components
 from .shared import Stored
 from .slices import Slice, SliceTable, bucket_counts, read_slices, sent
 
-MIN_BYTES = 24
+MIN_BYTES = 1
 DISTANCE = 3
 EDIT_PERCENT = 10
 #: The 64 bits in five blocks; two lines within three bits agree on two blocks at least.
