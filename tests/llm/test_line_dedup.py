@@ -86,3 +86,10 @@ def test_repeated_short_lines_go(spark):
     texts = ["All rights reserved\nfirst", "ALL RIGHTS RESERVED.\nsecond", "third\nall rights reserved", "a\n-\n\nnext", "a!\n-\n\nlast"]
     got = [r.text for r in line_dedup.remove_lines(documents(spark, texts)).orderBy("doc_id").collect()]
     assert got == ["All rights reserved\nfirst", "second", "third", "a\n-\n\nnext", "-\n\nlast"]
+
+
+def test_lines_that_differ_in_most_digits_stay(spark):
+    rows = ["1839 2744 9012 5521 7716 0034", "4402 1187 3365 9908 2214 6650"]
+    near = ["page seen at 10 31 by the reader of the day", "page seen at 10 32 by the reader of the day"]
+    got = [r.text for r in line_dedup.remove_lines(documents(spark, [*rows, rows[0], *near])).orderBy("doc_id").collect()]
+    assert got == [*rows, "", near[0], ""]

@@ -1,8 +1,10 @@
 r"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept per group.
 
-A line (between \n) is normalised: A-Z to lower case, digits to 0, and every run of other ASCII characters to one space.
+A line (between \n) is normalised: A-Z to lower case, and every run of ASCII characters other than letters and digits to one
+space.
 Lines of at least ``MIN_BYTES`` normalised bytes take part, that is all with a word; lines without one are always kept. Equal
-normalised lines are one group from the start. Distinct ones get a 64-bit SimHash of their words. Lines within
+normalised lines are one group from the start. Distinct ones get a 64-bit SimHash of their words with every digit read as 0, so
+lines that differ in digits alone are candidates, but the edit check sees the digits. Lines within
 ``DISTANCE`` bits agree on two of five blocks by the pigeonhole principle, so each line goes to ten tables of two blocks
 (about 25 bits). Lines that are within that distance of nothing anywhere are told by a search over slices, so their texts
 are never moved. Pairs of the others are linked if their Levenshtein distance is at most ``EDIT_PERCENT`` percent of the
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,9 @@ STARS = 2
 #: A bucket of more distinct SimHashes than this isn't looked at closer when lines are told apart: all of it goes on.
 LOOKED_AT = 1024
 
-_NORMAL = W.LOWER.copy()
-_NORMAL[0x30:0x3A] = 0x30
+#: Every digit as 0, for the SimHash alone.
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[0x30:0x3A] = 0x30
 #: Each bit of a byte in a byte of its own, so that eight counters are added at once.
 _SPREAD = np.array([sum(1 << (8 * k) for k in range(8) if b >> k & 1) for b in range(256)], np.uint64)
 
@@ -64,7 +68,7 @@ class _Lines:
     normalised text."""
 
     def __init__(self, piece: Slice, with_simhash: bool):
-        text, at = _NORMAL[piece.text], piece.at
+        text, at = W.LOWER[piece.text], piece.at
         self.words = words = W.Words(text, at, W.ALNUM)
         starts = np.union1d(at[:-1][np.diff(at) > 0], np.flatnonzero(text == 10) + 1)
         line = np.searchsorted(starts, words.starts, "right") - 1
@@ -88,7 +92,9 @@ class _Lines:
         self.keys, self.head, self.codes = np.unique(W.mix(one + self.counts.astype(np.uint64)), return_index=True, return_inverse=True)
         self.uses = np.bincount(self.codes, minlength=len(self.keys))
         if with_simhash:
-            every = simhashes(hashes, self.counts) if len(begins) else none
+            folded = copy(words)
+            folded.text = _FOLDED[text]
+            every = simhashes(folded.hashes()[inside], self.counts) if len(begins) else none
             self.hashes = every[self.head]
 
     def table_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
