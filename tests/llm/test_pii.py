@@ -65,3 +65,21 @@ def test_contexts_of_seeds_find_new_identifiers(spark):
         a = texts[k].index("QX")
         assert got[k] == f"id:{a}:{texts[k].index(' today')}"
     assert all(got[k] == "" for k in range(16, 25))
+
+
+def test_found_values_without_a_context_are_spans(spark):
+    texts = [f"please write to contact address user{k}@mail.example.com today" for k in range(12)]
+    texts += ["please write to contact address QX1-004711 today", "QX1-004711 came first", "see account:QX1-004711 there"]
+    got = {r.doc_id: r.spans for r in pii.report(documents(spark, texts)).collect()}
+    assert got[12] == "id:32:42"
+    assert got[13] == "id:0:10"
+    assert got[14] == "id:12:22"
+
+
+def test_rounds_go_on_while_values_are_found(spark):
+    # each pattern's known values outweigh the next step's, so a round finds one step
+    sizes = [120, 60, 30, 14, 6, 2]
+    value = lambda k, n: f"person{n}@mail.example.com" if k == 0 else f"QX{k}-{10000 + n}"
+    texts = [f"sent to step{k} label {value(k + j, n)} now" for k in range(len(sizes) - 1) for j in (0, 1) for n in range(sizes[k + j])]
+    got = {r.doc_id: r.spans for r in pii.report(documents(spark, texts)).collect()}
+    assert [k for k, text in enumerate(texts) if "@" not in text and not got[k].startswith("id:")] == []

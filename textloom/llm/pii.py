@@ -34,8 +34,8 @@ HINTS = {"email": "@", "ip": ".", "phone": "+"}
 TOKEN = r"(?:\G|(?<![A-Za-z0-9_/+=-]))(?=[A-Za-z_/+=-]*[0-9])[A-Za-z0-9][A-Za-z0-9_/+=-]{6,}+"
 MIN_DIGITS = 4
 CONTEXT = r"(\S+\s+\S+)\s+\S{0,3}$"
-#: Known values that a pattern needs, the score that makes it good, the score that makes a value known, and rounds.
-SUPPORT, GOOD_PATTERN, GOOD_VALUE, ROUNDS = 3, 0.6, 0.65, 3
+#: Known values that a pattern needs, the score that makes it good, the score that makes a value known.
+SUPPORT, GOOD_PATTERN, GOOD_VALUE = 3, 0.6, 0.65
 
 SPAN = "struct<first:int,last:int,value:string>"
 
@@ -106,10 +106,11 @@ def found_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row_key", *KINDS, F.concat(seen("base", True), seen("token", False)).alias("seen"))
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value) found: from distinct (context, value, known) pairs, by scoring patterns and values in turns."""
+def bootstrap(edges: DataFrame) -> DataFrame:
+    """(value) found: from distinct (context, value, known) pairs, by scoring patterns and values in turns until a round adds
+    no value. Every other round adds one at least, so it ends."""
     known = Stored(edges.where("known").select("value").distinct().withColumn("found", F.lit(False)), "known")
-    for _ in range(rounds):
+    while True:
         marked = edges.select("context", "value").join(known.df, "value", "left")
         patterns = marked.groupBy("context").agg(F.count("*").alias("all"), F.count("found").alias("hits"))
         good = patterns.where((F.col("hits") >= SUPPORT) & (F.col("hits") >= GOOD_PATTERN * F.col("all"))).select("context", (F.col("hits") / (F.col("all") + 1)).alias("score"))
@@ -120,15 +121,14 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         known.drop()
         known = more
         if not grown:
-            break
-    return known.df.where("found").select("value")
+            return known.df.where("found").select("value")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: numbers of each base kind, the digest of base spans, and all spans as text."""
     rows = Stored(found_spans(docs), "pii").df
     # rows without an identifier take no part in the graph
-    seen = rows.where(F.size("seen") > 0).select("row_key", F.inline("seen")).where("known or context <> ''")
+    seen = rows.where(F.size("seen") > 0).select("row_key", F.inline("seen"))
     edges = Stored(seen.where("context <> ''").groupBy("context", "value").agg(F.max("known").alias("known")), "pii-edges").df
     values = bootstrap(edges)
     found = salted_join(seen.where("not known").select("row_key", "first", "last", "value"), values, ["value"], "row_key", salts=16)
