@@ -118,3 +118,13 @@ def test_the_registry_is_whole():
     from textloom.plans import registry
 
     assert registry.FLAGSHIP in registry.QUERIES and set(registry.ORACLES) < set(registry.QUERIES)
+
+
+def test_titles_meet_all_earlier_ones(spark):
+    # 1, 8 and 15 lie in one class of the split by seven, 7 and 14 in the other
+    titles = {1: "storm batters coastal villages", 8: "storm batters coastal villages", 15: "storm batters coastal villages again", 7: "parliament approves annual budget", 14: "parliament approves annual budget", 20: "quiet orchard blossoms"}
+    rows = spark.createDataFrame(list(titles.items()), "id long, title string")
+    got = sorted((r.new_id, r.old_id) for r in S.similar_titles_within(rows).collect())
+    words = {k: {w[:5] for w in t.split()} for k, t in titles.items()}
+    want = [(a, b) for a in titles for b in titles if a > b and len(words[a] & words[b]) >= 0.62 * len(words[a] | words[b])]
+    assert got == sorted(want) == [(8, 1), (14, 7), (15, 1), (15, 8)]

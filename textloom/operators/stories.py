@@ -160,6 +160,19 @@ def similar_titles(new: DataFrame, old: DataFrame) -> DataFrame:
     return rows.where(same).select("new_id", "old_id", "word_sim", "name_sim", "shared")
 
 
+def similar_titles_within(rows: DataFrame) -> DataFrame:
+    """Pairs (new_id, old_id), new_id > old_id, of one table's titles that tell the same; rows have id (unique) and title.
+
+    Equal titles are compared once and their ids are put in afterwards."""
+    rows = Stored(rows.select("id", "title", F.min("id").over(Window.partitionBy("title")).alias("main")), "titles").df
+    distinct = rows.where("id = main").select("id", "title")
+    found = similar_titles(distinct, distinct).where("new_id >= old_id")
+    one, other = rows.select(F.col("main").alias("new_id"), F.col("id").alias("a")), rows.select(F.col("main").alias("old_id"), F.col("id").alias("b"))
+    # a title meets itself once, so its ids meet in both orders
+    pairs = found.join(one, "new_id").join(other, "old_id").where("new_id <> old_id or a > b")
+    return pairs.select(F.greatest("a", "b").alias("new_id"), F.least("a", "b").alias("old_id"), "word_sim", "name_sim", "shared")
+
+
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key: last write wins."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")

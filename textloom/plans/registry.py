@@ -310,6 +310,13 @@ def title_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("new_id", "old_id", F.round("word_sim", 6).alias("word_sim"), F.round("name_sim", 6).alias("name_sim"), "shared")
 
 
+@query()
+def title_duplicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title against all earlier ones."""
+    found = S.similar_titles_within(T.articles(spark, sf_dir).select(F.col("article_id").alias("id"), "title"))
+    return found.select("new_id", "old_id", F.round("word_sim", 6).alias("word_sim"), F.round("name_sim", 6).alias("name_sim"), "shared")
+
+
 @query(f"WITH {_KEY_SQL}, h AS (SELECT * FROM keyed WHERE article_id % 3 = 0) SELECT article_id, story_key FROM keyed k WHERE article_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.story_key = k.story_key AND h.event_s >= {NOW_DOCS} - 172800) AND NOT EXISTS (SELECT 1 FROM h WHERE h.url = k.url)")
 def history_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the articles are the history of what was published, the others are held against it."""
