@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stored import Stored
+from ..sources.stored import Scope, Stored
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, label: the least node that can be reached. Nodes are those with an edge; edges may repeat or be loops.
+def components(edges: DataFrame, a: str = "a", b: str = "b", scope: Scope | None = None) -> DataFrame:
+    """node, label: the least node that can be reached. Nodes are those with an edge; edges may repeat or be loops. The
+    table of labels goes with the scope.
 
     Every round takes the least label among a node's neighbours and then follows the label's own label, so a chain halves
     its length. Labels and edges are tables in the shared folder, so a lost executor costs no more than one round, and
@@ -18,7 +19,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     sides = edges.where(one != other).select(F.array(F.struct(one.alias("u"), other.alias("v")), F.struct(other.alias("u"), one.alias("v"))).alias("e"))
     edges_of = Stored(sides.select(F.inline("e")).distinct(), "edges")
     both = edges_of.df
-    labels = Stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+    labels = Stored(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
     while True:
         heard = both.join(labels.df.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("heard"))
         lower = Stored(labels.df.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "lower")
@@ -30,4 +31,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = jumped
         if not changed:
             edges_of.drop()
+            if scope:
+                scope.holds(labels.path)
             return labels.df.select("node", "label")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only on one machine, as in tests."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="textloom-")
         atexit.register(shutil.rmtree, local, True)
         spark.sparkContext.setCheckpointDir(local)
@@ -43,3 +47,43 @@ class Stored:
 
     def drop(self) -> None:
         remove(self.spark, self.path)
+
+
+class Scope:
+    """The stored tables of one piece of work; they go together when it ends.
+
+    with Scope(spark) as scope:
+        edges = scope.store(df, "edges")
+        return scope.result(edges.groupBy(...), "degrees")
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths, self._tables = spark, [], []
+
+    def __enter__(self) -> Scope:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for name in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, *self._paths)
+        # plans that nobody holds any more still own shuffle files until the driver's JVM collects them
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def store(self, df: DataFrame, label: str) -> DataFrame:
+        """The table read back from the shared folder."""
+        stored = Stored(df, label)
+        self._paths.append(stored.path)
+        return stored.df
+
+    def holds(self, path: str | None = None, table: str | None = None) -> None:
+        """A folder or a catalog entry that goes with the rest."""
+        if path:
+            self._paths.append(path)
+        if table:
+            self._tables.append(table)
+
+    def result(self, df: DataFrame, label: str) -> DataFrame:
+        """What the work leaves behind: stored, so that nothing else has to stay."""
+        return Stored(df, label).df
