@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_batches
 
 #: Fixed control strings of the template.
 CONTROL = ("<turn", "</turn", "###", "<image", "<audio", "<document", "<conversation")
@@ -106,7 +105,6 @@ def text_parts(conversations: DataFrame) -> DataFrame:
 
 def format_turns(turns: DataFrame) -> DataFrame:
     """Rows of (conv_id, turn, role, parts) to formatted turns: conv_id, turn, role, formatted, loss, attachments."""
-    arrow_batches(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.col("parts").cast(T.ArrayType(PART)).alias("parts"))
     return rows.mapInArrow(_format, _FORMATTED_SQL)
 

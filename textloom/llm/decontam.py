@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import arrow_batches
 
 WIDTH = 10
 #: Bytes of benchmark text that the driver holds and sends to the executors at once.
@@ -176,7 +175,6 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> D
     """doc_id, text and ``matches``, an array of (item_id, item_word, doc_word, n_words): the longest verbatim matches of
     at least a window."""
     spark = docs.sparkSession
-    arrow_batches(spark)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = out.withColumn("matches", F.expr("cast(array() as array<struct<item_id:long,item_word:long,doc_word:long,n_words:long>>)"))
     for ids, texts in blocks(benchmark):
@@ -210,7 +208,6 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without a match, with all their columns."""
     spark = docs.sparkSession
-    arrow_batches(spark)
     out = docs
     for ids, texts in blocks(benchmark):
         block = spark.sparkContext.broadcast(Suffixes(ids, texts, width))

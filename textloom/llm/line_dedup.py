@@ -1,16 +1,21 @@
 r"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept per group.
 
 A line (between \n) is normalised: A-Z to lower case, and every run of ASCII characters other than letters and digits to one
-space.
-Lines of at least ``MIN_BYTES`` normalised bytes take part, that is all with a word; lines without one are always kept. Equal
-normalised lines are one group from the start. Distinct ones get a 64-bit SimHash of their words with every digit read as 0, so
-lines that differ in digits alone are candidates, but the edit check sees the digits. Lines within
-``DISTANCE`` bits agree on two of five blocks by the pigeonhole principle, so each line goes to ten tables of two blocks
-(about 25 bits). Lines that are within that distance of nothing anywhere are told by a search over slices, so their texts
-are never moved. Pairs of the others are linked if their Levenshtein distance is at most ``EDIT_PERCENT`` percent of the
-longer one. Of each connected group the occurrence with the least (doc_id, line) stays; the others go. A bucket of more than
-``SMALL`` lines proposes stars first; only lines still apart from others of their bucket are compared further, so no link
-is lost.
+space. Lines without a word are always kept. Equal normalised lines are one group from the start. Two others are linked if
+their Levenshtein distance is at most ``EDIT_PERCENT`` percent of the longer one, so lines under ten characters have equal
+ones alone. Of each connected group the occurrence with the least (doc_id, line) stays; the others go.
+
+The pigeonhole blocks are those of the line, not of the SimHash's bits: an edit of a tenth of a line moves ten or more of
+64 bits, and no few blocks of bits are left whole by that. What a few edits can't touch are most runs of words. A line of up
+to ``SHORT`` words is filed under itself and under itself without each one of its words, so a changed, added or missing
+word leaves a common block; a longer line is filed under ``SAMPLED`` runs of ``RUN`` words, those with the least hashes,
+which a line of nearly the same words samples as well. Lines that meet in a block are compared by SimHash: within
+``DISTANCE`` bits and a tenth in length they are a candidate pair, whose texts are moved and verified.
+
+A search over slices tells first which lines have such a partner anywhere, so the texts of all others are never moved. In a
+block of up to ``SMALL`` lines all candidate pairs are verified, each once however many blocks it shares; a larger one
+proposes a star first, and whatever is still apart in it is compared part by part, verified on the spot and without a row for
+a pair, so no candidate is lost.
 
 Null texts stay null and empty ones empty; rows with one doc_id are one document; a null doc_id comes last. Every row gives
 one row, with its columns as they are, and an empty table gives none."""
@@ -18,35 +23,32 @@ one row, with its columns as they are, and an empty table gives none."""
 from __future__ import annotations
 
 import hashlib
-import itertools
-from copy import copy
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from . import words as W
-from .components import components
-from .shared import Stored
+from .shared import Scope
 from .slices import Slice, SliceTable, bucket_counts, read_slices, sent
 
-MIN_BYTES = 1
-DISTANCE = 3
 EDIT_PERCENT = 10
-#: The 64 bits in five blocks; two lines within three bits agree on two blocks at least.
-BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
-TABLES = tuple(itertools.combinations(range(len(BLOCKS)), 2))
+#: Bits of the SimHashes that a candidate pair may differ in; two lines without a common word differ in 32.
+DISTANCE = 22
+#: Lines of up to this many words are filed under themselves without a word; from this many characters on any edit is allowed.
+SHORT, FUZZY_CHARS = 7, 10
+RUN, SAMPLED = 4, 8
 SMALL = 16
-STARS = 2
-#: A bucket of more distinct SimHashes than this isn't looked at closer when lines are told apart: all of it goes on.
+#: Lines of a large block that one task holds at once.
+PART = 2048
+#: Lines of a block that each line is compared with when partners are told; a block with more goes on whole.
 LOOKED_AT = 1024
 
-#: Every digit as 0, for the SimHash alone.
-_FOLDED = np.arange(256, dtype=np.uint8)
-_FOLDED[0x30:0x3A] = 0x30
 #: Each bit of a byte in a byte of its own, so that eight counters are added at once.
 _SPREAD = np.array([sum(1 << (8 * k) for k in range(8) if b >> k & 1) for b in range(256)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def simhashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -63,183 +65,311 @@ def simhashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-class _Lines:
-    """The lines of a slice that take part: of each occurrence its document's row, its number there and a code of its
-    normalised text."""
+def _runs_of(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each run, one run after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
-    def __init__(self, piece: Slice, with_simhash: bool):
-        text, at = W.LOWER[piece.text], piece.at
+
+class Lines:
+    """The lines of a slice that have a word: of each occurrence its document's row, its number there and a code of its
+    normalised text; of each code its key, first occurrence and uses."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, docs: np.ndarray):
+        text = W.LOWER[text]
         self.words = words = W.Words(text, at, W.ALNUM)
         starts = np.union1d(at[:-1][np.diff(at) > 0], np.flatnonzero(text == 10) + 1)
         line = np.searchsorted(starts, words.starts, "right") - 1
-        new = np.concatenate([[True], line[1:] != line[:-1]]) if len(line) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
         counts = np.diff(np.concatenate([first, [len(line)]]))
-        ends = np.cumsum(words.ends - words.starts)
-        size = ends[first + counts - 1] - ends[first] + (words.ends - words.starts)[first] + counts - 1
-        long = size >= MIN_BYTES
-        self.first, self.counts, line = first[long], counts[long], line[first[long]]
-        self.rows = words.rows[self.first]
+        self.rows, line = words.rows[first], line[first]
         self.at = line - np.searchsorted(starts, at[self.rows])
-        self.docs = piece.docs[self.rows]
-        hashes = words.hashes()
-        place = np.arange(len(hashes)) - np.repeat(first, counts)
-        inside = np.repeat(long, counts)
-        begins = np.cumsum(self.counts) - self.counts
-        hashes, place = hashes[inside], place[inside].astype(np.uint64)
-        none = np.zeros(0, np.uint64)
-        one = np.add.reduceat(W.mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), begins) if len(begins) else none
-        self.keys, self.head, self.codes = np.unique(W.mix(one + self.counts.astype(np.uint64)), return_index=True, return_inverse=True)
+        self.docs = docs[self.rows]
+        self.hashes = words.hashes()
+        place = (np.arange(len(self.hashes)) - np.repeat(first, counts)).astype(np.uint64)
+        whole = np.add.reduceat(W.mix(self.hashes + place * _STEP), first) if len(first) else np.zeros(0, np.uint64)
+        self.keys, head, self.codes = np.unique(W.mix(whole + counts.astype(np.uint64)), return_index=True, return_inverse=True)
+        self.first, self.counts = first[head], counts[head]
         self.uses = np.bincount(self.codes, minlength=len(self.keys))
-        if with_simhash:
-            folded = copy(words)
-            folded.text = _FOLDED[text]
-            every = simhashes(folded.hashes()[inside], self.counts) if len(begins) else none
-            self.hashes = every[self.head]
-
-    def table_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted by key: (key, table, SimHash), each once; and of each, its place among lines times tables."""
-        keys = np.stack([_table_key(n, self.hashes) for n in range(len(TABLES))], 1).ravel()
-        table, simhash = np.tile(np.arange(len(TABLES), dtype=np.uint8), len(self.keys)), np.repeat(self.hashes, len(TABLES))
-        order = np.lexsort((simhash, table, keys))
-        keys, table, simhash = keys[order], table[order], simhash[order]
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (simhash[1:] != simhash[:-1]) | (table[1:] != table[:-1])]) if len(keys) else np.zeros(0, bool)
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        return keys[new], table[new], simhash[new], number.reshape(-1, len(TABLES))
-
-    def meeting(self, piece: Slice, buckets: int) -> np.ndarray:
-        """The codes of lines that occur again or are near another line somewhere."""
-        keys, _, _, number = self.table_keys()
-        near = piece.bits(0, bucket_counts(keys, buckets))
-        shared = np.bincount(number[:, 0], minlength=len(keys))[number[:, 0]] > 1
-        return np.flatnonzero((self.uses > 1) | shared | near[number].any(axis=1))
+
+    def sizes(self) -> np.ndarray:
+        """Characters of each distinct line, with a space between words."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        upto = np.concatenate([[0], np.cumsum((self.words.text & 0xC0) != 0x80)])
+        of = np.concatenate([[0], np.cumsum(upto[self.words.ends] - upto[self.words.starts])])
+        return of[self.first + self.counts] - of[self.first] + self.counts - 1
+
+    def blocks(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code, block): what each distinct line is filed under, each block once."""
+        short = self.counts <= SHORT
+        code, block = [np.flatnonzero(short)], [self.keys[short]]
+        for n in range(2, SHORT + 1):
+            mine = np.flatnonzero((self.counts == n) & (sizes >= FUZZY_CHARS))
+            if len(mine):
+                words = self.hashes[self.first[mine][:, None] + np.arange(n)]
+                place = np.arange(n, dtype=np.uint64) * _STEP
+                # a word after the missing one stands a place earlier
+                before, after = W.mix(words + place), W.mix(words + (place - _STEP))
+                for k in range(n):
+                    code.append(mine)
+                    block.append(W.mix(before[:, :k].sum(axis=1) + after[:, k + 1 :].sum(axis=1) + np.uint64(n - 1)))
+        long = np.flatnonzero(~short)
+        if len(long):
+            n = self.counts[long] - RUN + 1
+            place, owner = _runs_of(self.first[long], n), np.repeat(long, n)
+            hashed = W.rolled(self.hashes, RUN)[place]
+            # the sample is among the few least; what is far above them needs no sorting
+            few = hashed <= ((np.uint64(2**64 - 1) // n.astype(np.uint64)) * np.uint64(3 * SAMPLED))[np.repeat(np.arange(len(long)), n)]
+            few |= (n <= 3 * SAMPLED)[np.searchsorted(long, owner)]
+            # a line that says the same again and again has too few different runs for that
+            few |= (np.bincount(owner[few], minlength=len(self.keys)) < SAMPLED)[owner]
+            owner, hashed = owner[few], hashed[few]
+            order = np.lexsort((hashed, owner))
+            owner, hashed = owner[order], hashed[order]
+            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])])
+            owner, hashed = owner[new], hashed[new]
+            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            code.append(owner[rank < SAMPLED])
+            block.append(hashed[rank < SAMPLED])
+        code, block = np.concatenate(code), np.concatenate(block)
+        order = np.lexsort((code, block))
+        code, block = code[order], block[order]
+        new = np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])]) if len(code) else np.zeros(0, bool)
+        return code[new], block[new]
+
+    def simhashes(self) -> np.ndarray:
+        return simhashes(self.hashes[_runs_of(self.first, self.counts)], self.counts) if len(self.keys) else np.zeros(0, np.uint64)
 
     def texts(self, codes: np.ndarray) -> list[str]:
         """The normalised texts of some codes."""
-        first, n = self.first[self.head[codes]], self.counts[self.head[codes]]
-        which = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        first, n = self.first[codes], self.counts[codes]
+        which = _runs_of(first, n)
         begin, size = self.words.starts[which], self.words.ends[which] - self.words.starts[which] + 1
-        upto = np.cumsum(size)
-        place = np.repeat(begin - (upto - size), size) + np.arange(int(size.sum()))
+        place = _runs_of(begin, size)
         raw = self.words.text[np.minimum(place, len(self.words.text) - 1)].copy() if len(place) else np.zeros(0, np.uint8)
+        upto = np.cumsum(size)
         raw[upto - 1] = 0x20
-        last = np.concatenate([[0], upto])[np.cumsum(n)] if len(n) else []
-        raw, begin = raw.tobytes(), 0
-        out = []
-        for end in np.asarray(last).tolist():
+        last = np.concatenate([[0], upto])[np.cumsum(n)] if len(n) else np.zeros(0, np.int64)
+        raw, begin, out = raw.tobytes(), 0, []
+        for end in last.tolist():
             out.append(raw[begin : end - 1].decode())
             begin = end
         return out
 
 
-def _table_key(table: int, hashes: np.ndarray) -> np.ndarray:
-    (a, b), (c, d) = (BLOCKS[k] for k in TABLES[table])
-    parts = [(hashes >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1) for low, high in ((a, b), (c, d))]
-    return W.mix(W.mix(parts[0] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(table)) + parts[1])
+#: What a slice files under a block: the SimHash, 32 bits of the line's key and its size.
+_ENTRY = np.dtype([("block", "<u8"), ("simhash", "<u8"), ("line", "<u4"), ("size", "<u4")])
+
+
+def _entries(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """The entries in order of block, and the code of each."""
+    sizes = lines.sizes()
+    code, block = lines.blocks(sizes)
+    out = np.empty(len(code), _ENTRY)
+    out["block"], out["simhash"], out["line"], out["size"] = block, lines.simhashes()[code], (lines.keys[code] >> np.uint64(32)).astype(np.uint32), sizes[code]
+    return out, code
 
 
-def _send_keys(buckets: int):
+def candidates(one: np.ndarray, other: np.ndarray, size_one: np.ndarray, size_other: np.ndarray) -> np.ndarray:
+    """Whether lines may be within the edit distance, by their SimHashes and sizes."""
+    longer = np.maximum(size_one, size_other)
+    return (np.bitwise_count(one ^ other) <= DISTANCE) & (100 * np.abs(size_one - size_other) <= EDIT_PERCENT * longer)
+
+
+def _send(buckets: int):
     def run(batches):
         for piece in read_slices(batches):
-            keys, table, simhash, _ = _Lines(piece, True).table_keys()
-            yield from sent(piece.id, bucket_counts(keys, buckets), lambda a, b, t=table, s=simhash: t[a:b].tobytes() + s[a:b].tobytes())
+            entries, _ = _entries(Lines(piece.text, piece.at, piece.docs))
+            yield from sent(piece.id, bucket_counts(entries["block"], buckets), lambda a, b, e=entries: e[a:b].tobytes())
 
     return run
 
 
-def near_others(payloads: list[bytes]) -> list[bytes]:
-    """For slices' (table, SimHash) entries: which equal another slice's or are within the distance of another entry."""
-    sizes = [len(p) // 9 for p in payloads]
-    table = np.concatenate([np.frombuffer(p, np.uint8, n) for p, n in zip(payloads, sizes)])
-    simhash = np.concatenate([np.frombuffer(p, np.uint64, n, n) for p, n in zip(payloads, sizes)])
-    keys = np.empty(len(table), np.uint64)
-    for t in range(len(TABLES)):
-        keys[table == t] = _table_key(t, simhash[table == t])
-    order = np.lexsort((simhash, keys))
-    keys, simhash = keys[order], simhash[order]
-    hit = np.zeros(len(keys), bool)
-    left, step = np.arange(len(keys)), 1
+def partners(payloads: list[bytes]) -> list[bytes]:
+    """Of each slice's entries, two bits each: whether another line of its block is a candidate, and whether the same line
+    is in another slice."""
+    parts = [np.frombuffer(p, _ENTRY) for p in payloads]
+    entries = np.concatenate(parts)
+    order = np.lexsort((entries["line"], entries["size"], entries["block"]))
+    block, simhash, line, size = (entries[c][order] for c in ("block", "simhash", "line", "size"))
+    size = size.astype(np.int64)
+    near, same = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    left, step = np.arange(len(order)), 1
     while len(left):
-        left = left[left + step < len(keys)]
-        left = left[keys[left] == keys[left + step]]
+        left = left[left + step < len(order)]
+        other = left + step
+        # sizes grow within a block: beyond a tenth there is nothing more to meet
+        going = (block[left] == block[other]) & (100 * (size[other] - size[left]) <= EDIT_PERCENT * size[other])
+        left, other = left[going], other[going]
         if step == LOOKED_AT:
-            hit[left] = hit[left + step] = True
-            hit |= np.isin(keys, np.unique(keys[left]))
+            near |= np.isin(block, np.unique(block[left]))
             break
-        near = np.bitwise_count(simhash[left] ^ simhash[left + step]) <= DISTANCE
-        hit[left[near]] = hit[left[near] + step] = True
+        equal = (line[left] == line[other]) & (simhash[left] == simhash[other]) & (size[left] == size[other])
+        hit = ~equal & candidates(simhash[left], simhash[other], size[left], size[other])
+        for flag, which in ((near, hit), (same, equal)):
+            flag[left[which]] = flag[other[which]] = True
         step += 1
-    out = np.empty(len(keys), bool)
-    out[order] = hit
-    return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
+    out = np.empty((len(order), 2), bool)
+    out[order, 0], out[order, 1] = near, same
+    return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1])]
 
 
-_MEETING = pa.schema([("slice_id", pa.int64()), ("code", pa.int32()), ("id", pa.int64()), ("simhash", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("uses", pa.int64()), ("plain", pa.string())])
-_MEETING_SQL = "slice_id long, code int, id long, simhash long, doc_id long, line long, uses long, plain string"
+_MEETING = pa.schema([("slice_id", pa.int64()), ("id", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("uses", pa.int64()), ("simhash", pa.int64()), ("size", pa.int64()), ("blocks", pa.list_(pa.int64())), ("plain", pa.string())])
+_MEETING_SQL = "slice_id long, id long, doc_id long, line long, uses long, simhash long, size long, blocks array<long>, plain string"
 
 
 def _meeting(buckets: int):
-    """The distinct lines of each slice that meet others, with their first occurrence in it."""
+    """The distinct lines of each slice that occur again or have a partner, with their first occurrence in it; those with
+    a partner with the blocks in which it is and their texts."""
 
     def run(batches):
         for piece in read_slices(batches):
-            lines = _Lines(piece, True)
-            code = lines.meeting(piece, buckets)
+            lines = Lines(piece.text, piece.at, piece.docs)
+            entries, owner = _entries(lines)
+            bits = piece.bits(0, 2 * bucket_counts(entries["block"], buckets)).reshape(-1, 2)
+            near, again = np.zeros(len(lines.keys), bool), lines.uses > 1
+            near[owner[bits[:, 0]]] = True
+            again[owner[bits[:, 1]]] = True
+            code = np.flatnonzero(near | again)
             order = np.lexsort((lines.at, lines.docs, lines.codes))
             first = order[np.searchsorted(lines.codes[order], code)]
-            columns = (np.full(len(code), piece.id), code, lines.keys[code].view(np.int64), lines.hashes[code].view(np.int64), lines.docs[first], lines.at[first], lines.uses[code], lines.texts(code))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MEETING)], schema=_MEETING)
+            hit = bits[:, 0]
+            by_owner = np.argsort(owner[hit], kind="stable")
+            owners, blocks = owner[hit][by_owner], entries["block"][hit][by_owner].view(np.int64)
+            offsets = np.concatenate([np.searchsorted(owners, code), [len(owners)]]).astype(np.int32)
+            simhash, size = np.zeros(len(lines.keys), np.uint64), np.zeros(len(lines.keys), np.int64)
+            simhash[owner], size[owner] = entries["simhash"], entries["size"]
+            texts = np.full(len(code), None, object)
+            texts[near[code]] = lines.texts(code[near[code]])
+            columns = (np.full(len(code), piece.id), lines.keys[code].view(np.int64), lines.docs[first], lines.at[first], lines.uses[code], simhash[code].view(np.int64), size[code])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _MEETING)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(blocks)), pa.array(texts, pa.string())], schema=_MEETING)
 
     return run
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, ha, hb) within the Hamming distance, once each."""
-    return pairs.where(F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= DISTANCE).select("a", "b").distinct()
+def _sided(df: DataFrame, side: str, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
-def _linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs within the edit distance."""
-    one, other = lines.select(F.col("id").alias("a"), F.col("plain").alias("one")), lines.select(F.col("id").alias("b"), F.col("plain").alias("other"))
-    longer = F.greatest(F.length("one"), F.length("other"))
-    sized = pairs.join(one, "a").join(other, "b").where(100 * F.abs(F.length("one") - F.length("other")) <= EDIT_PERCENT * longer)
-    # with a limit only a band of the table is worked out; beyond the limit the distance is -1
-    limit = F.floor(longer * EDIT_PERCENT / 100).cast("int")
-    return sized.withColumn("limit", limit).where(F.expr("levenshtein(one, other, limit) >= 0")).select("a", "b")
+def _fits(a: str, b: str) -> Column:
+    """``candidates`` as an expression."""
+    bits = F.bit_count(F.col(f"simhash_{a}").bitwiseXOR(F.col(f"simhash_{b}")))
+    one, other = F.col(f"size_{a}"), F.col(f"size_{b}")
+    return (bits <= DISTANCE) & (100 * F.abs(one - other) <= EDIT_PERCENT * F.greatest(one, other))
 
 
-def _groups(lines: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) within the edit distance."""
+    met = pairs.join(texts.select(F.col("id").alias("a"), F.col("plain").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("plain").alias("other")), "b")
+    # with a limit only a band of the table is worked out; beyond the limit the distance is -1
+    limit = F.floor(F.greatest(F.length("one"), F.length("other")) * EDIT_PERCENT / 100).cast("int")
+    return met.withColumn("limit", limit).where(F.expr("levenshtein(one, other, limit) >= 0")).select("a", "b")
+
+
+def within(one: str, other: str) -> bool:
+    """Whether two texts are within the edit distance, by the bit-parallel table of Myers (1999)."""
+    if len(one) > len(other):
+        one, other = other, one
+    if not one or EDIT_PERCENT * len(other) < 100 * (len(other) - len(one)):
+        return one == other
+    every, top = (1 << len(one)) - 1, 1 << (len(one) - 1)
+    where: dict[str, int] = {}
+    for k, c in enumerate(one):
+        where[c] = where.get(c, 0) | 1 << k
+    up, down, distance = every, 0, len(one)
+    for c in other:
+        equal = where.get(c, 0)
+        vertical = equal | down
+        level = (((equal & up) + up) ^ up) | equal
+        plus, minus = down | (every & ~(level | up)), up & level
+        distance += bool(plus & top) - bool(minus & top)
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(vertical | plus)) & every, plus & vertical & every
+    return 100 * distance <= EDIT_PERCENT * len(other)
+
+
+class _Part:
+    """Lines of a large block that others are compared with; what is found joined stays joined."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.joined: dict[int, int] = {}
+
+    def label(self, label: int) -> int:
+        while (up := self.joined.get(label, label)) != label:
+            label = up
+        return label
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+
+    def close(self) -> None:
+        self.simhash, self.size = (np.array([r[k] for r in self.rows], t) for k, t in ((2, np.uint64), (3, np.int64)))
+
+    def links(self, row: tuple):
+        node, label, simhash, size, plain = row
+        fits = np.flatnonzero(candidates(np.uint64(simhash), self.simhash, np.int64(size), self.size))
+        # the nearest first: it most likely joins the two, and then the rest of that group needs no look
+        for k in fits[np.argsort(np.bitwise_count(self.simhash[fits] ^ np.uint64(simhash)), kind="stable")].tolist():
+            other = self.rows[k]
+            one, two = self.label(label), self.label(other[1])
+            if one != two and within(plain, other[4]):
+                self.joined[max(one, two)] = min(one, two)
+                yield node, other[0]
+
+
+def _compare(batches):
+    at, part = None, _Part()
+    for batch in batches:
+        found = []
+        for block, number, far, *row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+            row[2] &= 2**64 - 1
+            if (block, number) != at:
+                at, part, closed = (block, number), _Part(), False
+            if not far:
+                part.add(tuple(row))
+            elif part.rows:
+                if not closed:
+                    part.close()
+                    closed = True
+                found += part.links(tuple(row))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+
+def _compared(apart: DataFrame, texts: DataFrame, scope: Scope) -> DataFrame:
+    """Links between lines that are apart in a large block: those outside its largest group go by every part of it."""
+    main = apart.groupBy("block", "label").count().groupBy("block").agg(F.expr("max_by(label, struct(count, -label))").alias("main"), F.ceil(F.sum("count") / PART).cast("int").alias("parts"))
+    rows = scope.store(apart.join(main, "block").join(texts.select("id", "plain"), "id"), "line-apart-texts")
+    row = ("id", "label", "simhash", "size", "plain")
+    one = rows.select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("far"), *row)
+    far = rows.where("label <> main").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("far"), *row)
+    dealt = one.unionByName(far).repartition("block", "part").sortWithinPartitions("block", "part", "far")
+    return dealt.mapInArrow(_compare, "a long, b long").distinct()
+
+
+def _groups(lines: DataFrame, scope: Scope) -> DataFrame:
     """(node, label) of the distinct lines that are linked with another."""
-    part = lambda low, high: F.shiftrightunsigned("simhash", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-    keys = F.array(*(F.xxhash64(F.lit(n), part(*BLOCKS[a]), part(*BLOCKS[b])) for n, (a, b) in enumerate(TABLES)))
-    rows = lines.select("id", "simhash", F.explode(keys).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = Stored(rows.join(sizes, "key"), "line-buckets").df
-    small, large = buckets.where(F.col("n") <= SMALL), buckets.where(F.col("n") > SMALL)
-    other = small.select("key", F.col("id").alias("b"), F.col("simhash").alias("hb"))
-    near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("hb"))) <= DISTANCE
-    pairs = small.join(other, [small["key"] == other["key"], small["id"] < other["b"], near]).select(F.col("id").alias("a"), "b").distinct()
-    links = Stored(_linked(pairs, lines), "line-links").df
-    labels = components(links)
+    texts = lines.where("plain is not null")
+    rows = texts.select("id", "simhash", "size", F.explode("blocks").alias("block"))
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    filed = scope.store(rows.join(sizes, "block"), "line-blocks")
+    small, large = filed.where(F.col("n") <= SMALL), filed.where(F.col("n") > SMALL)
+    row = ("block", "id", "simhash", "size")
+    a, b = _sided(small, "a", *row), _sided(small, "b", *row)
+    pairs = a.join(b, (F.col("block_a") == F.col("block_b")) & (F.col("id_a") < F.col("id_b")) & _fits("a", "b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    hubs = large.groupBy("block").agg(F.expr("min_by(struct(id, simhash, size), xxhash64(id))").alias("hub")).select("block", *(F.col(f"hub.{c}").alias(f"{c}_hub") for c in row[1:]))
+    stars = large.select("block", *(F.col(c).alias(f"{c}_own") for c in row[1:])).join(hubs, "block").where((F.col("id_own") != F.col("id_hub")) & _fits("own", "hub"))
+    stars = stars.select(F.least("id_own", "id_hub").alias("a"), F.greatest("id_own", "id_hub").alias("b"))
+    links = scope.store(_verified(pairs.unionByName(stars).distinct(), texts), "line-links")
+    labels = components(links, scope=scope)
     if large.limit(1).count() == 0:
         return labels
-    for star in range(STARS + 1):
-        apart = large.select("key", "id", "simhash").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        split = apart.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("last")).where("main < last").select("key", "main")
-        apart = Stored(apart.join(split, "key"), "line-apart").df
-        if apart.limit(1).count() == 0:
-            break
-        if star < STARS:
-            hub = apart.groupBy("key").agg(F.expr(f"min_by(struct(id, label, simhash), xxhash64(id, {star}))").alias("h"))
-            met = apart.join(hub, "key").where("label <> h.label").select(F.greatest("id", "h.id").alias("a"), F.least("id", "h.id").alias("b"), F.col("simhash").alias("ha"), F.col("h.simhash").alias("hb"))
-            pairs = _near(met)
-        else:
-            other = apart.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("simhash").alias("hb"), F.col("label").alias("lb"))
-            pairs = apart.join(other, [apart["key"] == other["k"], apart["label"] < other["lb"], near]).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        links = links.unionByName(Stored(_linked(pairs, lines), "line-links").df)
-        labels = components(links)
-    return labels
+    apart = large.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*row, F.coalesce("label", "id").alias("label"))
+    split = apart.groupBy("block").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("block")
+    apart = scope.store(apart.join(split, "block"), "line-apart")
+    if apart.limit(1).count() == 0:
+        return labels
+    return components(links.unionByName(scope.store(_compared(apart, texts, scope), "line-links")), scope=scope)
 
 
 def _packed(table: pa.Table) -> pa.Table:
@@ -250,7 +380,7 @@ def _packed(table: pa.Table) -> pa.Table:
 def _rewrite(out: pa.Schema, report: bool):
     def run(batches):
         for piece in read_slices(batches):
-            lines = _Lines(piece, False)
+            lines = Lines(piece.text, piece.at, piece.docs)
             key, doc, line = np.frombuffer(piece.answer(1, 0), np.int64).reshape(3, -1)
             code = np.searchsorted(lines.keys, key.view(np.uint64))
             keep_doc, keep_line = np.full(len(lines.keys), -1), np.full(len(lines.keys), -1)
@@ -282,16 +412,16 @@ def _rewrite(out: pa.Schema, report: bool):
 _REPORT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _searched(docs: DataFrame, keep_columns: bool) -> SliceTable:
-    table = SliceTable(docs, keep_columns)
-    buckets = table.buckets
-    table.ask(0, _send_keys(buckets), near_others, "line-keys")
-    met = Stored(table.rows().mapInArrow(_meeting(buckets), _MEETING_SQL), "line-meeting").df
-    lines = Stored(met.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.sum("uses").alias("uses"), F.first("simhash").alias("simhash"), F.first("plain").alias("plain")), "line-distinct").df
-    labels = _groups(lines)
+def _searched(docs: DataFrame, scope: Scope, keep_columns: bool) -> SliceTable:
+    table = SliceTable(docs, scope, keep_columns)
+    table.ask(0, _send(table.buckets), partners, "line-partners")
+    met = scope.store(table.rows().mapInArrow(_meeting(table.buckets), _MEETING_SQL), "line-meeting")
+    first = (F.any_value(c, F.lit(True)).alias(c) for c in ("simhash", "size", "blocks", "plain"))
+    lines = scope.store(met.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.sum("uses").alias("uses"), *first), "line-distinct")
+    labels = _groups(lines, scope)
     grouped = lines.select("id", "at", "uses").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     keepers = grouped.groupBy("label").agg(F.min("at").alias("keep"), F.sum("uses").alias("all")).where("all > 1").select("label", "keep")
-    keep = Stored(grouped.select("id", "label").join(keepers, "label").select("id", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line")), "line-keep").df
+    keep = scope.store(grouped.select("id", "label").join(keepers, "label").select("id", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line")), "line-keep")
     told = met.select("slice_id", "id").join(keep, "id").select("slice_id", "id", "keep_doc", "keep_line")
     table.add(1, told.groupBy("slice_id").applyInArrow(_packed, "slice_id long, bucket int, reply binary"))
     return table
@@ -299,9 +429,12 @@ def _searched(docs: DataFrame, keep_columns: bool) -> SliceTable:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_lines, n_removed, kept_sha256 of what is left."""
-    return _searched(docs, False).rows().mapInArrow(_rewrite(_REPORT, True), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    with Scope(docs.sparkSession) as scope:
+        rows = _searched(docs, scope, False).rows()
+        return scope.result(rows.mapInArrow(_rewrite(_REPORT, True), "doc_id long, n_lines long, n_removed long, kept_sha256 string"), "line-report")
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """The documents with the repeated lines taken out of ``text``; all other columns as they are."""
-    return _searched(docs, True).rows().mapInArrow(_rewrite(None, False), docs.schema)
+    with Scope(docs.sparkSession) as scope:
+        return scope.result(_searched(docs, scope, True).rows().mapInArrow(_rewrite(None, False), docs.schema), "line-removed")

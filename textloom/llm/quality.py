@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import arrow_batches
 
 LEVEL = 3
 CHUNK_BYTES = 4096
@@ -119,7 +118,6 @@ def _judge(batches):
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row a document: base counts, verdicts and ratios. No shuffle; each text is read once."""
-    arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_judge, SCHEMA)
 
 
@@ -135,5 +133,4 @@ def _filter(batches):
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are accepted, with all their columns; the text column is ``text``."""
-    arrow_batches(docs.sparkSession)
     return docs.mapInArrow(_filter, docs.schema)

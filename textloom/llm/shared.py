@@ -1,19 +1,21 @@
-"""What the operators share: stored tables, batch sizes, joins of skewed sides."""
+"""What the operators share: stored tables, free names, joins of skewed sides."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stored import Stored, new_folder, remove, shared_root
+from ..sources.stored import Scope, Stored, new_folder, remove, shared_root
 
-__all__ = ["Stored", "arrow_batches", "new_folder", "remove", "salted_join", "shared_root"]
+__all__ = ["Scope", "Stored", "free_name", "new_folder", "remove", "salted_join", "shared_root"]
 
 
-def arrow_batches(spark: SparkSession) -> None:
-    """Keep the batches that Python workers get small: long texts make 10,000 rows too many."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread_by: str, how: str = "inner", salts: int = 64) -> DataFrame:

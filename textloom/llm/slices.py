@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import Stored, arrow_batches, new_folder
+from .shared import Scope, free_name, new_folder
 
 #: A null doc_id comes after all others: it takes nothing from other documents.
 NO_ID = np.iinfo(np.int64).max
@@ -54,7 +54,7 @@ def _cut(batches):
         return pa.RecordBatch.from_arrays([pa.array([slice_id]), lists, *(pa.array([x], pa.binary()) for x in (offsets.tobytes(), compressor.compress(text.tobytes()), rest)), pa.array([len(text)])], schema=_SLICE)
 
     for batch in batches:
-        for rows, text, at in W.slices(batch, "_text", limit=SLICE_BYTES // 4):
+        for rows, text, at in W.slices(batch, 1, limit=SLICE_BYTES // 4):
             other = pa.RecordBatch.from_arrays(rows.columns[2:], schema=pa.schema(list(rows.schema)[2:]))
             held.append((rows.column(0).cast(pa.int64()), text.copy(), at, other))
             size += len(text)
@@ -111,14 +111,17 @@ def sent(slice_id: int, counts: np.ndarray, payload: Callable[[int, int], bytes]
 
 
 class SliceTable:
-    def __init__(self, docs: DataFrame, keep_columns: bool = False):
-        self.spark = docs.sparkSession
-        arrow_batches(self.spark)
-        texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *(docs.columns if keep_columns else []))
+    """The slices of a table of documents, and the answers they have got. Everything stored goes with the scope."""
+
+    def __init__(self, docs: DataFrame, scope: Scope, keep_columns: bool = False):
+        self.spark, self.scope = docs.sparkSession, scope
+        named = [F.col("doc_id").cast("long").alias(free_name(docs, "slice_doc_id")), F.col("text").cast("string").alias(free_name(docs, "slice_text"))]
+        texts = docs.select(*named, *(docs.columns if keep_columns else []))
         # a bucketed table: the slices are dealt by slice_id once, and the joins with their answers move answers alone
-        parts, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"slices_{uuid.uuid4().hex}"
+        parts, name, folder = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"slices_{uuid.uuid4().hex}", new_folder(self.spark, "slices")
+        scope.holds(path=folder, table=name)
         dealt = texts.mapInArrow(_cut, _COLUMNS).repartition(parts, "slice_id")
-        dealt.write.bucketBy(parts, "slice_id").option("compression", "zstd").option("path", new_folder(self.spark, "slices")).saveAsTable(name)
+        dealt.write.bucketBy(parts, "slice_id").option("compression", "zstd").option("path", folder).saveAsTable(name)
         self.df = self.spark.table(name)
         self.size = self.df.agg(F.sum("size")).first()[0] or 0
         #: Shares of a search's keys; a bucket holds about those of BUCKET_BYTES of text.
@@ -127,8 +130,6 @@ class SliceTable:
 
     def rows(self) -> DataFrame:
         """The slices, with all answers so far."""
-        # a slice is MBs in one row: few rows a batch
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
         if self.answers is None:
             return self.df
         got = self.answers.groupBy("slice_id").agg(F.collect_list(F.struct("level", "bucket", "reply")).alias("answers"))
@@ -142,7 +143,7 @@ class SliceTable:
     def ask(self, level: int, send: Callable, answer: Callable, label: str) -> None:
         """One search: ``send`` maps slices to SENT rows, ``answer`` maps a bucket's rows to ANSWER rows."""
         asked = self.rows().mapInArrow(send, SENT)
-        self.add(level, Stored(asked.groupBy("bucket").applyInArrow(_as_tables(answer), ANSWER), label).df)
+        self.add(level, self.scope.store(asked.groupBy("bucket").applyInArrow(_as_tables(answer), ANSWER), label))
 
 
 def _as_tables(answer: Callable):

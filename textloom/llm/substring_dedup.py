@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import words as W
+from .shared import Scope
 from .slices import Slice, SliceTable, bucket_counts, distinct_keys, in_several, read_slices, sent
 
 WIDTH = 50
@@ -142,9 +143,11 @@ def _remove(width: int, buckets: int, with_text: bool):
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 and (if asked for) kept_text."""
-    table = SliceTable(docs)
-    buckets = table.buckets
-    for level, _ in enumerate(levels(width)):
-        table.ask(level, _send_level(level, width, buckets), in_several, f"level{level}")
-    table.ask(len(levels(width)), _send_full(width, buckets), in_smaller, "full")
-    return table.rows().mapInArrow(_remove(width, buckets, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    with Scope(docs.sparkSession) as scope:
+        table = SliceTable(docs, scope)
+        buckets = table.buckets
+        for level, _ in enumerate(levels(width)):
+            table.ask(level, _send_level(level, width, buckets), in_several, f"level{level}")
+        table.ask(len(levels(width)), _send_full(width, buckets), in_smaller, "full")
+        out = table.rows().mapInArrow(_remove(width, buckets, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+        return scope.result(out, "level-doubling")

@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from . import words as W
+from .shared import Scope
 from .slices import Slice, SliceTable, bucket_counts, distinct_keys, in_several, read_slices, sent
 
 WIDTH = 50
@@ -320,8 +321,10 @@ def _remove(width: int, buckets: int, with_spans: bool):
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_spans: bool = True, budget: int = QUEUE_BYTES) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if asked for) spans, the removed runs as
     start, end, start, end ... in bytes. ``width`` is 24 at least."""
-    table = SliceTable(docs)
-    buckets = table.buckets
-    table.ask(0, _send_grams(width, buckets), in_several, "grams")
-    table.ask(1, _send_runs(width, buckets), _sort_shard(width, budget), "shards")
-    return table.rows().mapInArrow(_remove(width, buckets, with_spans), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    with Scope(docs.sparkSession) as scope:
+        table = SliceTable(docs, scope)
+        buckets = table.buckets
+        table.ask(0, _send_grams(width, buckets), in_several, "grams")
+        table.ask(1, _send_runs(width, buckets), _sort_shard(width, budget), "shards")
+        out = table.rows().mapInArrow(_remove(width, buckets, with_spans), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+        return scope.result(out, "suffix-dedup")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stored, arrow_batches, new_folder, salted_join
+from .shared import Stored, new_folder, salted_join
 
 REVISIT_BYTES = 100
 #: A file is closed once it has this many compressed bytes.
@@ -144,7 +144,6 @@ def write_warc(pages: DataFrame, folder: str, shards: int | None = None, roll: i
 
     Pages are moved once, by the range sort; a revisit's mark is sorted right before its page."""
     spark = pages.sparkSession
-    arrow_batches(spark)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
     marks = Stored(revisits(pages), "warc-marks").df.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
@@ -202,7 +201,6 @@ def _parse(with_payload: bool):
 
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """One row a record of the committed archives; digests of files, blocks and payloads are verified."""
-    arrow_batches(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     manifest = spark.read.schema(_MANIFEST_SQL).json(f"{folder}/_manifest").select("name", "sha256")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")

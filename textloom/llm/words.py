@@ -41,9 +41,9 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return text[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The batch in runs of rows of about ``limit`` bytes of text, each with its bytes and offsets."""
-    text, at = utf8(batch.column(batch.schema.get_field_index(column)))
+    text, at = utf8(batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column)))
     first = 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
@@ -96,7 +96,7 @@ class Words:
         """A 64-bit hash of each word, equal everywhere for the same bytes: eight bytes at a time."""
         eight = loads(np.concatenate([self.text, np.zeros(8, np.uint8)]))
         left = self.ends - self.starts
-        out = mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * seed + 1))
+        out = mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) % 2**64))
         at, which = self.starts, slice(None)
         while True:
             value = eight[at] & _UPTO[np.minimum(left, 8)]
