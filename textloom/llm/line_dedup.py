@@ -35,8 +35,9 @@ from .shared import Scope
 from .slices import Slice, SliceTable, bucket_counts, read_slices, sent
 
 EDIT_PERCENT = 10
-#: Bits of the SimHashes that a candidate pair may differ in; two lines without a common word differ in 32.
-DISTANCE = 22
+#: Bits of the SimHashes that a candidate pair may differ in, by the longer one's characters: one changed word of four moves
+#: 15 bits, one of ten 9. Two lines without a common word differ in 32.
+LONG_CHARS, DISTANCE, DISTANCE_LONG = 64, 24, 16
 #: Lines of up to this many words are filed under themselves without a word; from this many characters on any edit is allowed.
 SHORT, FUZZY_CHARS = 7, 10
 RUN, SAMPLED = 4, 8
@@ -173,7 +174,7 @@ def _entries(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
 def candidates(one: np.ndarray, other: np.ndarray, size_one: np.ndarray, size_other: np.ndarray) -> np.ndarray:
     """Whether lines may be within the edit distance, by their SimHashes and sizes."""
     longer = np.maximum(size_one, size_other)
-    return (np.bitwise_count(one ^ other) <= DISTANCE) & (100 * np.abs(size_one - size_other) <= EDIT_PERCENT * longer)
+    return (np.bitwise_count(one ^ other) <= np.where(longer < LONG_CHARS, DISTANCE, DISTANCE_LONG)) & (100 * np.abs(size_one - size_other) <= EDIT_PERCENT * longer)
 
 
 def _send(buckets: int):
@@ -255,23 +256,35 @@ def _fits(a: str, b: str) -> Column:
     """``candidates`` as an expression."""
     bits = F.bit_count(F.col(f"simhash_{a}").bitwiseXOR(F.col(f"simhash_{b}")))
     one, other = F.col(f"size_{a}"), F.col(f"size_{b}")
-    return (bits <= DISTANCE) & (100 * F.abs(one - other) <= EDIT_PERCENT * F.greatest(one, other))
+    longer = F.greatest(one, other)
+    return (bits <= F.when(longer < LONG_CHARS, DISTANCE).otherwise(DISTANCE_LONG)) & (100 * F.abs(one - other) <= EDIT_PERCENT * longer)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) within the edit distance."""
     met = pairs.join(texts.select(F.col("id").alias("a"), F.col("plain").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("plain").alias("other")), "b")
-    # with a limit only a band of the table is worked out; beyond the limit the distance is -1
-    limit = F.floor(F.greatest(F.length("one"), F.length("other")) * EDIT_PERCENT / 100).cast("int")
-    return met.withColumn("limit", limit).where(F.expr("levenshtein(one, other, limit) >= 0")).select("a", "b")
+    return met.select("a", "b", "one", "other").mapInArrow(_verify, "a long, b long")
 
 
-def within(one: str, other: str) -> bool:
-    """Whether two texts are within the edit distance, by the bit-parallel table of Myers (1999)."""
+def _verify(batches):
+    for batch in batches:
+        good = pa.array([within(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(2)], names=["a", "b"])
+
+
+def profile(text: str) -> np.ndarray:
+    """How often each pair of neighbouring characters occurs, in 256 classes. An edit moves at most four of the counts by
+    one, so a quarter of two profiles' differences is never above the edit distance."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.minimum(np.bincount((points[:-1] * 31 + points[1:]) & 255, minlength=256), 32767).astype(np.int16)
+
+
+def edits(one: str, other: str) -> int:
+    """The Levenshtein distance, by the bit-parallel table of Myers (1999)."""
     if len(one) > len(other):
         one, other = other, one
-    if not one or EDIT_PERCENT * len(other) < 100 * (len(other) - len(one)):
-        return one == other
+    if not one:
+        return len(other)
     every, top = (1 << len(one)) - 1, 1 << (len(one) - 1)
     where: dict[str, int] = {}
     for k, c in enumerate(one):
@@ -285,7 +298,51 @@ def within(one: str, other: str) -> bool:
         distance += bool(plus & top) - bool(minus & top)
         plus, minus = plus << 1 | 1, minus << 1
         up, down = (minus | ~(vertical | plus)) & every, plus & vertical & every
-    return 100 * distance <= EDIT_PERCENT * len(other)
+    return distance
+
+
+def aligned(a: list[str], b: list[str], limit: int) -> int:
+    """The edits of one way from words to words, which may not be the shortest: where they part, the nearest two words in
+    a row that are common again are kept. Stops beyond the limit."""
+    i = j = spent = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        for skip in range(1, 9):
+            near = [(x, skip - x) for x in range(skip + 1) if a[i + x : i + x + 2] == b[j + skip - x : j + skip - x + 2] and i + x < len(a)]
+            if near:
+                break
+        else:
+            return limit + 1
+        x, y = min(near, key=lambda n: abs(n[0] - n[1]))
+        spent += edits("".join(w + " " for w in a[i : i + x]), "".join(w + " " for w in b[j : j + y]))
+        if spent > limit:
+            return spent
+        i, j = i + x, j + y
+    return spent + edits(" ".join(a[i:]), " ".join(b[j:])) + (bool(a[i:]) != bool(b[j:]))
+
+
+def within(one: str, other: str) -> bool:
+    """Whether two texts are within the edit distance; what is quickly told is told first."""
+    limit = EDIT_PERCENT * max(len(one), len(other)) // 100
+    if abs(len(one) - len(other)) > limit:
+        return False
+    a, b = one.split(" "), other.split(" ")
+    # word for word is one way to edit: if that is within the limit, the shortest is
+    if len(a) == len(b) and sum(max(len(x), len(y)) for x, y in zip(a, b) if x != y) <= limit:
+        return True
+    if int(np.abs(profile(one) - profile(other)).sum(dtype=np.int64)) > 4 * limit:
+        return False
+    if (sum(edits(x, y) for x, y in zip(a, b) if x != y) if len(a) == len(b) else aligned(a, b, limit)) <= limit:
+        return True
+    # what begins and ends alike needs no edit
+    most, k, n = min(len(a), len(b)), 0, 0
+    while k < most and a[k] == b[k]:
+        k += 1
+    while n < most - k and a[-1 - n] == b[-1 - n]:
+        n += 1
+    return edits(" ".join(a[k : len(a) - n]), " ".join(b[k : len(b) - n])) <= limit
 
 
 class _Part:
@@ -300,15 +357,21 @@ class _Part:
             label = up
         return label
 
-    def add(self, row: tuple) -> None:
-        self.rows.append(row)
-
     def close(self) -> None:
         self.simhash, self.size = (np.array([r[k] for r in self.rows], t) for k, t in ((2, np.uint64), (3, np.int64)))
+        self.profiles = np.stack([profile(r[4]) for r in self.rows])
+        self.blocks = np.zeros((len(self.rows), max(len(r[5]) for r in self.rows)), np.int64)
+        for k, r in enumerate(self.rows):
+            self.blocks[k, : len(r[5])] = r[5]
 
-    def links(self, row: tuple):
-        node, label, simhash, size, plain = row
+    def links(self, block: int, row: tuple):
+        node, label, simhash, size, plain, blocks = row
         fits = np.flatnonzero(candidates(np.uint64(simhash), self.simhash, np.int64(size), self.size))
+        # a pair is compared in the least of the blocks that it shares
+        before = np.array([b for b in blocks if b < block], np.int64)
+        fits = fits[~(self.blocks[fits][:, :, None] == before).any(axis=(1, 2))]
+        limit = EDIT_PERCENT * np.maximum(size, self.size[fits]) // 100
+        fits = fits[np.abs(self.profiles[fits] - profile(plain)).sum(axis=1, dtype=np.int64) <= 4 * limit]
         # the nearest first: it most likely joins the two, and then the rest of that group needs no look
         for k in fits[np.argsort(np.bitwise_count(self.simhash[fits] ^ np.uint64(simhash)), kind="stable")].tolist():
             other = self.rows[k]
@@ -319,7 +382,7 @@ class _Part:
 
 
 def _compare(batches):
-    at, part = None, _Part()
+    at, part, closed = None, _Part(), False
     for batch in batches:
         found = []
         for block, number, far, *row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
@@ -327,20 +390,21 @@ def _compare(batches):
             if (block, number) != at:
                 at, part, closed = (block, number), _Part(), False
             if not far:
-                part.add(tuple(row))
+                part.rows.append(tuple(row))
             elif part.rows:
                 if not closed:
                     part.close()
                     closed = True
-                found += part.links(tuple(row))
+                found += part.links(block, tuple(row))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
 
 def _compared(apart: DataFrame, texts: DataFrame, scope: Scope) -> DataFrame:
     """Links between lines that are apart in a large block: those outside its largest group go by every part of it."""
     main = apart.groupBy("block", "label").count().groupBy("block").agg(F.expr("max_by(label, struct(count, -label))").alias("main"), F.ceil(F.sum("count") / PART).cast("int").alias("parts"))
-    rows = scope.store(apart.join(main, "block").join(texts.select("id", "plain"), "id"), "line-apart-texts")
-    row = ("id", "label", "simhash", "size", "plain")
+    own = apart.groupBy("id").agg(F.collect_set("block").alias("blocks"))
+    rows = scope.store(apart.join(main, "block").join(texts.select("id", "plain").join(own, "id"), "id"), "line-apart-texts")
+    row = ("id", "label", "simhash", "size", "plain", "blocks")
     one = rows.select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("far"), *row)
     far = rows.where("label <> main").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("far"), *row)
     dealt = one.unionByName(far).repartition("block", "part").sortWithinPartitions("block", "part", "far")
