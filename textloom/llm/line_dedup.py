@@ -9,8 +9,9 @@ The pigeonhole blocks are those of the line, not of the SimHash's bits: an edit
 64 bits, and no few blocks of bits are left whole by that. What a few edits can't touch are most runs of words. A line of up
 to ``SHORT`` words is filed under itself and under itself without each one of its words, so a changed, added or missing
 word leaves a common block; a longer line is filed under ``SAMPLED`` runs of ``RUN`` words, those with the least hashes,
-which a line of nearly the same words samples as well. Lines that meet in a block are compared by SimHash: within
-``DISTANCE`` bits and a tenth in length they are a candidate pair, whose texts are moved and verified.
+which a line of nearly the same words samples as well. Lines that meet in a block are compared by SimHash: if it differs
+in few enough bits, and what stands before and after the block by a tenth of the line together, they are a candidate pair,
+whose texts are moved and verified.
 
 A search over slices tells first which lines have such a partner anywhere, so the texts of all others are never moved. In a
 block of up to ``SMALL`` lines all candidate pairs are verified, each once however many blocks it shares; a larger one
@@ -23,6 +24,7 @@ one row, with its columns as they are, and an empty table gives none."""
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from .slices import Slice, SliceTable, bucket_counts, read_slices, sent
 EDIT_PERCENT = 10
 #: Bits of the SimHashes that a candidate pair may differ in, by the longer one's characters: one changed word of four moves
 #: 15 bits, one of ten 9. Two lines without a common word differ in 32.
-LONG_CHARS, DISTANCE, DISTANCE_LONG = 64, 24, 16
+DISTANCE = ((0, 24), (64, 16), (200, 14))
 #: Lines of up to this many words are filed under themselves without a word; from this many characters on any edit is allowed.
 SHORT, FUZZY_CHARS = 7, 10
 RUN, SAMPLED = 4, 8
@@ -92,51 +94,60 @@ class Lines:
         self.first, self.counts = first[head], counts[head]
         self.uses = np.bincount(self.codes, minlength=len(self.keys))
 
+    @cached_property
+    def _upto(self) -> np.ndarray:
+        """Characters of the words before each word."""
+        upto = np.concatenate([[0], np.cumsum((self.words.text & 0xC0) != 0x80)])
+        return np.concatenate([[0], np.cumsum(upto[self.words.ends] - upto[self.words.starts])])
+
     def sizes(self) -> np.ndarray:
         """Characters of each distinct line, with a space between words."""
         if not len(self.keys):
             return np.zeros(0, np.int64)
-        upto = np.concatenate([[0], np.cumsum((self.words.text & 0xC0) != 0x80)])
-        of = np.concatenate([[0], np.cumsum(upto[self.words.ends] - upto[self.words.starts])])
+        of = self._upto
         return of[self.first + self.counts] - of[self.first] + self.counts - 1
 
-    def blocks(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(code, block): what each distinct line is filed under, each block once."""
+    def blocks(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code, block, place): what each distinct line is filed under, each block once, and the characters before it."""
         short = self.counts <= SHORT
-        code, block = [np.flatnonzero(short)], [self.keys[short]]
+        code, block, place = [np.flatnonzero(short)], [self.keys[short]], [np.zeros(int(short.sum()), np.int64)]
         for n in range(2, SHORT + 1):
             mine = np.flatnonzero((self.counts == n) & (sizes >= FUZZY_CHARS))
             if len(mine):
                 words = self.hashes[self.first[mine][:, None] + np.arange(n)]
-                place = np.arange(n, dtype=np.uint64) * _STEP
+                order = np.arange(n, dtype=np.uint64) * _STEP
                 # a word after the missing one stands a place earlier
-                before, after = W.mix(words + place), W.mix(words + (place - _STEP))
+                before, after = W.mix(words + order), W.mix(words + (order - _STEP))
                 for k in range(n):
                     code.append(mine)
                     block.append(W.mix(before[:, :k].sum(axis=1) + after[:, k + 1 :].sum(axis=1) + np.uint64(n - 1)))
+                    place.append(np.zeros(len(mine), np.int64))
         long = np.flatnonzero(~short)
         if len(long):
             n = self.counts[long] - RUN + 1
-            place, owner = _runs_of(self.first[long], n), np.repeat(long, n)
-            hashed = W.rolled(self.hashes, RUN)[place]
+            at, owner = _runs_of(self.first[long], n), np.repeat(long, n)
+            hashed = W.rolled(self.hashes, RUN)[at]
             # the sample is among the few least; what is far above them needs no sorting
             few = hashed <= ((np.uint64(2**64 - 1) // n.astype(np.uint64)) * np.uint64(3 * SAMPLED))[np.repeat(np.arange(len(long)), n)]
             few |= (n <= 3 * SAMPLED)[np.searchsorted(long, owner)]
             # a line that says the same again and again has too few different runs for that
             few |= (np.bincount(owner[few], minlength=len(self.keys)) < SAMPLED)[owner]
-            owner, hashed = owner[few], hashed[few]
-            order = np.lexsort((hashed, owner))
-            owner, hashed = owner[order], hashed[order]
+            owner, hashed, at = owner[few], hashed[few], at[few]
+            order = np.lexsort((at, hashed, owner))
+            owner, hashed, at = owner[order], hashed[order], at[order]
             new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])])
-            owner, hashed = owner[new], hashed[new]
-            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            code.append(owner[rank < SAMPLED])
-            block.append(hashed[rank < SAMPLED])
-        code, block = np.concatenate(code), np.concatenate(block)
-        order = np.lexsort((code, block))
-        code, block = code[order], block[order]
+            owner, hashed, at = owner[new], hashed[new], at[new]
+            sampled = np.arange(len(owner)) - np.searchsorted(owner, owner) < SAMPLED
+            owner, hashed, at = owner[sampled], hashed[sampled], at[sampled]
+            code.append(owner)
+            block.append(hashed)
+            of = self._upto
+            place.append(of[at] - of[self.first[owner]] + at - self.first[owner])
+        code, block, place = np.concatenate(code), np.concatenate(block), np.concatenate(place)
+        order = np.lexsort((place, code, block))
+        code, block, place = code[order], block[order], place[order]
         new = np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])]) if len(code) else np.zeros(0, bool)
-        return code[new], block[new]
+        return code[new], block[new], place[new]
 
     def simhashes(self) -> np.ndarray:
         return simhashes(self.hashes[_runs_of(self.first, self.counts)], self.counts) if len(self.keys) else np.zeros(0, np.uint64)
@@ -158,23 +169,27 @@ class Lines:
         return out
 
 
-#: What a slice files under a block: the SimHash, 32 bits of the line's key and its size.
-_ENTRY = np.dtype([("block", "<u8"), ("simhash", "<u8"), ("line", "<u4"), ("size", "<u4")])
+#: What a slice files under a block: the SimHash, 32 bits of the line's key, its size and the characters before the block.
+_ENTRY = np.dtype([("block", "<u8"), ("simhash", "<u8"), ("line", "<u4"), ("size", "<u4"), ("place", "<u4")])
 
 
 def _entries(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     """The entries in order of block, and the code of each."""
     sizes = lines.sizes()
-    code, block = lines.blocks(sizes)
+    code, block, place = lines.blocks(sizes)
     out = np.empty(len(code), _ENTRY)
     out["block"], out["simhash"], out["line"], out["size"] = block, lines.simhashes()[code], (lines.keys[code] >> np.uint64(32)).astype(np.uint32), sizes[code]
+    out["place"] = place
     return out, code
 
 
-def candidates(one: np.ndarray, other: np.ndarray, size_one: np.ndarray, size_other: np.ndarray) -> np.ndarray:
-    """Whether lines may be within the edit distance, by their SimHashes and sizes."""
+def candidates(one, other, size_one, size_other, place_one, place_other) -> np.ndarray:
+    """Whether lines that meet in a block may be within the edit distance, by their SimHashes, sizes and the block's places."""
     longer = np.maximum(size_one, size_other)
-    return (np.bitwise_count(one ^ other) <= np.where(longer < LONG_CHARS, DISTANCE, DISTANCE_LONG)) & (100 * np.abs(size_one - size_other) <= EDIT_PERCENT * longer)
+    bits = np.array([b for _, b in DISTANCE])[np.searchsorted([n for n, _ in DISTANCE], longer, "right") - 1]
+    moved = np.abs(place_one - place_other)
+    moved = moved + np.abs(size_one - size_other - (place_one - place_other))
+    return (np.bitwise_count(one ^ other) <= bits) & (100 * moved <= EDIT_PERCENT * longer)
 
 
 def _send(buckets: int):
@@ -192,8 +207,8 @@ def partners(payloads: list[bytes]) -> list[bytes]:
     parts = [np.frombuffer(p, _ENTRY) for p in payloads]
     entries = np.concatenate(parts)
     order = np.lexsort((entries["line"], entries["size"], entries["block"]))
-    block, simhash, line, size = (entries[c][order] for c in ("block", "simhash", "line", "size"))
-    size = size.astype(np.int64)
+    block, simhash, line, size, place = (entries[c][order] for c in ("block", "simhash", "line", "size", "place"))
+    size, place = size.astype(np.int64), place.astype(np.int64)
     near, same = np.zeros(len(order), bool), np.zeros(len(order), bool)
     left, step = np.arange(len(order)), 1
     while len(left):
@@ -206,7 +221,7 @@ def partners(payloads: list[bytes]) -> list[bytes]:
             near |= np.isin(block, np.unique(block[left]))
             break
         equal = (line[left] == line[other]) & (simhash[left] == simhash[other]) & (size[left] == size[other])
-        hit = ~equal & candidates(simhash[left], simhash[other], size[left], size[other])
+        hit = ~equal & candidates(simhash[left], simhash[other], size[left], size[other], place[left], place[other])
         for flag, which in ((near, hit), (same, equal)):
             flag[left[which]] = flag[other[which]] = True
         step += 1
@@ -215,8 +230,8 @@ def partners(payloads: list[bytes]) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1])]
 
 
-_MEETING = pa.schema([("slice_id", pa.int64()), ("id", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("uses", pa.int64()), ("simhash", pa.int64()), ("size", pa.int64()), ("blocks", pa.list_(pa.int64())), ("plain", pa.string())])
-_MEETING_SQL = "slice_id long, id long, doc_id long, line long, uses long, simhash long, size long, blocks array<long>, plain string"
+_MEETING = pa.schema([("slice_id", pa.int64()), ("id", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("uses", pa.int64()), ("simhash", pa.int64()), ("size", pa.int64()), ("blocks", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("plain", pa.string())])
+_MEETING_SQL = "slice_id long, id long, doc_id long, line long, uses long, simhash long, size long, blocks array<long>, places array<long>, plain string"
 
 
 def _meeting(buckets: int):
@@ -236,14 +251,14 @@ def _meeting(buckets: int):
             first = order[np.searchsorted(lines.codes[order], code)]
             hit = bits[:, 0]
             by_owner = np.argsort(owner[hit], kind="stable")
-            owners, blocks = owner[hit][by_owner], entries["block"][hit][by_owner].view(np.int64)
+            owners, blocks, places = owner[hit][by_owner], entries["block"][hit][by_owner].view(np.int64), entries["place"][hit][by_owner].astype(np.int64)
             offsets = np.concatenate([np.searchsorted(owners, code), [len(owners)]]).astype(np.int32)
             simhash, size = np.zeros(len(lines.keys), np.uint64), np.zeros(len(lines.keys), np.int64)
             simhash[owner], size[owner] = entries["simhash"], entries["size"]
             texts = np.full(len(code), None, object)
             texts[near[code]] = lines.texts(code[near[code]])
             columns = (np.full(len(code), piece.id), lines.keys[code].view(np.int64), lines.docs[first], lines.at[first], lines.uses[code], simhash[code].view(np.int64), size[code])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _MEETING)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(blocks)), pa.array(texts, pa.string())], schema=_MEETING)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _MEETING)), *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (blocks, places)), pa.array(texts, pa.string())], schema=_MEETING)
 
     return run
 
@@ -256,8 +271,11 @@ def _fits(a: str, b: str) -> Column:
     """``candidates`` as an expression."""
     bits = F.bit_count(F.col(f"simhash_{a}").bitwiseXOR(F.col(f"simhash_{b}")))
     one, other = F.col(f"size_{a}"), F.col(f"size_{b}")
-    longer = F.greatest(one, other)
-    return (bits <= F.when(longer < LONG_CHARS, DISTANCE).otherwise(DISTANCE_LONG)) & (100 * F.abs(one - other) <= EDIT_PERCENT * longer)
+    longer, shift = F.greatest(one, other), F.col(f"place_{a}") - F.col(f"place_{b}")
+    most = F.lit(DISTANCE[0][1])
+    for size, distance in DISTANCE[1:]:
+        most = F.when(longer >= size, distance).otherwise(most)
+    return (bits <= most) & (100 * (F.abs(shift) + F.abs(one - other - shift)) <= EDIT_PERCENT * longer)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -279,25 +297,38 @@ def profile(text: str) -> np.ndarray:
     return np.minimum(np.bincount((points[:-1] * 31 + points[1:]) & 255, minlength=256), 32767).astype(np.int16)
 
 
-def edits(one: str, other: str) -> int:
-    """The Levenshtein distance, by the bit-parallel table of Myers (1999)."""
+#: Characters after which it is looked whether the limit can still be kept.
+LOOK = 128
+
+
+def edits(one: str, other: str, limit: int | None = None) -> int:
+    """The Levenshtein distance, by the bit-parallel table of Myers (1999); more than the limit is limit + 1."""
     if len(one) > len(other):
         one, other = other, one
     if not one:
         return len(other)
-    every, top = (1 << len(one)) - 1, 1 << (len(one) - 1)
+    n, every, top = len(one), (1 << len(one)) - 1, 1 << (len(one) - 1)
     where: dict[str, int] = {}
     for k, c in enumerate(one):
         where[c] = where.get(c, 0) | 1 << k
-    up, down, distance = every, 0, len(one)
-    for c in other:
+    up, down, distance = every, 0, n
+    for done, c in enumerate(other, 1):
         equal = where.get(c, 0)
         vertical = equal | down
         level = (((equal & up) + up) ^ up) | equal
         plus, minus = down | (every & ~(level | up)), up & level
-        distance += bool(plus & top) - bool(minus & top)
+        if plus & top:
+            distance += 1
+        elif minus & top:
+            distance -= 1
         plus, minus = plus << 1 | 1, minus << 1
         up, down = (minus | ~(vertical | plus)) & every, plus & vertical & every
+        if limit is not None and done % LOOK == 0:
+            # the column's distances, and at least what then stands over at the end
+            bits = [np.unpackbits(np.frombuffer(x.to_bytes(-(-n // 8), "little"), np.uint8), count=n, bitorder="little").astype(np.int32) for x in (up, down)]
+            column = done + np.concatenate([[0], np.cumsum(bits[0] - bits[1])])
+            if (column + np.abs((n - np.arange(n + 1)) - (len(other) - done))).min() > limit:
+                return limit + 1
     return distance
 
 
@@ -342,7 +373,7 @@ def within(one: str, other: str) -> bool:
         k += 1
     while n < most - k and a[-1 - n] == b[-1 - n]:
         n += 1
-    return edits(" ".join(a[k : len(a) - n]), " ".join(b[k : len(b) - n])) <= limit
+    return edits(" ".join(a[k : len(a) - n]), " ".join(b[k : len(b) - n]), limit) <= limit
 
 
 class _Part:
@@ -359,24 +390,29 @@ class _Part:
 
     def close(self) -> None:
         self.simhash, self.size = (np.array([r[k] for r in self.rows], t) for k, t in ((2, np.uint64), (3, np.int64)))
-        self.profiles = np.stack([profile(r[4]) for r in self.rows])
-        self.blocks = np.zeros((len(self.rows), max(len(r[5]) for r in self.rows)), np.int64)
+        self.profiles = np.stack([profile(r[5]) for r in self.rows])
+        self.place = np.array([r[4] for r in self.rows], np.int64)
+        self.blocks = np.zeros((len(self.rows), max(len(r[6]) for r in self.rows), 2), np.int64)
         for k, r in enumerate(self.rows):
-            self.blocks[k, : len(r[5])] = r[5]
+            self.blocks[k, : len(r[6])] = [(b["block"], b["place"]) for b in r[6]]
 
     def links(self, block: int, row: tuple):
-        node, label, simhash, size, plain, blocks = row
-        fits = np.flatnonzero(candidates(np.uint64(simhash), self.simhash, np.int64(size), self.size))
-        # a pair is compared in the least of the blocks that it shares
-        before = np.array([b for b in blocks if b < block], np.int64)
-        fits = fits[~(self.blocks[fits][:, :, None] == before).any(axis=(1, 2))]
+        node, label, simhash, size, place, plain, blocks = row
+        fits = np.flatnonzero(candidates(np.uint64(simhash), self.simhash, np.int64(size), self.size, np.int64(place), self.place))
+        # a pair is compared in the least of the blocks in which it is a candidate
+        before = np.array([(b["block"], b["place"]) for b in blocks if b["block"] < block], np.int64).reshape(-1, 2)
+        theirs = self.blocks[fits][:, :, None]
+        shift = before[:, 1] - theirs[..., 1]
+        moved = np.abs(shift) + np.abs(size - self.size[fits][:, None, None] - shift)
+        met = (theirs[..., 0] == before[:, 0]) & (100 * moved <= EDIT_PERCENT * np.maximum(size, self.size[fits])[:, None, None])
+        fits = fits[~met.any(axis=(1, 2))]
         limit = EDIT_PERCENT * np.maximum(size, self.size[fits]) // 100
         fits = fits[np.abs(self.profiles[fits] - profile(plain)).sum(axis=1, dtype=np.int64) <= 4 * limit]
         # the nearest first: it most likely joins the two, and then the rest of that group needs no look
         for k in fits[np.argsort(np.bitwise_count(self.simhash[fits] ^ np.uint64(simhash)), kind="stable")].tolist():
             other = self.rows[k]
             one, two = self.label(label), self.label(other[1])
-            if one != two and within(plain, other[4]):
+            if one != two and within(plain, other[5]):
                 self.joined[max(one, two)] = min(one, two)
                 yield node, other[0]
 
@@ -402,9 +438,9 @@ def _compare(batches):
 def _compared(apart: DataFrame, texts: DataFrame, scope: Scope) -> DataFrame:
     """Links between lines that are apart in a large block: those outside its largest group go by every part of it."""
     main = apart.groupBy("block", "label").count().groupBy("block").agg(F.expr("max_by(label, struct(count, -label))").alias("main"), F.ceil(F.sum("count") / PART).cast("int").alias("parts"))
-    own = apart.groupBy("id").agg(F.collect_set("block").alias("blocks"))
+    own = apart.groupBy("id").agg(F.collect_set(F.struct("block", "place")).alias("blocks"))
     rows = scope.store(apart.join(main, "block").join(texts.select("id", "plain").join(own, "id"), "id"), "line-apart-texts")
-    row = ("id", "label", "simhash", "size", "plain", "blocks")
+    row = ("id", "label", "simhash", "size", "place", "plain", "blocks")
     one = rows.select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("far"), *row)
     far = rows.where("label <> main").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("far"), *row)
     dealt = one.unionByName(far).repartition("block", "part").sortWithinPartitions("block", "part", "far")
@@ -414,14 +450,14 @@ def _compared(apart: DataFrame, texts: DataFrame, scope: Scope) -> DataFrame:
 def _groups(lines: DataFrame, scope: Scope) -> DataFrame:
     """(node, label) of the distinct lines that are linked with another."""
     texts = lines.where("plain is not null")
-    rows = texts.select("id", "simhash", "size", F.explode("blocks").alias("block"))
+    rows = texts.select("id", "simhash", "size", F.inline(F.arrays_zip(F.col("blocks").alias("block"), F.col("places").alias("place"))))
     sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
     filed = scope.store(rows.join(sizes, "block"), "line-blocks")
     small, large = filed.where(F.col("n") <= SMALL), filed.where(F.col("n") > SMALL)
-    row = ("block", "id", "simhash", "size")
+    row = ("block", "id", "simhash", "size", "place")
     a, b = _sided(small, "a", *row), _sided(small, "b", *row)
     pairs = a.join(b, (F.col("block_a") == F.col("block_b")) & (F.col("id_a") < F.col("id_b")) & _fits("a", "b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    hubs = large.groupBy("block").agg(F.expr("min_by(struct(id, simhash, size), xxhash64(id))").alias("hub")).select("block", *(F.col(f"hub.{c}").alias(f"{c}_hub") for c in row[1:]))
+    hubs = large.groupBy("block").agg(F.expr("min_by(struct(id, simhash, size, place), xxhash64(id))").alias("hub")).select("block", *(F.col(f"hub.{c}").alias(f"{c}_hub") for c in row[1:]))
     stars = large.select("block", *(F.col(c).alias(f"{c}_own") for c in row[1:])).join(hubs, "block").where((F.col("id_own") != F.col("id_hub")) & _fits("own", "hub"))
     stars = stars.select(F.least("id_own", "id_hub").alias("a"), F.greatest("id_own", "id_hub").alias("b"))
     links = scope.store(_verified(pairs.unionByName(stars).distinct(), texts), "line-links")
@@ -480,7 +516,7 @@ def _searched(docs: DataFrame, scope: Scope, keep_columns: bool) -> SliceTable:
     table = SliceTable(docs, scope, keep_columns)
     table.ask(0, _send(table.buckets), partners, "line-partners")
     met = scope.store(table.rows().mapInArrow(_meeting(table.buckets), _MEETING_SQL), "line-meeting")
-    first = (F.any_value(c, F.lit(True)).alias(c) for c in ("simhash", "size", "blocks", "plain"))
+    first = (F.any_value(c, F.lit(True)).alias(c) for c in ("simhash", "size", "blocks", "places", "plain"))
     lines = scope.store(met.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.sum("uses").alias("uses"), *first), "line-distinct")
     labels = _groups(lines, scope)
     grouped = lines.select("id", "at", "uses").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
