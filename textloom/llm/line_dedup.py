@@ -97,7 +97,7 @@ class Lines:
     @cached_property
     def _upto(self) -> np.ndarray:
         """Characters of the words before each word."""
-        upto = np.concatenate([[0], np.cumsum((self.words.text & 0xC0) != 0x80)])
+        upto = np.concatenate([[0], np.cumsum((self.words.text & 0xC0) != 0x80, dtype=np.int32)])
         return np.concatenate([[0], np.cumsum(upto[self.words.ends] - upto[self.words.starts])])
 
     def sizes(self) -> np.ndarray:
@@ -125,14 +125,14 @@ class Lines:
         long = np.flatnonzero(~short)
         if len(long):
             n = self.counts[long] - RUN + 1
-            at, owner = _runs_of(self.first[long], n), np.repeat(long, n)
+            at = _runs_of(self.first[long], n)
             hashed = W.rolled(self.hashes, RUN)[at]
             # the sample is among the few least; what is far above them needs no sorting
-            few = hashed <= ((np.uint64(2**64 - 1) // n.astype(np.uint64)) * np.uint64(3 * SAMPLED))[np.repeat(np.arange(len(long)), n)]
-            few |= (n <= 3 * SAMPLED)[np.searchsorted(long, owner)]
+            most = np.uint64(2**64 - 1)
+            few = hashed <= np.repeat(np.where(n > 3 * SAMPLED, most // n.astype(np.uint64) * np.uint64(3 * SAMPLED), most), n)
             # a line that says the same again and again has too few different runs for that
-            few |= (np.bincount(owner[few], minlength=len(self.keys)) < SAMPLED)[owner]
-            owner, hashed, at = owner[few], hashed[few], at[few]
+            few |= np.repeat(np.add.reduceat(few, np.cumsum(n) - n, dtype=np.int64) < SAMPLED, n)
+            owner, hashed, at = np.repeat(long, n)[few], hashed[few], at[few]
             order = np.lexsort((at, hashed, owner))
             owner, hashed, at = owner[order], hashed[order], at[order]
             new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])])
@@ -189,7 +189,7 @@ def candidates(one, other, size_one, size_other, place_one, place_other) -> np.n
     bits = np.array([b for _, b in DISTANCE])[np.searchsorted([n for n, _ in DISTANCE], longer, "right") - 1]
     moved = np.abs(place_one - place_other)
     moved = moved + np.abs(size_one - size_other - (place_one - place_other))
-    return (np.bitwise_count(one ^ other) <= bits) & (100 * moved <= EDIT_PERCENT * longer)
+    return (np.bitwise_count((one ^ other).view(np.uint64)) <= bits) & (100 * moved <= EDIT_PERCENT * longer)
 
 
 def _send(buckets: int):
@@ -382,6 +382,7 @@ class _Part:
     def __init__(self):
         self.rows: list[tuple] = []
         self.joined: dict[int, int] = {}
+        self.profiles = None
 
     def label(self, label: int) -> int:
         while (up := self.joined.get(label, label)) != label:
@@ -389,27 +390,36 @@ class _Part:
         return label
 
     def close(self) -> None:
-        self.simhash, self.size = (np.array([r[k] for r in self.rows], t) for k, t in ((2, np.uint64), (3, np.int64)))
-        self.profiles = np.stack([profile(r[5]) for r in self.rows])
-        self.place = np.array([r[4] for r in self.rows], np.int64)
+        self.id, self.labels, self.simhash, self.size, self.place = (np.array([r[k] for r in self.rows], np.int64) for k in range(5))
         self.blocks = np.zeros((len(self.rows), max(len(r[6]) for r in self.rows), 2), np.int64)
         for k, r in enumerate(self.rows):
             self.blocks[k, : len(r[6])] = [(b["block"], b["place"]) for b in r[6]]
 
-    def links(self, block: int, row: tuple):
+    def links(self, block: int, rows: list[tuple]):
+        """Links of some other lines of the block with lines of this part."""
+        label, simhash, size, place = (np.array([r[k] for r in rows], np.int64)[:, None] for k in range(1, 5))
+        fits = candidates(simhash, self.simhash, size, self.size, place, self.place) & (label != self.labels)
+        for k in np.flatnonzero(fits.any(axis=1)).tolist():
+            yield from self._links(block, rows[k], np.flatnonzero(fits[k]))
+
+    def _links(self, block: int, row: tuple, fits: np.ndarray):
         node, label, simhash, size, place, plain, blocks = row
-        fits = np.flatnonzero(candidates(np.uint64(simhash), self.simhash, np.int64(size), self.size, np.int64(place), self.place))
         # a pair is compared in the least of the blocks in which it is a candidate
         before = np.array([(b["block"], b["place"]) for b in blocks if b["block"] < block], np.int64).reshape(-1, 2)
-        theirs = self.blocks[fits][:, :, None]
-        shift = before[:, 1] - theirs[..., 1]
-        moved = np.abs(shift) + np.abs(size - self.size[fits][:, None, None] - shift)
-        met = (theirs[..., 0] == before[:, 0]) & (100 * moved <= EDIT_PERCENT * np.maximum(size, self.size[fits])[:, None, None])
-        fits = fits[~met.any(axis=(1, 2))]
+        if len(before):
+            theirs = self.blocks[fits][:, :, None]
+            shift = before[:, 1] - theirs[..., 1]
+            moved = np.abs(shift) + np.abs(size - self.size[fits][:, None, None] - shift)
+            met = (theirs[..., 0] == before[:, 0]) & (100 * moved <= EDIT_PERCENT * np.maximum(size, self.size[fits])[:, None, None])
+            fits = fits[~met.any(axis=(1, 2))]
+        if not len(fits):
+            return
+        if self.profiles is None:
+            self.profiles = np.stack([profile(r[5]) for r in self.rows])
         limit = EDIT_PERCENT * np.maximum(size, self.size[fits]) // 100
-        fits = fits[np.abs(self.profiles[fits] - profile(plain)).sum(axis=1, dtype=np.int64) <= 4 * limit]
+        fits = fits[np.abs(self.profiles[fits] - profile(plain)).sum(axis=1, dtype=np.int32) <= 4 * limit]
         # the nearest first: it most likely joins the two, and then the rest of that group needs no look
-        for k in fits[np.argsort(np.bitwise_count(self.simhash[fits] ^ np.uint64(simhash)), kind="stable")].tolist():
+        for k in fits[np.argsort(np.bitwise_count((self.simhash[fits] ^ np.int64(simhash)).view(np.uint64)), kind="stable")].tolist():
             other = self.rows[k]
             one, two = self.label(label), self.label(other[1])
             if one != two and within(plain, other[5]):
@@ -417,22 +427,32 @@ class _Part:
                 yield node, other[0]
 
 
+#: Lines that are held against a part at once.
+TOGETHER = 128
+
+
 def _compare(batches):
-    at, part, closed = None, _Part(), False
+    at, part, waiting = None, _Part(), []
+
+    def found():
+        nonlocal waiting
+        out, waiting = list(part.links(at[0], waiting)) if waiting and part.rows else [], []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
     for batch in batches:
-        found = []
         for block, number, far, *row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
-            row[2] &= 2**64 - 1
             if (block, number) != at:
-                at, part, closed = (block, number), _Part(), False
+                yield found()
+                at, part = (block, number), _Part()
             if not far:
                 part.rows.append(tuple(row))
-            elif part.rows:
-                if not closed:
-                    part.close()
-                    closed = True
-                found += part.links(block, tuple(row))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+                continue
+            if not waiting and part.rows and not hasattr(part, "id"):
+                part.close()
+            waiting.append(tuple(row))
+            if len(waiting) == TOGETHER:
+                yield found()
+    yield found()
 
 
 def _compared(apart: DataFrame, texts: DataFrame, scope: Scope) -> DataFrame:
@@ -450,14 +470,15 @@ def _compared(apart: DataFrame, texts: DataFrame, scope: Scope) -> DataFrame:
 def _groups(lines: DataFrame, scope: Scope) -> DataFrame:
     """(node, label) of the distinct lines that are linked with another."""
     texts = lines.where("plain is not null")
-    rows = texts.select("id", "simhash", "size", F.inline(F.arrays_zip(F.col("blocks").alias("block"), F.col("places").alias("place"))))
+    rows = texts.select("id", "simhash", "size", "uses", F.inline(F.arrays_zip(F.col("blocks").alias("block"), F.col("places").alias("place"))))
     sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
     filed = scope.store(rows.join(sizes, "block"), "line-blocks")
     small, large = filed.where(F.col("n") <= SMALL), filed.where(F.col("n") > SMALL)
     row = ("block", "id", "simhash", "size", "place")
     a, b = _sided(small, "a", *row), _sided(small, "b", *row)
     pairs = a.join(b, (F.col("block_a") == F.col("block_b")) & (F.col("id_a") < F.col("id_b")) & _fits("a", "b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    hubs = large.groupBy("block").agg(F.expr("min_by(struct(id, simhash, size, place), xxhash64(id))").alias("hub")).select("block", *(F.col(f"hub.{c}").alias(f"{c}_hub") for c in row[1:]))
+    # of edited copies the unedited line is near to most, and it is the one that occurs again
+    hubs = large.groupBy("block").agg(F.expr("max_by(struct(id, simhash, size, place), struct(uses, -id))").alias("hub")).select("block", *(F.col(f"hub.{c}").alias(f"{c}_hub") for c in row[1:]))
     stars = large.select("block", *(F.col(c).alias(f"{c}_own") for c in row[1:])).join(hubs, "block").where((F.col("id_own") != F.col("id_hub")) & _fits("own", "hub"))
     stars = stars.select(F.least("id_own", "id_hub").alias("a"), F.greatest("id_own", "id_hub").alias("b"))
     links = scope.store(_verified(pairs.unionByName(stars).distinct(), texts), "line-links")
