@@ -3,8 +3,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 from .helpers import documents, odd_texts
 from textloom.llm import packing, quality
+from textloom.llm import words as W
 
 
 def test_base_counts_match_a_plain_count(spark):
@@ -79,3 +81,13 @@ def test_patterns_meet_demand():
     assert (made == demand).all()
     least = int((demand * np.arange(65)).sum() / 64)
     assert sum(times for _, times in plan) <= 1.03 * least + 5
+
+
+def test_added_tokens_in_any_case():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, texts = Tokenizer.from_file(path), ["<|ENDOFTEXT|>", "a <|startoftext|> b", "Plain words, here.", "x<|STARTOFTEXT|>Y <|EndOfText|>", ""]
+    ids, to = packing.token_ids(*W.utf8(pa.array(texts)), path, 1)
+    for k, text in enumerate(texts):
+        assert ids[to[k] : to[k + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]

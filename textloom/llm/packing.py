@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import Stored
+from .shared import Scope
 
 CAPACITY = 2048
 GRID = 8
@@ -118,6 +118,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Tokens that the tokenizer looks for before it takes texts apart.
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.forget()
 
     def forget(self) -> None:
@@ -197,7 +199,17 @@ def token_ids(text: np.ndarray, at: np.ndarray, path: str, closing_id: int) -> t
     closes = found.first[1:] + np.arange(len(at) - 1)
     closing = ends[closes] - 1
     ids[closing] = closing_id
-    return ids.astype("<u4"), np.concatenate([[0], closing + 1])
+    to = np.concatenate([[0], closing + 1])
+    raw = text.tobytes()
+    low = raw.lower()
+    if any(a in low for a in encoder.added):
+        # such texts go to the tokenizer whole
+        parts = [ids[a:b] for a, b in zip(to[:-1], to[1:])]
+        for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            if any(x in low[a:b] for x in encoder.added):
+                parts[k] = np.array([*encoder.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, closing_id], np.int64)
+        ids, to = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    return ids.astype("<u4"), to
 
 
 def _pieces(path: str, closing_id: int, capacity: int, grid: int):
@@ -230,28 +242,29 @@ def _pieces(path: str, closing_id: int, capacity: int, grid: int):
 def pack(docs: DataFrame, tokenizer_path: str, closing_id: int = 1, capacity: int = CAPACITY, grid: int = GRID) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens."""
     spark = docs.sparkSession
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _pieces(tokenizer_path, closing_id, capacity, grid), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, size int, place long"
-    )
-    pieces = Stored(made, "pieces").df
-    counts = pieces.groupBy("part", "size").count()
-    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = pieces.join(before.select("part", "size", F.coalesce("before", F.lit(0)).alias("before")), ["part", "size"]).withColumn("rank", F.col("before") + F.col("place"))
-    # at most capacity / grid rows
-    demand = np.zeros(capacity // grid + 1, np.int64)
-    for row in pieces.groupBy("size").count().collect():
-        demand[row["size"]] = row["count"]
-    plan = _plan_table(spark, solve_patterns(demand, capacity // grid))
-    # the plan has a few rows a pattern, and about as many patterns as there are sizes at most
-    placed = ranked.join(F.broadcast(plan), (ranked["size"] == plan["of"]) & (ranked["rank"] >= plan["low"]) & (ranked["rank"] < plan["high"])).withColumn("turn", F.col("rank") - F.col("low"))
-    placed = placed.withColumn("sequence_id", F.col("base") + F.floor(F.col("turn") / F.col("each")).cast("long"))
-    of = Window.partitionBy("sequence_id")
-    upto = of.orderBy(F.desc("size"), F.col("turn")).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
-        F.coalesce(F.sum("length").over(upto), F.lit(0)).cast("long").alias("offset"),
-        F.sum("length").over(of).cast("long").alias("sequence_tokens"),
-    )
+    with Scope(spark) as scope:
+        made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+            _pieces(tokenizer_path, closing_id, capacity, grid), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, size int, place long"
+        )
+        pieces = scope.store(made, "pieces")
+        counts = pieces.groupBy("part", "size").count()
+        before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+        ranked = pieces.join(before.select("part", "size", F.coalesce("before", F.lit(0)).alias("before")), ["part", "size"]).withColumn("rank", F.col("before") + F.col("place"))
+        # at most capacity / grid rows
+        demand = np.zeros(capacity // grid + 1, np.int64)
+        for row in pieces.groupBy("size").count().collect():
+            demand[row["size"]] = row["count"]
+        plan = _plan_table(spark, solve_patterns(demand, capacity // grid))
+        # the plan has a few rows a pattern, and about as many patterns as there are sizes at most
+        placed = ranked.join(F.broadcast(plan), (ranked["size"] == plan["of"]) & (ranked["rank"] >= plan["low"]) & (ranked["rank"] < plan["high"])).withColumn("turn", F.col("rank") - F.col("low"))
+        placed = placed.withColumn("sequence_id", F.col("base") + F.floor(F.col("turn") / F.col("each")).cast("long"))
+        of = Window.partitionBy("sequence_id")
+        upto = of.orderBy(F.desc("size"), F.col("turn")).rowsBetween(Window.unboundedPreceding, -1)
+        return scope.result(placed.select(
+            "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+            F.coalesce(F.sum("length").over(upto), F.lit(0)).cast("long").alias("offset"),
+            F.sum("length").over(of).cast("long").alias("sequence_tokens"),
+        ), "packed")
 
 
 def _plan_table(spark: SparkSession, plan: list[tuple[dict[int, int], int]]) -> DataFrame:
