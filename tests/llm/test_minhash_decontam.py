@@ -101,3 +101,12 @@ def test_decontamination_matches_brute_force(spark, monkeypatch):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.report(documents(spark, texts), empty).where("contaminated").count() == 0
     assert decontam.report(documents(spark, []), bench).count() == 0
+
+
+def test_repeated_and_null_doc_ids(spark):
+    words = [f"w{k}" for k in range(30)]
+    one, other = " ".join(words), " ".join(reversed(words))
+    rows = [(4, one), (4, other), (7, one), (9, other), (None, one), (None, "alone and by itself here"), (None, None)]
+    for parts in (1, 4):
+        got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+        assert got == {(4, 26, 4, True), (7, 26, 4, False), (9, 26, 4, False), (None, 26, 4, False), (None, 1, None, True), (None, 0, None, True)}

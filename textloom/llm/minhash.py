@@ -8,7 +8,9 @@ the members. Every proposed pair is confirmed on the full sets. Members that a s
 others of their bucket get further stars, and in the end whatever is still apart in a bucket is compared block by block,
 without a row for a pair, so a bucket loses no link. Equal sets are one node from the start.
 
-Rows with one doc_id are one document. An empty table gives no rows. Only ``doc_id`` and ``text`` are read."""
+A row is judged by its own text. Texts that one doc_id comes with are each compared, and where that doc_id is the least of
+their sets they are one node. A row with a null doc_id is never a class's first: it is kept only if no other row has its
+set. An empty table gives no rows. Only ``doc_id`` and ``text`` are read."""
 
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from . import words as W
-from .shared import Stored
+from .shared import Scope
 
 SHINGLE = 5
 SIMILAR_PERCENT = 75
@@ -85,13 +87,14 @@ def _sign(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("hashes", pa.binary())])
 
 
 def _full_sets(batches):
     for batch in batches:
         for rows, text, at in W.slices(batch):
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(text, at)], pa.binary())], schema=_SETS)
+            sets = [s.tobytes() for s in shingle_sets(text, at)]
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], schema=_SETS)
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -166,7 +169,7 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], schema=_LINKS)
 
 
-def _compared(apart: DataFrame, sets: DataFrame) -> DataFrame:
+def _compared(apart: DataFrame, sets: DataFrame, scope: Scope) -> DataFrame:
     """The links between components in each bucket, however many members it has, without a row for each pair.
 
     A bucket's members are dealt to blocks of bounded size; those outside the bucket's largest component go by every
@@ -174,7 +177,7 @@ def _compared(apart: DataFrame, sets: DataFrame) -> DataFrame:
     main = apart.groupBy("key", "label").count().groupBy("key").agg(F.expr("max_by(label, struct(count, -label))").alias("main"))
     rows = apart.drop("main").join(main, "key").join(sets, "doc_id")
     blocks = apart.join(sets.select("doc_id", F.length("hashes").alias("bytes")), "doc_id").groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-    rows = Stored(rows.join(blocks, "key"), "compared").df
+    rows = scope.store(rows.join(blocks, "key"), "compared")
     one = rows.select("key", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("part"), F.lit(False).alias("far"), "doc_id", "label", "hashes")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     far = rows.where("label <> main").select("key", every.alias("part"), F.lit(True).alias("far"), "doc_id", "label", "hashes")
@@ -184,39 +187,47 @@ def _compared(apart: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
+    with Scope(docs.sparkSession) as scope:
+        return scope.result(_components_of(docs, scope), "near-duplicates")
+
+
+def _components_of(docs: DataFrame, scope: Scope) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = Stored(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed").df
-    nodes = Stored(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")), "nodes").df
+    signed = scope.store(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
+    nodes = scope.store(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")), "nodes")
     member = signed.join(nodes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
     rows = member.select("doc_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("key", "hub")
-    buckets = Stored(rows.join(shared, "key"), "buckets").df
-    wanted = Stored(buckets.select("doc_id").distinct(), "wanted").df
-    sets = Stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, hashes binary").dropDuplicates(["doc_id"]), "sets").df
+    buckets = scope.store(rows.join(shared, "key").distinct(), "buckets")
+    wanted = scope.store(buckets.select("doc_id").distinct(), "wanted")
+    # a doc_id that comes with several texts has a set for each
+    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, set_key binary, hashes binary")
+    sets = scope.store(sets.dropDuplicates(["doc_id", "set_key"]).select("doc_id", "hashes"), "sets")
 
     pairs = buckets.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     links, labels = None, None
     for star in range(STARS + 1):
-        found = Stored(_confirmed(pairs, sets) if star < STARS else _compared(apart, sets), "links").df
+        found = scope.store(_confirmed(pairs, sets) if star < STARS else _compared(apart, sets, scope), "links")
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = components(links, scope=scope)
         if star == STARS:
             break
         apart = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
         # buckets whose members are in one component have nothing left to tell
         split = apart.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("last")).where("main < last").select("key", "main")
-        apart = Stored(apart.join(split, "key"), "apart").df
+        apart = scope.store(apart.join(split, "key"), "apart")
         if apart.limit(1).count() == 0:
             break
         hubs = apart.where("label <> main").groupBy("key").agg(F.expr(f"min_by(struct(doc_id, label), xxhash64(doc_id, {star}))").alias("hub"))
         pairs = apart.join(hubs, "key").where("label <> hub.label").select(F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct()
     classes = nodes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    first = F.when(F.col("component").isNull(), True).otherwise(F.coalesce(F.col("component") == F.col("doc_id"), F.lit(False)))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), first.alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their group, with all their columns."""
+    """The documents that are the first of their group, with all their columns. A doc_id is kept with all its rows, null
+    like any other; an empty table stays empty."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
