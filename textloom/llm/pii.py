@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Stored, salted_join
+from .shared import Scope, Stored, salted_join
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -37,23 +37,48 @@ CONTEXT = r"(\S+\s+\S+)\s+\S{0,3}$"
 #: Known values that a pattern needs, the score that makes it good, the score that makes a value known.
 SUPPORT, GOOD_PATTERN, GOOD_VALUE = 3, 0.6, 0.65
 
-SPAN = "struct<first:int,last:int,value:string>"
+CONTEXT_CHARS = 80
+
+SPAN = "struct<first:int,last:int,value:string,before:string>"
+
+
+#: Numbers that are added up at once; the sums of such runs are added up in turn, so that work grows with the text.
+_RUN = 256
+
+
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once: a lambda binds it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _sums(numbers: Column) -> Column:
+    """(total, before): the sum of all numbers, and of those before each."""
+    start = F.expr("struct(0 as total, cast(array() as array<int>) as before)")
+    return F.aggregate(numbers, start, lambda s, x: F.struct((s["total"] + x).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before")))
+
+
+def _running(numbers: Column) -> Column:
+    """For each number, the sum of those before it."""
+    runs = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _RUN).cast("int")), lambda r: _sums(F.slice(n, r * _RUN + 1, F.lit(_RUN))))
+    joined = lambda r: F.flatten(F.zip_with(r, _sums(F.transform(r, lambda x: x["total"]))["before"], lambda x, upto: F.transform(x["before"], lambda k: k + upto)))
+    return _bound(numbers, lambda n: _bound(runs(n), joined))
 
 
 def _spans(text: Column, pattern: str, there: Column) -> Column:
-    """All matches as (first, last, value); first and last are code points, last exclusive."""
+    """All matches as (first, last, value, before); first and last are code points, last exclusive; before is some of the
+    text that ends at the match."""
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.struct(found.alias("f"), between.alias("b"))
 
     def place(pair: Column) -> Column:
         f, b = pair["f"], pair["b"]
-        upto = lambda k: F.aggregate(F.slice(b, 1, k + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(f, 1, k), F.lit(0), lambda s, x: s + F.length(x))
-        return F.transform(f, lambda v, k: F.struct(upto(k).alias("first"), (upto(k) + F.length(v)).alias("last"), v.alias("value")))
+        upto = _running(F.zip_with(f, b, lambda v, x: F.coalesce(F.length(v), F.lit(0)) + F.length(x)))
+        part = lambda a, k: F.coalesce(F.get(a, k), F.lit(""))
+        before = lambda k: F.right(F.concat(part(b, k - 2), part(f, k - 2), part(b, k - 1), part(f, k - 1), part(b, k)), F.lit(CONTEXT_CHARS))
+        spans = lambda u: F.transform(f, lambda v, k: F.struct((F.get(u, k) + F.length(F.get(b, k))).alias("first"), (F.get(u, k) + F.length(F.get(b, k)) + F.length(v)).alias("last"), v.alias("value"), before(k).alias("before")))
+        return _bound(upto, spans)
 
-    # a lambda binds the matches once
-    spans = F.transform(F.array(both), place)[0]
-    return F.when(there, spans).otherwise(empty)
+    return F.when(there, _bound(F.struct(found.alias("f"), between.alias("b")), place)).otherwise(empty)
 
 
 def _digits(value: Column) -> Column:
@@ -96,17 +121,13 @@ def found_spans(docs: DataFrame) -> DataFrame:
     outside = lambda s: ~F.exists("base", lambda b: (b["first"] < s["last"]) & (s["first"] < b["last"]))
     rows = rows.withColumn("base", base).withColumn("token", F.filter("token", lambda s: (F.length(_digits(s["value"])) >= MIN_DIGITS) & outside(s)))
 
-    def context(s: Column) -> Column:
-        before = F.substring(F.col("text"), F.greatest(s["first"] - 80, F.lit(0)) + 1, F.least(s["first"], F.lit(80)))
-        return F.lower(F.regexp_extract(before, CONTEXT, 1))
-
     def seen(column: str, known: bool) -> Column:
-        return F.transform(column, lambda s: F.struct(F.lit(known).alias("known"), s["first"].alias("first"), s["last"].alias("last"), s["value"].alias("value"), context(s).alias("context")))
+        return F.transform(column, lambda s: F.struct(F.lit(known).alias("known"), s["first"].alias("first"), s["last"].alias("last"), s["value"].alias("value"), F.lower(F.regexp_extract(s["before"], CONTEXT, 1)).alias("context")))
 
     return rows.select("doc_id", "row_key", *KINDS, F.concat(seen("base", True), seen("token", False)).alias("seen"))
 
 
-def bootstrap(edges: DataFrame) -> DataFrame:
+def bootstrap(edges: DataFrame, scope: Scope | None = None) -> DataFrame:
     """(value) found: from distinct (context, value, known) pairs, by scoring patterns and values in turns until a round adds
     no value. Every other round adds one at least, so it ends."""
     known = Stored(edges.where("known").select("value").distinct().withColumn("found", F.lit(False)), "known")
@@ -121,20 +142,23 @@ def bootstrap(edges: DataFrame) -> DataFrame:
         known.drop()
         known = more
         if not grown:
+            if scope:
+                scope.holds(known.path)
             return known.df.where("found").select("value")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: numbers of each base kind, the digest of base spans, and all spans as text."""
-    rows = Stored(found_spans(docs), "pii").df
-    # rows without an identifier take no part in the graph
-    seen = rows.where(F.size("seen") > 0).select("row_key", F.inline("seen"))
-    edges = Stored(seen.where("context <> ''").groupBy("context", "value").agg(F.max("known").alias("known")), "pii-edges").df
-    values = bootstrap(edges)
-    found = salted_join(seen.where("not known").select("row_key", "first", "last", "value"), values, ["value"], "row_key", salts=16)
-    added = found.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("added"))
-    named = lambda c, kind: F.transform(c, lambda s: F.concat_ws(":", F.lit(kind), s["first"].cast("string"), s["last"].cast("string")))
-    out = rows.join(added, "row_key", "left")
-    base = F.array_join(F.concat(*(named(k, k) for k in KINDS)), ",")
-    every = F.array_join(F.concat(*(named(k, k) for k in KINDS), F.coalesce(named("added", "id"), F.expr("cast(array() as array<string>)"))), ",")
-    return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+    with Scope(docs.sparkSession) as scope:
+        rows = scope.store(found_spans(docs), "pii")
+        # rows without an identifier take no part in the graph
+        seen = rows.where(F.size("seen") > 0).select("row_key", F.inline("seen"))
+        edges = scope.store(seen.where("context <> ''").groupBy("context", "value").agg(F.max("known").alias("known")), "pii-edges")
+        values = bootstrap(edges, scope)
+        found = salted_join(seen.where("not known").select("row_key", "first", "last", "value"), values, ["value"], "row_key", salts=16)
+        added = found.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("added"))
+        named = lambda c, kind: F.transform(c, lambda s: F.concat_ws(":", F.lit(kind), s["first"].cast("string"), s["last"].cast("string")))
+        out = rows.join(added, "row_key", "left")
+        base = F.array_join(F.concat(*(named(k, k) for k in KINDS)), ",")
+        every = F.array_join(F.concat(*(named(k, k) for k in KINDS), F.coalesce(named("added", "id"), F.expr("cast(array() as array<string>)"))), ",")
+        return scope.result(out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), every.alias("spans")), "pii-report")
