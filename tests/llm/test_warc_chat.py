@@ -2,6 +2,9 @@ import hashlib
 import json
 import os
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 from textloom.llm import chat, warc
 from textloom.llm.shared import new_folder
 
@@ -68,3 +71,29 @@ def test_parts_are_flattened_in_order(spark):
     assert [row.formatted[s.first : s.last] for s in row.loss] == ["see \\<image 0> ", "end"]
     assert [tuple(a) for a in row.attachments] == [("image", 0, "s3://b/1.png", 576), ("audio", 0, "x.wav", 40), ("image", 1, "2.png", 7), ("document", 0, None, 1024)]
     assert json.dumps(chat.parse_turn(row.formatted))
+
+
+def test_the_same_pages_give_the_same_files(spark, tmp_path):
+    page = F.when(F.col("id") % 1000 == 7, F.col("id") * 10**12).otherwise(F.col("id"))
+    pages = spark.range(60000).select(page.alias("page_id"), F.concat(F.lit("http://x.org/"), "id").alias("url"), F.concat(F.lit("<p>page of some length "), F.sha2(F.col("id").cast("string"), 256), F.lit("</p>")).alias("html"))
+    listed = []
+    for k, parts in enumerate((8, 5)):
+        rows = warc.write_warc(pages.repartition(parts), str(tmp_path / f"w{k}"), shards=4).orderBy("name").collect()
+        listed.append([(r.name, r.records, r.bytes, r.sha256, r.first_page, r.last_page) for r in rows])
+    assert listed[0] == listed[1]
+    assert sum(r[1] for r in listed[0]) == 60000 and max(r[1] for r in listed[0]) < 30000
+    assert [r[4] for r in listed[0]] == sorted(r[4] for r in listed[0])
+
+
+def test_no_pages_and_null_ids(spark, tmp_path):
+    schema = "page_id long, url string, html string, shard string, range0 string"
+    assert warc.write_warc(spark.createDataFrame([], schema), str(tmp_path / "none")).count() == 0
+    rows = [(None, None, None, "a", "b"), (3, "http://x", "y", "a", "b"), (None, "http://z", "w", "a", "b")]
+    assert sum(r.records for r in warc.write_warc(spark.createDataFrame(rows, schema), str(tmp_path / "null")).collect()) == 3
+
+
+@pytest.mark.parametrize("role", ["a\\nb", "a\nb", "a\\\\nb", "x>y", "<turn #### >", "\\", "n\\"])
+def test_roles_come_back(role):
+    row = pa.RecordBatch.from_pylist([{"conv_id": 1, "turn": 0, "role": role, "parts": [None, {"type": "text", "text": "t\\n", "ref": None, "n_tokens": None}]}])
+    formatted = next(iter(chat._format([row]))).column(3)[0].as_py()
+    assert chat.parse_turn(formatted) == (role, "t\\n")

@@ -7,7 +7,7 @@ Inside texts and roles every backslash becomes two, and ``<`` and ``#`` at the s
 ``</turn``, ``###``, ``<image``, ``<audio``, ``<document``, ``<conversation``) gets a backslash before it, so no text can close a turn
 or forge a placeholder, and the text comes back exactly.
 
-Loss spans are the assistant's texts as they stand in the output, escaped. Null texts are empty; a null role is "";
+Loss spans are the assistant's texts as they stand in the output, escaped. Null texts are empty; a null part is none, and null parts are an empty turn; a null role is "";
 turns are sorted by turn (null first), then role and text, so ties and repeated rows have one order. An empty table gives
 no rows. A turn is formatted where it is read. A conversation's turns are then sorted by Spark and read in order in bounded
 batches: nothing holds a whole conversation, but its digest is a chain, so one task reads it through."""
@@ -52,10 +52,12 @@ class Flatten:
         self.pieces: list[str] = []
         self.attachments: list[dict] = []
         self.loss: list[tuple[int, int]] = []
+        self.numbers: dict[str, int] = {}
         self.size = 0
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['type'] or 'text'}", self.visit_attachment)(part)
+    def visit(self, part: dict | None) -> None:
+        if part is not None:
+            getattr(self, f"visit_{part['type'] or 'text'}", self.visit_attachment)(part)
 
     def _put(self, piece: str) -> None:
         self.pieces.append(piece)
@@ -69,7 +71,7 @@ class Flatten:
 
     def visit_attachment(self, part: dict) -> None:
         kind = part["type"] if part["type"] in EXPANDED else "document"
-        number = sum(a["kind"] == kind for a in self.attachments)
+        number = self.numbers[kind] = self.numbers.get(kind, -1) + 1
         tokens = part["n_tokens"] if part["n_tokens"] is not None else EXPANDED[kind]
         self.attachments.append({"kind": kind, "number": number, "ref": part["ref"], "n_tokens": tokens})
         self._put(f"<{kind} {number}>")
@@ -114,7 +116,8 @@ def parse_turn(formatted: str) -> tuple[str, str]:
     found = _MARK.fullmatch(formatted)
     if not found:
         raise ValueError("not a turn of this template")
-    return unescape(found[1].replace("\\n", "\n")), unescape(found[2])
+    # from left to right, so that an escaped backslash before an n stays one
+    return _UNESCAPE.sub(lambda m: "\n" if m[1] == "n" else m[1], found[1]), unescape(found[2])
 
 
 class _Chain:

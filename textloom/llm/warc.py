@@ -1,6 +1,6 @@
 """Deterministic sharded WARC writing, and reading back.
 
-Records are range-sorted by page_id and written one gzip member each to files that roll at a compressed size. Headers and
+Records are range-sorted by page_id, in shards whose bounds are told from exact counts, never from samples, and written one gzip member each to files that roll at a compressed size. Headers and
 digests are made anew from the rows: record ids are UUIDs of the page, dates are a parameter, so the same rows give the
 same bytes. Of records with equal payloads of at least ``REVISIT_BYTES`` the one with the smallest page_id is a response
 and the others are revisits that name it.
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stored, new_folder, salted_join
+from .shared import Scope, new_folder, salted_join
 
 REVISIT_BYTES = 100
 #: A file is closed once it has this many compressed bytes.
@@ -74,8 +74,7 @@ _MANIFEST_SQL = "shard int, number int, temporary string, name string, records l
 def _write(folder: str, roll: int, date: str):
     def run(batches):
         system, root = _file_system(folder)
-        context = TaskContext.get()
-        shard, attempt = context.partitionId(), context.taskAttemptId()
+        shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         system.create_dir(f"{root}/_temporary", recursive=True)
         out, number, done = None, 0, []
 
@@ -139,21 +138,57 @@ def revisits(pages: DataFrame) -> DataFrame:
     return later.select("page_id", F.lower(F.hex("key")).alias("digest"), F.col("first").alias("refers_to")).distinct()
 
 
+#: Pages in a shard, the most shards, the ranges of page_id that are counted at first, and bits by which they get finer.
+SHARD_PAGES, MOST_SHARDS, RANGES, FINER = 8192, 20000, 4096, 6
+
+
+def shard_table(ids: DataFrame, shards: int | None) -> tuple[int, list[tuple[int, int, int]]]:
+    """(shards, ranges) from a table of page_ids: each (range, shift, shard) holds the page_ids that agree with it beyond the
+    lowest ``shift`` bits. Ranges with more pages than a shard should have are counted again in finer ones, so the driver gets
+    RANGES rows, and 64 for each range that is too large, of which there are no more than shards. A single page_id is never
+    parted."""
+    low, high, total = ids.agg(F.min("page_id"), F.max("page_id"), F.count("page_id")).first()
+    if not total:
+        return shards or 1, []
+    shards = shards or min(MOST_SHARDS, -(-total // SHARD_PAGES))
+    shift = max(0, (high - low).bit_length() - RANGES.bit_length() + 1)
+    count = lambda df, k: [(r.range, k, r.n) for r in df.groupBy(F.shiftright("page_id", k).alias("range")).agg(F.count("*").alias("n")).collect()]
+    ranges = count(ids.where("page_id is not null"), shift)
+    while heavy := {(r, k) for r, k, n in ranges if k and n * shards > total}:
+        # all of them are of the round before, so of one shift
+        shift = min(k for _, k in heavy)
+        inside = ids.where(F.shiftright("page_id", shift).isin([r for r, _ in heavy]))
+        ranges = [x for x in ranges if x[:2] not in heavy] + count(inside, max(0, shift - FINER))
+    out, upto = [], 0
+    for r, k, n in sorted(ranges, key=lambda x: x[0] << x[1]):
+        out.append((r, k, min(shards - 1, upto * shards // total)))
+        upto += n
+    return shards, out
+
+
 def write_warc(pages: DataFrame, folder: str, shards: int | None = None, roll: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
-    """Write the archives to an empty folder and return the manifest that is committed.
+    """Write the archives to an empty folder and return the manifest that is committed. The same rows give the same files.
 
-    Pages are moved once, by the range sort; a revisit's mark is sorted right before its page."""
+    Pages are moved once, to their shards; a revisit's mark is sorted right before its page."""
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    marks = Stored(revisits(pages), "warc-marks").df.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
-    by, then = [F.col("page_id").asc_nulls_last(), F.col("digest")], [F.col("refers_to").asc_nulls_last(), F.col("url")]
-    every = rows.unionByName(marks)
-    ranged = every.repartitionByRange(shards, *by) if shards else every.repartitionByRange(*by)
-    written = ranged.sortWithinPartitions(*by, *then).mapInArrow(_write(folder, roll, date), _MANIFEST_SQL)
-    manifest = Stored(written, "warc-manifest").df
-    renamed = manifest.repartition("name").mapInArrow(_rename(folder), _MANIFEST_SQL)
-    renamed.coalesce(1).write.mode("overwrite").json(f"{folder}/_manifest")
+    with Scope(spark) as scope:
+        marks = scope.store(revisits(pages), "warc-marks").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
+        by, then = [F.col("page_id").asc_nulls_last(), F.col("digest")], [F.col("refers_to").asc_nulls_last(), F.col("url")]
+        shards, ranges = shard_table(rows.select("page_id"), shards)
+        every = rows.unionByName(marks)
+        # a few thousand ranges at most for each level of counting; null page_ids are in none and come last
+        shard = F.lit(None).cast("int")
+        for k in sorted({k for _, k, _ in ranges}):
+            told = spark.createDataFrame([(r, s) for r, at, s in ranges if at == k], f"range{k} long, shard{k} int")
+            every = every.withColumn(f"range{k}", F.shiftright("page_id", k)).join(F.broadcast(told), f"range{k}", "left")
+            shard = F.coalesce(shard, F.col(f"shard{k}"))
+        every = every.withColumn("shard", F.coalesce(shard, F.lit(shards - 1)))
+        dealt = every.repartitionById(shards, F.col("shard")).sortWithinPartitions(*by, *then).select("page_id", "url", "html", "digest", "refers_to")
+        manifest = scope.store(dealt.mapInArrow(_write(folder, roll, date), _MANIFEST_SQL), "warc-manifest")
+        renamed = manifest.repartition("name").mapInArrow(_rename(folder), _MANIFEST_SQL)
+        renamed.coalesce(1).sortWithinPartitions("shard", "number").write.mode("overwrite").json(f"{folder}/_manifest")
     return spark.read.schema(_MANIFEST_SQL).json(f"{folder}/_manifest")
 
 
@@ -201,7 +236,6 @@ def _parse(with_payload: bool):
 
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """One row a record of the committed archives; digests of files, blocks and payloads are verified."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     manifest = spark.read.schema(_MANIFEST_SQL).json(f"{folder}/_manifest").select("name", "sha256")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     return files.join(manifest, "name").select("content", "sha256").mapInArrow(_parse(with_payload), _READ_SQL)
