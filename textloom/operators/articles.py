@@ -28,6 +28,11 @@ def matches_category(category: str, title: Column, body: Column, url: Column, so
     """Whether an article belongs to a category; it must pass the relevance gates first."""
     content = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))))
     every = F.lower(F.concat_ws(" ", content, F.coalesce(url, F.lit(""))))
+    return relevance_reason(title, body, url).isNull() & _verdict(category, content, every, source, source_url)
+
+
+def _verdict(category: str, content: Column, every: Column, source: Column, source_url: Column) -> Column:
+    """The category's own rule, from texts in lower case: title and body, and both with the url."""
     source, source_url = F.lower(F.coalesce(source, F.lit(""))), F.lower(F.coalesce(source_url, F.lit("")))
     hinted = lambda c: X.any_part(source_url, L.SOURCE_HINTS[c])
     abroad_source, india_source = X.any_part(F.trim(source), L.INTERNATIONAL_SOURCES), X.any_part(source, L.INDIA_SOURCES)
@@ -53,13 +58,18 @@ def matches_category(category: str, title: Column, body: Column, url: Column, so
         verdict = (hinted("politics") & (signal > 0)) | (signal >= 2) | X.any_keyword(content, L.POLITICS_STRONG)
     else:
         verdict = any_of
-    return relevance_reason(title, body, url).isNull() & verdict
+    return verdict
 
 
 def categorised(articles: DataFrame, categories: tuple[str, ...] = tuple(L.CATEGORY_KEYWORDS)) -> DataFrame:
-    """A row for each article and category that it matches. Every text is scanned once: categories are columns first."""
-    flags = F.array(*(F.when(matches_category(c, *(F.col(x) for x in ("title", "body", "url", "source", "source_url"))), c) for c in categories))
-    return articles.withColumn("category", F.explode(F.array_compact(flags)))
+    """A row for each article and category that it matches. The gates drop articles before any category is asked, and the
+    texts that keywords are looked up in are made once, as columns."""
+    content, every = "_content", "_every"
+    rows = articles.where(relevance_reason(F.col("title"), F.col("body"), F.col("url")).isNull())
+    rows = rows.withColumn(content, F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))))
+    rows = rows.withColumn(every, F.lower(F.concat_ws(" ", content, F.coalesce("url", F.lit("")))))
+    flags = F.array(*(F.when(_verdict(c, F.col(content), F.col(every), F.col("source"), F.col("source_url")), c) for c in categories))
+    return rows.withColumn("category", F.explode(F.array_compact(flags))).drop(content, every)
 
 
 def fresh(published: Column, now: Column, minutes: int = 1440, required: bool = False) -> Column:

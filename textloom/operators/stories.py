@@ -179,6 +179,8 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def unpublished(items: DataFrame, history: DataFrame, now: Column, hours: int = 48) -> DataFrame:
-    """Items whose story_key isn't in the history of the last hours and whose url never was."""
+    """Items whose story_key isn't in the history of the last hours and whose url, in its normal form, never was."""
     recent = history.where(F.col("published_ts") >= now - F.expr(f"INTERVAL {hours} HOURS"))
-    return items.join(recent.select("story_key").distinct(), "story_key", "left_anti").join(history.select("url").distinct(), "url", "left_anti")
+    seen = history.where("url is not null").select(X.normalise_url("url").alias("seen")).distinct()
+    fresh = items.join(recent.select("story_key").distinct(), "story_key", "left_anti")
+    return fresh.join(seen, X.normalise_url(fresh["url"]) == seen["seen"], "left_anti")

@@ -299,22 +299,20 @@ def _stem_sql(w: str) -> str:
 _TITLES_SQL = f"""{T.ARTICLES_SQL}, tw AS (SELECT article_id, list_distinct(list_transform(list_filter(regexp_extract_all(lower(title), '[a-z0-9]{{3,}}'), lambda w: w NOT IN ({T.quoted(L.TITLE_STOPWORDS)})), lambda z: {_stem_sql('z')})) AS ws,
   list_distinct(list_transform(list_filter(list_transform(string_split({T.collapse('title')}, ' '), lambda r: regexp_replace(r, '[^a-zA-Z0-9]', '', 'g')), lambda w: length(w) >= 2 AND regexp_matches(w, '^[A-Z]') AND lower(w) NOT IN ({T.quoted(L.TITLE_STOPWORDS)})), lambda q: lower(q))) AS ns FROM art),
 tp AS (SELECT a.article_id AS new_id, b.article_id AS old_id, {T.jaccard('a.ws', 'b.ws')} AS word_sim, {T.jaccard('a.ns', 'b.ns')} AS name_sim, len(list_intersect(a.ns, b.ns)) AS shared
-  FROM tw a JOIN tw b ON a.article_id % 7 = 0 AND b.article_id % 7 <> 0 AND len(a.ws) >= 2 AND len(b.ws) >= 2)"""
+  FROM tw a JOIN tw b ON a.article_id > b.article_id AND len(a.ws) >= 2 AND len(b.ws) >= 2)"""
 
 
 @query(f"WITH {_TITLES_SQL} SELECT new_id, old_id, round(word_sim, 6) AS word_sim, round(name_sim, 6) AS name_sim, CAST(shared AS INT) AS shared FROM tp WHERE (shared >= 2 AND name_sim >= 0.5 AND word_sim >= 0.25) OR word_sim >= 0.62 OR (CASE WHEN name_sim > 0 THEN word_sim * 0.4 + name_sim * 0.6 ELSE word_sim END) >= 0.5")
 def title_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh title is new, the others were published: a fixed split of the table in two relations."""
-    rows = T.articles(spark, sf_dir).select(F.col("article_id").alias("id"), "title")
-    found = S.similar_titles(rows.where("id % 7 = 0"), rows.where("id % 7 <> 0"))
+    """Every title against all earlier ones."""
+    found = S.similar_titles_within(T.articles(spark, sf_dir).select(F.col("article_id").alias("id"), "title"))
     return found.select("new_id", "old_id", F.round("word_sim", 6).alias("word_sim"), F.round("name_sim", 6).alias("name_sim"), "shared")
 
 
 @query()
 def title_duplicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every title against all earlier ones."""
-    found = S.similar_titles_within(T.articles(spark, sf_dir).select(F.col("article_id").alias("id"), "title"))
-    return found.select("new_id", "old_id", F.round("word_sim", 6).alias("word_sim"), F.round("name_sim", 6).alias("name_sim"), "shared")
+    """The same by its earlier name."""
+    return title_duplicates(spark, sf_dir)
 
 
 @query(f"WITH {_KEY_SQL}, h AS (SELECT * FROM keyed WHERE article_id % 3 = 0) SELECT article_id, story_key FROM keyed k WHERE article_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.story_key = k.story_key AND h.event_s >= {NOW_DOCS} - 172800) AND NOT EXISTS (SELECT 1 FROM h WHERE h.url = k.url)")
