@@ -184,3 +184,46 @@ def unpublished(items: DataFrame, history: DataFrame, now: Column, hours: int =
     seen = history.where("url is not null").select(X.normalise_url("url").alias("seen")).distinct()
     fresh = items.join(recent.select("story_key").distinct(), "story_key", "left_anti")
     return fresh.join(seen, X.normalise_url(fresh["url"]) == seen["seen"], "left_anti")
+
+
+def cluster_keys(rolled: DataFrame, order: str = "cluster_id") -> DataFrame:
+    """Adds number (from 1, by first article) and key: a digest of number and title. A number is the count of smaller ids
+    within a range of ids plus what lies in the ranges before, so no task sees all clusters."""
+    width = 1 << 16
+    rows = rolled.withColumn("_range", F.floor(F.col(order) / width))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    # one row a 65,536 ids
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    rows = rows.join(before, "_range").withColumn("number", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    key = F.left(F.sha1(F.concat_ws(":", F.col("number").cast("string"), X.normalise("title"))), F.lit(12))
+    return rows.withColumn("key", key).drop("_range", "_before")
+
+
+def same_event(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Pairs (new_id, old_id) whose titles share two names and one number of three or four digits: retellings that no word
+    measure sees. Both have id, title, text (what numbers are looked for in). Pairs meet on a number and a name at once, so
+    neither a common name nor a common number alone brings rows together."""
+    def keyed(df: DataFrame, p: str) -> DataFrame:
+        rows = df.select(F.col("id").alias(f"{p}_id"), X.title_names("title").alias("names"), F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b[0-9]{3,4}\b"), F.lit(0))).alias("ns"))
+        rows = rows.where((F.size("names") >= 2) & (F.size("ns") > 0))
+        return rows.select(f"{p}_id", "ns", F.explode("names").alias("name")).select(f"{p}_id", "name", F.explode("ns").alias("number"))
+
+    met = keyed(new, "new").join(keyed(old, "old"), ["name", "number"]).where("new_id > old_id")
+    return met.groupBy("new_id", "old_id").agg(F.count_distinct("name").cast("int").alias("shared")).where("shared >= 2")
+
+
+def most_related(new: DataFrame, old: DataFrame, most: int = 30) -> DataFrame:
+    """new_id, old_id, shared, rank: for each title the old ones that share most names, ``most`` of them (a parameter);
+    equals by old_id. Both have id and title."""
+    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.explode(X.title_names("title")).alias("name"))
+    met = side(new, "new").join(side(old, "old"), "name").where("new_id > old_id").groupBy("new_id", "old_id").agg(F.count("*").cast("int").alias("shared"))
+    w = Window.partitionBy("new_id").orderBy(F.desc("shared"), "old_id")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def pool_order(rows: DataFrame, group: str = "category") -> DataFrame:
+    """Adds rank within group and breaking: priority, confidence (breaking ones alone), latest end, best source, then id.
+    Expects breaking, priority, confidence, end_ts, source_rank, cluster_id."""
+    trust = F.when(F.col("breaking"), F.col("confidence"))
+    w = Window.partitionBy(group, "breaking").orderBy(F.desc("priority"), trust.desc(), F.desc("end_ts"), F.asc("source_rank"), F.asc("cluster_id"))
+    return rows.withColumn("rank", F.row_number().over(w))
