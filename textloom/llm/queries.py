@@ -78,6 +78,12 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import tamper_check
+
+    return tamper_check(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -145,5 +151,48 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(first, doc_i
 """
 
 
+# the unsigned crc32 of a string, a byte at a time and a bit at a time
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ord(b)::BIGINT FOR b IN {bytes}]), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+
+
+def _field(column: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({column} AS VARCHAR))) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+_HEAD = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+_OP12 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, sha256({_HEAD} || {_field("text")}) AS leaf,
+         sha256({_HEAD} || {_field("t")}) AS seen
+  FROM (SELECT *, CASE WHEN {_CRC.format(bytes="string_split(CAST(doc_id AS VARCHAR), '')")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t FROM documents)),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+nodes AS (
+  SELECT source, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM l
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY source, level, pos // 3),
+subs AS (SELECT source, h AS subroot, level AS height FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS pos, subroot AS h, count(*) OVER () AS n FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, pos // 3),
+s AS (SELECT *, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS top_at FROM subs),
+steps AS (
+  SELECT l.source, l.pos, x.level, coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos < l.pos // p.p), '') AS l, coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos > l.pos // p.p), '') AS r
+  FROM l CROSS JOIN (SELECT k AS level, CAST(pow(3, k) AS BIGINT) AS p FROM range(40) t(k)) p
+  JOIN nodes x ON x.source IS NOT DISTINCT FROM l.source AND x.level = p.level AND x.n > 1 AND x.pos // 3 = l.pos // (p.p * 3) GROUP BY ALL
+  UNION ALL
+  SELECT l.source, l.pos, s.height + x.level, coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos < s.top_at // p.p), ''), coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos > s.top_at // p.p), '')
+  FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN (SELECT k AS level, CAST(pow(3, k) AS BIGINT) AS p FROM range(40) t(k)) p
+  JOIN tops x ON x.level = p.level AND x.n > 1 AND x.pos // 3 = s.top_at // (p.p * 3) GROUP BY l.source, l.pos, s.height, x.level),
+proofs AS (SELECT source, pos, list(l ORDER BY level) AS ls, list(r ORDER BY level) AS rs FROM steps GROUP BY 1, 2),
+fold AS (
+  SELECT l.source, l.pos, 0 AS k, seen AS h, coalesce(ls, []) AS ls, coalesce(rs, []) AS rs FROM l LEFT JOIN proofs p ON p.source IS NOT DISTINCT FROM l.source AND p.pos = l.pos
+  UNION ALL SELECT source, pos, k + 1, sha256(ls[k + 1] || h || rs[k + 1]), ls, rs FROM fold WHERE k < len(ls))
+SELECT l.doc_id, leaf, subroot, t.h AS root, sha256(coalesce(list_reduce(list_prepend('', list_transform(range(1, len(ls) + 1), lambda i: ls[i] || rs[i])), lambda a, b: a || b), '')) AS proof_sha256,
+       f.h AS folded_root, f.h = t.h AS verified
+FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN fold f ON f.source IS NOT DISTINCT FROM l.source AND f.pos = l.pos AND f.k = len(f.ls) CROSS JOIN (SELECT h FROM tops WHERE n = 1) t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_round_trip": _OP5, "op6_chat_parts": _OP6, "op7_benchmark_decontamination": _OP7, "op8_level_doubling": _OP8, "op9_minhash_near_dedup": _OP9}
+    return {"op12_merkle_manifest": _OP12, "op5_warc_round_trip": _OP5, "op6_chat_parts": _OP6, "op7_benchmark_decontamination": _OP7, "op8_level_doubling": _OP8, "op9_minhash_near_dedup": _OP9}
