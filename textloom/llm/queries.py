@@ -84,6 +84,18 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_check(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import group_variants
+
+    return group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op11_block_matrix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import search
+
+    return search(_table(spark, sf_dir, "embeddings"), every=50)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -194,5 +206,41 @@ FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN fold f ON f.source
 """
 
 
+_RUN_CRC = _CRC.format(bytes="list_transform(range(1, octet_length(b) + 1), lambda i: instr('0123456789abcdef', substr(lower(hex(b)), 2 * i - 1, 1)) * 16 + instr('0123456789abcdef', substr(lower(hex(b)), 2 * i, 1)) - 17)").replace("ord(b)::BIGINT FOR b IN", "z::BIGINT FOR z IN")
+_OP13 = f"""
+WITH RECURSIVE r AS (
+  SELECT d, run, count(*) AS times FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]{{5,}}')) AS run FROM documents)
+  GROUP BY 1, 2),
+h AS (SELECT *, {_RUN_CRC} AS h FROM (SELECT *, encode(d || ':' || run) AS b FROM r)),
+w AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM h)
+  WHERE length(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT DISTINCT a.word AS word, a.n AS n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT DISTINCT a.word, a.n, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word
+  UNION SELECT DISTINCT b.word, b.n, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, n, count(*) OVER (PARTITION BY word) AS n_near, other, other_n FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) = 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS here FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.here AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word JOIN f e ON e.word = walk.here AND e.form IS NULL
+"""
+
+
+_OP11 = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE list_dot_product(e, e) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.size * c.size) AS score
+  FROM u q JOIN u c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_merkle_manifest": _OP12, "op5_warc_round_trip": _OP5, "op6_chat_parts": _OP6, "op7_benchmark_decontamination": _OP7, "op8_level_doubling": _OP8, "op9_minhash_near_dedup": _OP9}
+    return {"op11_block_matrix_join": _OP11, "op13_spelling_variants": _OP13, "op12_merkle_manifest": _OP12, "op5_warc_round_trip": _OP5, "op6_chat_parts": _OP6, "op7_benchmark_decontamination": _OP7, "op8_level_doubling": _OP8, "op9_minhash_near_dedup": _OP9}
