@@ -31,8 +31,8 @@ def _strip(c: Column, marks: str = _EDGE) -> Column:
 
 
 def any_of(low: Column, parts) -> Column:
-    """Whether one of some plain parts is anywhere in a text: one scan."""
-    return low.rlike("|".join(map(re.escape, parts)))
+    """Whether one of some plain parts is anywhere in a text. Plain search is faster than one pattern of many branches."""
+    return X.any_part(low, parts)
 
 
 def starts(low: Column, parts) -> Column:

@@ -9,6 +9,7 @@ from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import articles as A
 from ..operators import pages as P
+from ..operators import run_machine as M
 from ..operators import runs as R
 from ..operators import stories as S
 from . import tables as T
@@ -378,6 +379,41 @@ def stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stale(states, F.col("now")).select("run_id", "status")
 
 
+#: What the driver's event types stand for, and how many consecutive events make a run.
+_ACTIONS = {"signup": "queue", "view": "claim", "click": "step", "error": "stop", "purchase": "finish"}
+_PER_RUN = 7
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, ts, event_id, action."""
+    action = F.element_at(F.create_map(*(F.lit(x) for p in _ACTIONS.items() for x in p)), F.col("event_type"))
+    # the first event of a run puts it in the queue
+    action = F.when(F.col("event_id") % _PER_RUN == 0, "queue").otherwise(action)
+    return T.events(spark, sf_dir).select(F.floor(F.col("event_id") / _PER_RUN).alias("run_id"), "ts", "event_id", action.alias("action"))
+
+
+_LIMIT = "CASE status " + " ".join(f"WHEN '{k}' THEN {v * 1_000_000}" for k, v in R.STALE_SECONDS.items()) + " END"
+_MOVED = "CASE " + " ".join(f"WHEN action = '{a}' AND now = '{s}' THEN '{t}'" for a, m in M.MOVES.items() for s, t in m.items()) + " ELSE now END"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT event_id // {_PER_RUN} AS run_id, epoch_us(ts) AS us, CASE WHEN event_id % {_PER_RUN} = 0 THEN 'queue' ELSE CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _ACTIONS.items())} END END AS action,
+ row_number() OVER (PARTITION BY event_id // {_PER_RUN} ORDER BY ts, event_id) AS k FROM events),
+walk AS (
+  SELECT run_id, 0::BIGINT AS k, 'none' AS status, NULL::BIGINT AS last, NULL::BIGINT AS ended, false AS stale FROM (SELECT DISTINCT run_id FROM e)
+  UNION ALL
+  SELECT run_id, k, CASE WHEN quiet THEN 'cancelled' ELSE {_MOVED} END, us, CASE WHEN quiet THEN last + lim WHEN ended IS NULL AND {_MOVED} IN ({T.quoted(M.FINAL)}) THEN us ELSE ended END, stale OR quiet
+  FROM (SELECT w.run_id, e.k, w.status AS now, w.last, w.ended, w.stale, e.us, e.action, {_LIMIT.replace('status', 'w.status')} AS lim, coalesce(e.us - w.last >= {_LIMIT.replace('status', 'w.status')}, false) AS quiet
+        FROM walk w JOIN e ON e.run_id = w.run_id AND e.k = w.k + 1)),
+l AS (SELECT *, {_LIMIT} AS lim, (SELECT max(epoch_us(ts)) FROM events) - last >= {_LIMIT} AS quiet FROM walk QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY k DESC) = 1)
+SELECT run_id, CASE WHEN quiet THEN 'cancelled' ELSE status END AS status, CASE WHEN quiet THEN last + lim ELSE ended END AS ended_us, stale OR coalesce(quiet, false) AS stale FROM l"""
+)
+def run_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each run ended, silence included, at the time of the last event."""
+    now = T.events(spark, sf_dir).agg(F.max("ts")).first()[0]
+    return M.histories(run_events(spark, sf_dir), F.lit(now)).select("run_id", "status", F.unix_micros("ended_ts").alias("ended_us"), "stale")
+
+
 @query("SELECT event_id, user_id AS run_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS step FROM events")
 def step_payload_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.events(spark, sf_dir).select("event_id", "run_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("step"))
