@@ -1,5 +1,6 @@
 """Operators of the library on worked cases."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -64,13 +65,52 @@ def test_clusters_follow_the_order(spark):
     assert S.clusters(articles(spark, [])).count() == 0
 
 
+def led(spark, links):
+    """Leaders of (early, late, score) links, by the library."""
+    from textloom.sources.stored import Scope
+
+    with Scope(spark) as scope:
+        table = spark.createDataFrame(links, "early long, late long, score double").repartition(3)
+        return {r.node: r.label for r in S.leaders(scope, table).collect()}
+
+
+def greedy(links):
+    """The plain loop: each article in order joins the best of all clusters so far, the earliest of equals."""
+    nodes, clusters = sorted({n for e, l, _ in links for n in (e, l)}), []
+    score = {}
+    for e, l, s in links:
+        score[e, l] = max(s, score.get((e, l), 0.0))
+    for n in nodes:
+        best, at = 0.0, None
+        for k, members in enumerate(clusters):
+            s = max(score.get((m, n), 0.0) for m in members)
+            if s > best:
+                best, at = s, k
+        clusters.append([n]) if at is None else clusters[at].append(n)
+    return {n: members[0] for members in clusters for n in members}
+
+
 def test_clusters_never_merge(spark):
-    import pandas as pd
+    """An article that matches two clusters joins one of them; ties go to the earlier."""
+    assert led(spark, [(1, 3, 0.6), (2, 3, 0.5), (1, 2, 0.4)]) == {1: 1, 2: 1, 3: 1}
+    assert led(spark, [(1, 3, 0.6), (2, 3, 0.6)]) == {1: 1, 2: 2, 3: 1}
+    assert led(spark, [(1, 3, 0.5), (2, 3, 0.6)]) == {1: 1, 2: 2, 3: 2}
+
+
+def test_clusters_are_those_of_the_plain_loop(spark):
+    rng = random.Random(4)
+    for nodes, n, scores in ((30, 60, (0.5, 0.6, 0.7)), (60, 400, (0.5, 0.6)), (40, 90, (0.4, 0.41, 0.42, 0.43, 0.44, 0.45))):
+        pairs = [sorted(rng.sample(range(nodes), 2)) for _ in range(n)]
+        links = [(a * 7, b * 7, rng.choice(scores)) for a, b in pairs]
+        assert led(spark, links) == greedy(links)
+
+
+def test_a_chain_over_a_third_of_the_articles(spark):
+    """300 articles that each match the two before, and pairs beside them."""
+    links = [(k - d, k, 1.0 if k % 5 else 0.5 + d / 10) for k in range(1, 300) for d in (1, 2) if k >= d]
+    links += [(1000 + 2 * k, 1001 + 2 * k, 0.9) for k in range(300)]
+    assert led(spark, links) == greedy(links)
 
-    pairs = pd.DataFrame({"early": [1, 2], "late": [2, 3], "score": [0.9, 0.8]})
-    assert dict(S._follow(pairs).values.tolist()) == {1: 1, 2: 1, 3: 1}
-    pairs = pd.DataFrame({"early": [1, 2], "late": [3, 3], "score": [0.8, 0.9]})
-    assert dict(S._follow(pairs).values.tolist()) == {1: 1, 2: 2, 3: 2}
 
 
 @pytest.mark.parametrize(("span", "good", "confidence"), [(20, True, 0.855), (80, False, 0.805)])

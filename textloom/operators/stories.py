@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as X
-from ..sources.stored import Stored
-from .graph import components
+from ..sources.stored import Scope, Stored
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -77,35 +76,40 @@ def pair_score(pairs: DataFrame, title: float = 0.78, content: float = 0.45, wit
     return p.withColumn("score", score)
 
 
-def _follow(rows: pd.DataFrame) -> pd.DataFrame:
-    """Leader-follower over one group: each article in order joins the cluster with its best earlier match."""
-    links: dict[int, list[tuple[int, float]]] = {}
-    for early, late, score in zip(rows["early"], rows["late"], rows["score"]):
-        links.setdefault(late, []).append((early, score))
-    of: dict[int, int] = {}
-    for article in sorted({*rows["early"], *rows["late"]}):
-        best: dict[int, float] = {}
-        for early, score in links.get(article, ()):
-            cluster = of[early]
-            best[cluster] = max(best.get(cluster, 0.0), score)
-        # the strictly best score wins, ties go to the earliest cluster
-        of[article] = min(best, key=lambda c: (-best[c], c)) if best else article
-    return pd.DataFrame({"article_id": list(of), "cluster_id": list(of.values())})
+def leaders(scope: Scope, links: DataFrame) -> DataFrame:
+    """node, label: the cluster of each article in links (early, late, score) under greedy clustering in order of id.
+
+    A cluster's score for an article is its best member's, so the article joins the cluster of its best earlier link, and
+    among clusters of equally good links the earliest. Links that aren't an article's best therefore decide nothing. What
+    is left leads from each article to earlier ones only, and its cluster is the least article that can be reached.
+    Each round takes the least label over an article's links and follows the label's own label, so chains halve."""
+    best = links.groupBy("late").agg(F.max("score").alias("score"))
+    ties = scope.store(links.join(best, ["late", "score"]).select("late", "early").distinct(), "best-links")
+    # an article without earlier links leads a cluster
+    nodes = links.select(F.explode(F.array("late", "early")).alias("node")).distinct()
+    labels = scope.store(nodes.join(ties.groupBy(F.col("late").alias("node")).agg(F.min("early").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "leaders")
+    while True:
+        heard = ties.join(labels.select(F.col("node").alias("early"), "label"), "early").groupBy(F.col("late").alias("node")).agg(F.min("label").alias("heard"))
+        lower = scope.store(labels.join(heard, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "leaders")
+        further = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        jumped = scope.store(lower.join(further, "label").select("node", "old", F.col("further").alias("label")), "leaders")
+        labels = jumped.select("node", "label")
+        if jumped.where("label <> old").isEmpty():
+            return labels
 
 
 def clusters(articles: DataFrame, minutes: int = 120, title: float = 0.78, content: float = 0.45) -> DataFrame:
     """article_id, cluster_id (the first article in it): greedy clustering in order of article_id.
 
-    The order matters only among articles that matching pairs connect, so those groups are told first and each is followed
-    through by itself; an article that matches nothing is its own cluster and never leaves the JVM."""
+    An article that matches nothing is its own cluster and never leaves the JVM; no task holds a group of linked articles."""
     rows = features(articles)
     keep = ["title_norm", "body_set", "title_set", "lead_set", "story_set", "number_set"]
     matched = pair_score(window_pairs(rows, minutes, keep), title, content).where("score > 0")
     links = matched.select(F.least("a_article_id", "b_article_id").alias("early"), F.greatest("a_article_id", "b_article_id").alias("late"), "score")
-    links = Stored(links, "story-links").df
-    groups = components(links, "early", "late")
-    placed = links.join(groups, links["early"] == groups["node"]).groupBy("label").applyInPandas(lambda pdf: _follow(pdf), "article_id long, cluster_id long")
-    return articles.select("article_id").join(placed, "article_id", "left").select("article_id", F.coalesce("cluster_id", "article_id").alias("cluster_id"))
+    with Scope(articles.sparkSession) as scope:
+        placed = leaders(scope, scope.store(links, "story-links"))
+        out = articles.select("article_id").join(placed.withColumnRenamed("node", "article_id"), "article_id", "left")
+        return scope.result(out.select("article_id", F.coalesce("label", "article_id").alias("cluster_id")), "story-clusters")
 
 
 def rollup(members: DataFrame) -> DataFrame:

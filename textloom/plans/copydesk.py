@@ -13,6 +13,7 @@ from ..functions import copyedit as E
 from ..functions import desk_lexicons as D
 from ..functions import text as X
 from ..operators import closeness as C
+from ..operators import publication as P
 from ..operators import sentences as Z
 from ..operators import summary as S
 from . import news as N
@@ -218,3 +219,14 @@ SELECT article_id, {T.any_part('low', W.UNCERTAIN)} OR ({T.any_part('low', W.PIC
 def doubt_and_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that doubt what they tell, and those that say it was verified."""
     return articles(spark, sf_dir).select("article_id", S.needs_caution("title", "body").alias("needs_caution"), S.has_proof("title", "body").alias("has_proof"))
+
+
+@query(None)
+def publication_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each day's run tries and publishes; what comes of an article is told by its id."""
+    i = F.col("article_id")
+    rows = T.articles(spark, sf_dir).select(
+        F.date_format("event_ts", "yyyyMMdd").cast("long").alias("run_id"), "category", (i % 5 == 0).alias("breaking"), i.alias("candidate_id"), "source", X.story_key(F.col("title"), X.lead("body")).alias("story_key"),
+        F.when(i % 7 == 3, "image_missing").when(i % 11 == 5, "workflow_failed").when(i % 13 == 6, "too_old").otherwise("published").alias("outcome"), F.length("body").alias("size"),
+    )
+    return P.publish(rows, [F.desc("size")], most=40)
