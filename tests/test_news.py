@@ -40,12 +40,12 @@ def test_prose(spark):
 
 
 def test_links(spark):
-    html = '<a href="/world/2023/may/3/a"><a href="/world/2024/jan/13/b"><a href="/world/2024/jan/2/c"><a href="/world/2024/jan/13/b">' + "<a href='/india-news/x-123456'>"
+    html = '<a href="/world/2023/may/3/a"><a href="/world/2024/jan/13/b"><a href="/world/2024/jan/2/c"><a href="/world/2024/jan/13/b">' + "<a href='/india-news/x-123456'><a href='/india-news/y-123456?ref=/video&amp;a=&quot;'><a href='/video/z-123456'>"
     got = {}
     for r in H.by_publisher(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")).orderBy("pos").collect():
         got.setdefault((r.page_id, r.publisher), []).append(r.link)
     base = "https://www.theguardian.com/world/"
-    assert got == {(1, "guardian"): [base + "2024/jan/13/b", base + "2024/jan/2/c", base + "2023/may/3/a"], (1, "ndtv"): ["https://www.ndtv.com/india-news/x-123456"]}
+    assert got == {(1, "guardian"): [base + "2024/jan/13/b", base + "2024/jan/2/c", base + "2023/may/3/a"], (1, "ndtv"): ["https://www.ndtv.com/india-news/x-123456", 'https://www.ndtv.com/india-news/y-123456?ref=/video&a="']}
 
 
 def test_images(spark):
@@ -58,7 +58,9 @@ def test_images(spark):
 
 def test_same_event_and_keys(spark):
     titles = spark.createDataFrame([(1, "US warns China over Taiwan", "by 2027"), (2, "Taiwan window for China in 2027", "2027 window"), (3, "China builds 2027 ships", "2027"), (4, None, None)], "id long, title string, text string")
-    assert [(r.new_id, r.old_id, r.shared) for r in S.same_event(titles, titles).collect()] == [(2, 1, 2)]
+    # 2 has the number in its title, 1 in its text alone; 5 and 6 retell 2
+    more = titles.unionByName(spark.createDataFrame([(5, "China over Taiwan", "in 2027"), (6, "Taiwan, China and US 2027", ""), (7, "Taiwan China", "20270")], titles.schema))
+    assert sorted((r.new_id, r.old_id) for r in S.same_event(more, more).collect()) == [(5, 2), (6, 2)]
     clusters = spark.createDataFrame([(70000, "B"), (5, "A"), (9, "C")], "cluster_id long, title string")
     assert {r.cluster_id: r.number for r in S.cluster_keys(clusters).collect()} == {5: 1, 9: 2, 70000: 3}
 

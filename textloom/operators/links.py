@@ -14,7 +14,8 @@ from ..functions import text as X
 @dataclass(frozen=True)
 class LinkRule:
     """``patterns`` in order, each with one group; ``spare`` is added if they find fewer than ``enough`` links. A link must
-    match all of ``must`` (of its whole address) and hold none of ``never`` (of its address in lower case)."""
+    match all of ``must`` (of its whole address) and hold none of ``never`` (of its address in lower case; with ``by_path`` of
+    its path alone, and then entities of all kinds are decoded)."""
 
     base: str
     patterns: tuple[str, ...]
@@ -24,6 +25,7 @@ class LinkRule:
     enough: int = 1
     section: str | None = None
     newest_first: bool = False
+    by_path: bool = False
 
 
 # Where publishers' article links stand and how they look.
@@ -40,11 +42,11 @@ RULES = {
     ),
     "ndtv": LinkRule(
         "https://www.ndtv.com", (ANY_HREF,), must=(r"(?i)^https?://(?:www\.|sports\.)?ndtv\.com(?:[/?#]|$)", r"^[^?#]*-\d{5,}"),
-        never=("/video", "/videos", "/photos", "/live", "/webstories", "/opinions"),
+        never=("/video", "/videos", "/photos", "/live", "/webstories", "/opinions"), by_path=True,
     ),
     "indiatoday": LinkRule(
         "https://www.indiatoday.in", (ANY_HREF,), must=(r"(?i)^https?://www\.indiatoday\.in(?:[/?#]|$)", r"(?i)^[^?#]*/story/", r"^[^?#]*-\d{5,}"),
-        never=("/video", "/videos", "/photos", "/visualstories", "/fact-check"),
+        never=("/video", "/videos", "/photos", "/visualstories", "/fact-check"), by_path=True,
     ),
     "reuters": LinkRule(
         "https://www.reuters.com", (r'href="(https://www\.reuters\.com/[^"]+)"', r'href="(/[^"#?]+)"'),
@@ -89,13 +91,20 @@ def article_links(html: Column, rule: LinkRule, limit: int = 20) -> Column:
     found = F.concat(*(_all(html, p) for p in rule.patterns))
     if rule.spare:
         found = F.when(F.size(found) < rule.enough, F.concat(found, _all(html, rule.spare))).otherwise(found)
-    urls = F.transform(found, lambda x: _absolute(F.replace(F.trim(x), F.lit("&amp;"), F.lit("&")), rule.base))
+    def plain(x: Column) -> Column:
+        x = F.trim(x)
+        for name, mark in (*(X.ENTITIES[1:] if rule.by_path else ()), X.ENTITIES[0]):
+            x = F.replace(x, F.lit(name), F.lit(mark))
+        return x
+
+    urls = F.transform(F.transform(found, plain), lambda x: _absolute(x, rule.base))
 
     def good(u: Column) -> Column:
         out = F.lit(True)
         for pattern in rule.must:
             out = out & u.rlike(pattern)
-        return out & ~X.any_part(F.lower(u), rule.never) if rule.never else out
+        seen = F.lower(F.regexp_extract(u, "^[^/?#]*//[^/?#]*([^?#]*)", 1) if rule.by_path else u)
+        return out & ~X.any_part(seen, rule.never) if rule.never else out
 
     urls = F.array_distinct(F.filter(urls, good))
     if rule.section:

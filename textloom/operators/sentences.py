@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import desk_lexicons as D
@@ -69,10 +69,23 @@ def context_tail(title: Column, body: Column) -> Column:
     return out.otherwise(D.CONTEXT_OTHERWISE)
 
 
-def caution(c: Column | str) -> Column:
-    """'unproven' for marks of doubt without any of proof, 'proven' for proof, else 'plain'."""
-    low = F.lower(_text(c))
-    return F.when(X.any_part(low, D.PROOF), "proven").when(X.any_part(low, D.CAUTION), "unproven").otherwise("plain")
+def style_examples(articles: DataFrame, examples: DataFrame, k: int = 3, words_of: int = 900) -> DataFrame:
+    """article_id, example, score, rank: the ``k`` examples (example, text, title, style) nearest an article's title and the
+    first ``words_of`` characters of its body: 3 for each word shared with the example, 4 more for one of its title, 1 for
+    one of its style; none without a shared word, equals by example.
+
+    The examples meet all articles, so they have to be few: more than 1,000 are refused."""
+    held = examples.select("example", style_tokens("text").alias("ts"), style_tokens("title").alias("tt"), style_tokens("style").alias("st")).limit(1001).collect()
+    if len(held) > 1000:
+        raise ValueError("examples are meant to be a short list, kept with each task")
+    own = articles.select("article_id", style_tokens(F.concat_ws(" ", "title", F.left("body", F.lit(words_of)))).alias("_own"))
+    if not held:
+        return own.select("article_id", F.lit(0).cast("long").alias("example"), F.lit(0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    sets = F.array(*(F.struct(F.lit(e.example).cast("long").alias("example"), *(F.array(*map(F.lit, e[n])).cast("array<string>").alias(n) for n in ("ts", "tt", "st"))) for e in held))
+    shared = lambda e, n: F.size(F.array_intersect("_own", e[n]))
+    hits = F.filter(F.transform(sets, lambda e: F.struct((-3 * shared(e, "ts")).alias("o"), (-4 * shared(e, "tt") - shared(e, "st")).alias("more"), e["example"].alias("example"))), lambda h: h["o"] < 0)
+    best = F.slice(F.array_sort(F.transform(hits, lambda h: F.struct((h["o"] + h["more"]).alias("order"), h["example"].alias("example")))), 1, k)
+    return own.select("article_id", F.posexplode(best).alias("k", "h")).select("article_id", "h.example", (-F.col("h.order")).alias("score"), (F.col("k") + 1).alias("rank"))
 
 
 def image_query(summary_title: Column, title: Column, body: Column, category: Column) -> Column:

@@ -204,16 +204,20 @@ def cluster_keys(rolled: DataFrame, order: str = "cluster_id") -> DataFrame:
 
 
 def same_event(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Pairs (new_id, old_id) whose titles share two names and one number of three or four digits: retellings that no word
-    measure sees. Both have id, title, text (what numbers are looked for in). Pairs meet on a number and a name at once, so
-    neither a common name nor a common number alone brings rows together."""
-    def keyed(df: DataFrame, p: str) -> DataFrame:
-        rows = df.select(F.col("id").alias(f"{p}_id"), X.title_names("title").alias("names"), F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b[0-9]{3,4}\b"), F.lit(0))).alias("ns"))
-        rows = rows.where((F.size("names") >= 2) & (F.size("ns") > 0))
-        return rows.select(f"{p}_id", "ns", F.explode("names").alias("name")).select(f"{p}_id", "name", F.explode("ns").alias("number"))
-
-    met = keyed(new, "new").join(keyed(old, "old"), ["name", "number"]).where("new_id > old_id")
-    return met.groupBy("new_id", "old_id").agg(F.count_distinct("name").cast("int").alias("shared")).where("shared >= 2")
+    """new_id, old_id: the first earlier title that shares two names, and one number of three or four digits of its own, with
+    a row: retellings that no word measure sees. Both have id and title, new also text (where its numbers are looked for).
+
+    Two names and a number are one key, and of titles under a key the first alone can matter: the old side has a row a key
+    and nothing pairs up, however common a name or number is."""
+    def keyed(df: DataFrame, text: str) -> DataFrame:
+        numbers = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\b[0-9]{3,4}\b"), F.lit(0)))
+        rows = df.select("id", F.array_sort(X.title_names("title")).alias("names"), numbers.alias("ns")).where((F.size("names") >= 2) & (F.size("ns") > 0))
+        pairs = F.flatten(F.transform("names", lambda a, k: F.transform(F.slice("names", k + 2, F.size("names")), lambda b: F.concat(a, F.lit(" "), b))))
+        return rows.select("id", "ns", F.explode(pairs).alias("two")).select("id", "two", F.explode("ns").alias("number"))
+
+    first = keyed(old, "title").groupBy("two", "number").agg(F.min("id").alias("old_id"))
+    met = keyed(new, "text").withColumnRenamed("id", "new_id").join(first, ["two", "number"]).where("old_id < new_id")
+    return met.groupBy("new_id").agg(F.min("old_id").alias("old_id"))
 
 
 def most_related(new: DataFrame, old: DataFrame, most: int = 30) -> DataFrame:

@@ -153,28 +153,28 @@ _FIRST = lambda x: f"list_filter({x}, lambda w, i: list_position({x}, w) = i)"
 _STYLE = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9][a-z0-9''-]+'), lambda w: length(w) >= 3 AND w NOT IN ({T.quoted(D.STYLE_STOPWORDS)})))"
 
 
-@query(f"""WITH {_ART}, ex AS (SELECT k AS example, {_STYLE('h')} AS ts FROM (VALUES {', '.join(f"({k}, '{h}')" for k, h in enumerate(HEADLINES))}) v(k, h)),
-o AS (SELECT article_id, example, len(list_intersect({_STYLE("title || ' ' || left(body, 900)")}, ts)) AS overlap FROM news CROSS JOIN ex)
-SELECT article_id, example, CAST(overlap AS INT) AS overlap, row_number() OVER (PARTITION BY article_id ORDER BY overlap DESC, example) AS rank FROM o WHERE overlap > 0 QUALIFY rank <= 3""")
+_OVERLAP = lambda a, b: f"len(list_intersect({a}, {b}))"
+
+
+@query(f"""WITH {_ART}, ex AS (SELECT article_id AS example, {_STYLE("category || ' ' || source || ' ' || title || ' ' || body")} AS ts, {_STYLE('title')} AS tt, {_STYLE('source')} AS st FROM news WHERE article_id < 16),
+own AS (SELECT article_id, {_STYLE("title || ' ' || left(body, 900)")} AS w FROM news),
+o AS (SELECT article_id, example, 3 * {_OVERLAP('w', 'ts')} + 4 * {_OVERLAP('w', 'tt')} + {_OVERLAP('w', 'st')} AS score FROM own CROSS JOIN ex WHERE list_has_any(w, ts))
+SELECT article_id, example, CAST(score AS INT) AS score, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, example) AS rank FROM o QUALIFY rank <= 3""")
 def style_example_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three examples that share most words with an article. The examples are a short fixed list, kept as literals, so
-    an article meets them in its own row."""
-    own = articles(spark, sf_dir).select("article_id", Z.style_tokens(F.concat_ws(" ", "title", F.left("body", F.lit(900)))).alias("own"))
-    sets = F.array(*(F.struct(F.lit(k).alias("example"), Z.style_tokens(F.lit(h)).alias("ts")) for k, h in enumerate(HEADLINES)))
-    hits = F.transform(sets, lambda e: F.struct((-F.size(F.array_intersect("own", e["ts"]))).alias("order"), e["example"].alias("example")))
-    best = F.slice(F.array_sort(F.filter(hits, lambda h: h["order"] < 0)), 1, 3)
-    return own.select("article_id", F.posexplode(best).alias("k", "h")).select("article_id", "h.example", (-F.col("h.order")).alias("overlap"), (F.col("k") + 1).cast("long").alias("rank"))
+    """The three examples that are nearest each article in words; the first sixteen articles stand for the desk's examples."""
+    rows = articles(spark, sf_dir)
+    examples = rows.where("article_id < 16").select(F.col("article_id").alias("example"), F.concat_ws(" ", "category", "source", "title", "body").alias("text"), "title", F.col("source").alias("style"))
+    return Z.style_examples(rows, examples).withColumn("rank", F.col("rank").cast("long"))
 
 
 _TAIL_SQL = "CASE " + " ".join(f"WHEN {T.any_part('x', parts)} THEN '{_q(tail)}'" for parts, tail in D.CONTEXT_TAILS) + f" ELSE '{D.CONTEXT_OTHERWISE}' END"
 
 
 @query(rf"""WITH {_ART}, x AS (SELECT *, lower(' ' || title || ' ' || body || ' ') AS x, {_FIRST(f"regexp_extract_all({T.plain('body')}, '" + chr(92) + "b[A-Z]{1,4}-[0-9]{1,4}[A-Z]?" + chr(92) + "b')")} AS d FROM news)
-SELECT article_id, {_TAIL_SQL} AS tail, array_to_string(d, '|') AS designations, CASE WHEN {T.any_part('x', D.PROOF)} THEN 'proven' WHEN {T.any_part('x', D.CAUTION)} THEN 'unproven' ELSE 'plain' END AS caution FROM x""")
-def context_and_caution(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT article_id, {_TAIL_SQL} AS tail, array_to_string(d, '|') AS designations FROM x""")
+def context_and_designations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = Z.context_tail(F.col("title"), F.col("body"))
-    marks = Z.caution(F.concat_ws(" ", "title", "body"))
-    return articles(spark, sf_dir).select("article_id", tail.alias("tail"), F.array_join(Z.designations("body"), "|").alias("designations"), marks.alias("caution"))
+    return articles(spark, sf_dir).select("article_id", tail.alias("tail"), F.array_join(Z.designations("body"), "|").alias("designations"))
 
 
 @query(f"""WITH {_ART}, t AS (SELECT *, list_filter(regexp_extract_all(lower(title || ' ' || title || ' ' || left(body, 320)), '[a-z0-9]{{4,}}'), lambda w: w NOT IN ({T.quoted((*L.TITLE_STOPWORDS, *D.PICTURE_WORDS))})) AS ws FROM news),
@@ -224,13 +224,17 @@ def _rule_sql(name: str, r: H.LinkRule, limit: int = 20) -> str:
     if r.spare:
         found = f"CASE WHEN len({found}) < {r.enough} THEN list_concat({found}, regexp_extract_all(html, '(?i){_q(r.spare)}', 1)) ELSE {found} END"
     link = f"CASE WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN 'https:' || h WHEN starts_with(h, '/') THEN '{r.base}' || h ELSE '{r.base}/' || h END"
-    good = " AND ".join(["true"] + [f"regexp_matches(u, '{_q(p)}')" for p in r.must] + [f"NOT contains(lower(u), '{p}')" for p in r.never])
+    seen = r"lower(regexp_extract(u, '^[^/?#]*//[^/?#]*([^?#]*)', 1))" if r.by_path else "lower(u)"
+    good = " AND ".join(["true"] + [f"regexp_matches(u, '{_q(p)}')" for p in r.must] + [f"NOT contains({seen}, '{p}')" for p in r.never])
+    text = "trim(unnest(l))"
+    for name_, mark in (*(X.ENTITIES[1:] if r.by_path else ()), X.ENTITIES[0]):
+        text = f"replace({text}, '{name_}', '{_q(mark)}')"
     day = "CASE WHEN list_position([" + T.quoted(D.MONTHS) + "], regexp_extract(link, '/(\\d{4})/([a-z]{3})/(\\d{1,2})/', 2)) > 0 THEN CAST(regexp_extract(link, '/(\\d{4})/([a-z]{3})/(\\d{1,2})/', 1) AS BIGINT) * 10000 + 100 * list_position([" + T.quoted(D.MONTHS) + "], regexp_extract(link, '/(\\d{4})/([a-z]{3})/(\\d{1,2})/', 2)) + CAST(regexp_extract(link, '/(\\d{4})/([a-z]{3})/(\\d{1,2})/', 3) AS BIGINT) ELSE 0 END"
     order = f"{day} DESC, first" if r.newest_first else "first"
     inside = f"WHERE contains(link, '{r.section}') OR n_inside < 6" if r.section else ""
     return f"""SELECT page_id, '{name}' AS publisher, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS pos, link FROM (
  SELECT *, count(*) FILTER (contains(link, '{r.section or ''}')) OVER (PARTITION BY page_id) AS n_inside FROM (
- SELECT page_id, u AS link, min(k) AS first FROM (SELECT page_id, k, {link} AS u FROM (SELECT page_id, replace(trim(unnest(l)), '&amp;', '&') AS h, generate_subscripts(l, 1) AS k FROM (SELECT page_id, {found} AS l FROM pg))) WHERE {good} GROUP BY 1, 2)) {inside} QUALIFY pos <= {limit}"""
+ SELECT page_id, u AS link, min(k) AS first FROM (SELECT page_id, k, {link} AS u FROM (SELECT page_id, {text} AS h, generate_subscripts(l, 1) AS k FROM (SELECT page_id, {found} AS l FROM pg))) WHERE {good} GROUP BY 1, 2)) {inside} QUALIFY pos <= {limit}"""
 
 
 @query(f"WITH {_LISTINGS} " + " UNION ALL ".join(_rule_sql(n, r) for n, r in H.RULES.items()))
@@ -331,9 +335,10 @@ def unused_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = f"""list_distinct(list_transform(list_filter(list_transform(string_split({T.collapse('title')}, ' '), lambda r: regexp_replace(r, '[^a-zA-Z0-9]', '', 'g')), lambda w: length(w) >= 2 AND regexp_matches(w, '^[A-Z]') AND lower(w) NOT IN ({T.quoted(L.TITLE_STOPWORDS)})), lambda q: lower(q)))"""
 
 
-@query(rf"""WITH {_ART}, n AS (SELECT article_id, {_NAMES} AS ns, list_distinct(regexp_extract_all({T.plain("title || ' ' || body")}, '\b[0-9]{{3,4}}\b')) AS ds FROM news)
-SELECT a.article_id AS new_id, b.article_id AS old_id, CAST(len(list_intersect(a.ns, b.ns)) AS INT) AS shared FROM n a JOIN n b ON a.article_id > b.article_id AND list_has_any(a.ds, b.ds) AND list_has_any(a.ns, b.ns) WHERE len(list_intersect(a.ns, b.ns)) >= 2""")
+@query(rf"""WITH {_ART}, n AS (SELECT article_id, {_NAMES} AS ns, regexp_extract_all({T.plain("title || ' ' || body")}, '\b[0-9]{{3,4}}\b') AS ds, regexp_extract_all({T.plain('title')}, '\b[0-9]{{3,4}}\b') AS ts FROM news)
+SELECT a.article_id AS new_id, min(b.article_id) AS old_id FROM n a JOIN n b ON a.article_id > b.article_id AND list_has_any(a.ds, b.ts) AND len(list_intersect(a.ns, b.ns)) >= 2 GROUP BY 1""")
 def same_event_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that retell an earlier one, with the first that they retell."""
     rows = articles(spark, sf_dir).select(F.col("article_id").alias("id"), "title", F.concat_ws(" ", "title", "body").alias("text"))
     return S.same_event(rows, rows)
 
@@ -357,10 +362,10 @@ def cluster_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_ART}, p AS (SELECT article_id, article_id // 6 AS cluster_id, body, {T.keyword_count('low', L.PRIORITY_KEYWORDS['general'])} + 3 * (CASE category {' '.join(f"WHEN '{'tech' if c == 'technology' else c}' THEN {T.keyword_count('low', k)}" for c, k in L.PRIORITY_KEYWORDS.items() if c != 'general')} ELSE 0 END) AS priority
- FROM (SELECT *, ' ' || {T.plain("lower(title || ' ' || body)")} || ' ' AS low FROM news))
+ FROM (SELECT *, ' ' || {T.plain("lower(title || ' ' || body || ' ' || url)")} || ' ' AS low FROM news))
 SELECT article_id, cluster_id, CAST(priority AS INT) AS priority, row_number() OVER (PARTITION BY cluster_id ORDER BY priority DESC, length(body) DESC, article_id) AS rank FROM p""")
 def order_within_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = articles(spark, sf_dir).withColumns({"cluster_id": F.floor(F.col("article_id") / 6), "priority": A.priority(F.concat_ws(" ", "title", "body"), F.col("category"))})
+    rows = articles(spark, sf_dir).withColumns({"cluster_id": F.floor(F.col("article_id") / 6), "priority": A.priority(F.concat_ws(" ", "title", "body", "url"), F.col("category"))})
     out = A.ranked(rows, [F.desc("priority"), F.desc(F.length("body")), F.asc("article_id")], "cluster_id")
     return out.select("article_id", "cluster_id", "priority", F.col("rank").cast("long").alias("rank"))
 

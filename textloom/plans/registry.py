@@ -117,12 +117,12 @@ def _own_priority(low: str) -> str:
 
 
 _PRIORITY_SQL = f"""{T.ARTICLES_SQL}, pr AS (SELECT *, {_RANK_SQL} AS source_rank, {T.keyword_count('low', L.PRIORITY_KEYWORDS['general'])} + 3 * ({_own_priority('low')}) AS priority
- FROM (SELECT *, ' ' || {T.plain("lower(title || ' ' || body)")} || ' ' AS low FROM art))"""
+ FROM (SELECT *, ' ' || {T.plain("lower(title || ' ' || body || ' ' || url)")} || ' ' AS low FROM art))"""
 
 
 def _prioritised(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.articles(spark, sf_dir)
-    return rows.withColumns({"priority": A.priority(F.concat_ws(" ", "title", "body"), F.col("category")), "source_rank": A.source_rank(F.col("source"))})
+    return rows.withColumns({"priority": A.priority(F.concat_ws(" ", "title", "body", "url"), F.col("category")), "source_rank": A.source_rank(F.col("source"))})
 
 
 @query(f"WITH {_PRIORITY_SQL} SELECT article_id, source, category, CAST(priority AS INT) AS priority, CAST(source_rank AS INT) AS source_rank, row_number() OVER (PARTITION BY source ORDER BY priority DESC, event_s DESC, source_rank, article_id) AS rank FROM pr QUALIFY rank <= 5")
@@ -310,12 +310,6 @@ def title_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("new_id", "old_id", F.round("word_sim", 6).alias("word_sim"), F.round("name_sim", 6).alias("name_sim"), "shared")
 
 
-@query()
-def title_duplicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by its earlier name."""
-    return title_duplicates(spark, sf_dir)
-
-
 @query(f"WITH {_KEY_SQL}, h AS (SELECT * FROM keyed WHERE article_id % 3 = 0) SELECT article_id, story_key FROM keyed k WHERE article_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.story_key = k.story_key AND h.event_s >= {NOW_DOCS} - 172800) AND NOT EXISTS (SELECT 1 FROM h WHERE h.url = k.url)")
 def history_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the articles are the history of what was published, the others are held against it."""
