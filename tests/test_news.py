@@ -59,7 +59,7 @@ def test_images(spark):
 def test_same_event_and_keys(spark):
     titles = spark.createDataFrame([(1, "US warns China over Taiwan", "by 2027"), (2, "Taiwan window for China in 2027", "2027 window"), (3, "China builds 2027 ships", "2027"), (4, None, None)], "id long, title string, text string")
     # 2 has the number in its title, 1 in its text alone; 5 and 6 retell 2
-    more = titles.unionByName(spark.createDataFrame([(5, "China over Taiwan", "in 2027"), (6, "Taiwan, China and US 2027", ""), (7, "Taiwan China", "20270")], titles.schema))
+    more = titles.unionByName(spark.createDataFrame([(5, "China over Taiwan", "in 2027"), (6, "Taiwan, China and US", "2027"), (7, "Taiwan China", "20270")], titles.schema))
     assert sorted((r.new_id, r.old_id) for r in S.same_event(more, more).collect()) == [(5, 2), (6, 2)]
     clusters = spark.createDataFrame([(70000, "B"), (5, "A"), (9, "C")], "cluster_id long, title string")
     assert {r.cluster_id: r.number for r in S.cluster_keys(clusters).collect()} == {5: 1, 9: 2, 70000: 3}

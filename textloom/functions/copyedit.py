@@ -11,16 +11,11 @@ from pyspark.sql import functions as F
 from . import copy_lexicons as W
 from . import text as X
 from .desk_lexicons import LOW_VALUE_SENTENCES, STYLE_STOPWORDS
+from .text import let
 
 _EDGE = " ,.-:"
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often ``use`` names it: long chains of rules would otherwise
-    repeat each other's text."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def squeeze(c: Column | str) -> Column:
     """Single spaces for white space of any kind, ends trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(X.col(c), F.lit("")), r"(?U)\s+", " "))

@@ -15,6 +15,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it: long chains of rules would otherwise
+    repeat each other's text."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def collapse(c: Column | str) -> Column:
     """White space runs to one space, ends trimmed; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s+", " "))
@@ -101,27 +107,44 @@ def entities(c: Column | str) -> Column:
     return F.array_distinct(F.filter(canonical(F.transform(raw, F.lower)), _topical))
 
 
-def has_keyword(text: Column, keyword: str) -> Column:
+def token_set(text: Column) -> Column:
+    """The distinct words of a text, as word bounds part them. Keywords looked up in it don't scan the text again."""
+    return F.array_distinct(F.split(text, r"[^\p{L}\p{Nd}_]+"))
+
+
+def _single(keywords: Iterable[str]) -> tuple[list[str], list[str]]:
+    keywords = list(dict.fromkeys(keywords))
+    return [k for k in keywords if " " not in k], [k for k in keywords if " " in k]
+
+
+def has_keyword(text: Column, keyword: str, tokens: Column | None = None) -> Column:
     """A phrase anywhere, a single word at word bounds; text is in lower case."""
     k = keyword.strip().lower()
     if not k:
         return F.lit(False)
+    if tokens is not None and k.isalnum():
+        return F.array_contains(tokens, k)
     return text.contains(k) if " " in k else text.rlike(rf"\b{re.escape(k)}\b")
 
 
-def keyword_count(text: Column, keywords: Iterable[str]) -> Column:
-    """How many of the keywords a text has. One pass finds the words; phrases are looked up each."""
-    keywords = list(dict.fromkeys(keywords))
-    single = [k for k in keywords if " " not in k]
-    phrases = [k for k in keywords if " " in k]
-    found = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(" + "|".join(map(re.escape, single)) + r")\b"), F.lit(1)))) if single else F.lit(0)
+def keyword_count(text: Column, keywords: Iterable[str], tokens: Column | None = None) -> Column:
+    """How many of the keywords a text has. One pass finds the words, none with ``tokens`` (of ``token_set``); phrases are
+    looked up each."""
+    single, phrases = _single(keywords)
+    if single and tokens is not None and all(map(str.isalnum, single)):
+        found = F.size(F.array_intersect(tokens, F.array(*map(F.lit, single))))
+    else:
+        found = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(" + "|".join(map(re.escape, single)) + r")\b"), F.lit(1)))) if single else F.lit(0)
     return sum((text.contains(p).cast("int") for p in phrases), found)
 
 
-def any_keyword(text: Column, keywords: Iterable[str]) -> Column:
-    keywords = list(keywords)
-    single = "|".join(re.escape(k) for k in keywords if " " not in k)
-    hits = [text.contains(k) for k in keywords if " " in k] + ([text.rlike(rf"\b(?:{single})\b")] if single else [])
+def any_keyword(text: Column, keywords: Iterable[str], tokens: Column | None = None) -> Column:
+    single, phrases = _single(keywords)
+    hits = [text.contains(k) for k in phrases]
+    if single and tokens is not None and all(map(str.isalnum, single)):
+        hits.append(F.arrays_overlap(tokens, F.array(*map(F.lit, single))))
+    elif single:
+        hits.append(text.rlike(rf"\b(?:{'|'.join(map(re.escape, single))})\b"))
     return _any(hits)
 
 

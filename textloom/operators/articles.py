@@ -13,32 +13,48 @@ from ..functions import text as X
 
 def relevance_reason(title: Column, body: Column, url: Column) -> Column:
     """The first gate that an article fails, null if none."""
-    title, body, url = X.collapse(title), X.collapse(body), F.lower(F.coalesce(url, F.lit("")))
-    low = F.lower(F.concat(title, F.lit(" "), body))
-    return (
-        F.when(F.length(title) < L.MIN_TITLE_CHARS, "title_short")
-        .when(F.length(body) < L.MIN_BODY_CHARS, "body_short")
-        .when(X.any_part(low, L.IRRELEVANT), "irrelevant")
-        .when(X.any_part(url, L.LOW_VALUE_URLS), "low_value_url")
-        .when(X.any_part(low, L.LOW_VALUE_TITLES), "low_value_title")
-    )
+    url = F.lower(F.coalesce(url, F.lit("")))
+
+    def reason(x: Column) -> Column:
+        return (
+            F.when(F.length(x["title"]) < L.MIN_TITLE_CHARS, "title_short")
+            .when(F.length(x["body"]) < L.MIN_BODY_CHARS, "body_short")
+            .when(X.any_part(x["low"], L.IRRELEVANT), "irrelevant")
+            .when(X.any_part(url, L.LOW_VALUE_URLS), "low_value_url")
+            .when(X.any_part(x["low"], L.LOW_VALUE_TITLES), "low_value_title")
+        )
+
+    clean = F.struct(X.collapse(title).alias("title"), X.collapse(body).alias("body"))
+    return X.let(X.let(clean, lambda x: F.struct(x["title"], x["body"], F.lower(F.concat(x["title"], F.lit(" "), x["body"])).alias("low"))), reason)
 
 
 def matches_category(category: str, title: Column, body: Column, url: Column, source: Column, source_url: Column) -> Column:
     """Whether an article belongs to a category; it must pass the relevance gates first."""
     content = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))))
     every = F.lower(F.concat_ws(" ", content, F.coalesce(url, F.lit(""))))
-    return relevance_reason(title, body, url).isNull() & _verdict(category, content, every, source, source_url)
+    return relevance_reason(title, body, url).isNull() & X.let(_read(content, every), lambda t: _verdict(category, t, source, source_url))
+
 
+def _read(content: Column, every: Column) -> Column:
+    """What category rules ask of texts in lower case, title and body and both with the url, read once."""
+    words = F.struct(content.alias("content"), every.alias("every"), X.token_set(content).alias("words"), X.token_set(every).alias("every_words"))
 
-def _verdict(category: str, content: Column, every: Column, source: Column, source_url: Column) -> Column:
-    """The category's own rule, from texts in lower case: title and body, and both with the url."""
+    def marked(t: Column) -> Column:
+        every, tokens = t["every"], t["every_words"]
+        abroad = X.any_keyword(every, L.INTERNATIONAL_MARKERS, tokens) | (X.has_keyword(every, "us", tokens) & X.has_keyword(every, "israel", tokens))
+        return F.struct(t["content"].alias("content"), every.alias("every"), t["words"].alias("words"), tokens.alias("every_words"), abroad.alias("abroad"),
+                        X.any_part(every, L.INDIA_MARKERS).alias("india"), X.any_part(every, L.LOCAL_POLITICS).alias("local"))
+
+    return X.let(words, marked)
+
+
+def _verdict(category: str, text: Column, source: Column, source_url: Column) -> Column:
+    """The category's own rule, from what ``_read`` found."""
     source, source_url = F.lower(F.coalesce(source, F.lit(""))), F.lower(F.coalesce(source_url, F.lit("")))
     hinted = lambda c: X.any_part(source_url, L.SOURCE_HINTS[c])
     abroad_source, india_source = X.any_part(F.trim(source), L.INTERNATIONAL_SOURCES), X.any_part(source, L.INDIA_SOURCES)
-    india, local = X.any_part(every, L.INDIA_MARKERS), X.any_part(every, L.LOCAL_POLITICS)
-    abroad = X.any_keyword(every, L.INTERNATIONAL_MARKERS) | (X.has_keyword(every, "us") & X.has_keyword(every, "israel"))
-    any_of = X.any_keyword(content, L.CATEGORY_KEYWORDS[category])
+    content, every, words, india, local, abroad = (text[n] for n in ("content", "every", "words", "india", "local", "abroad"))
+    any_of = X.any_keyword(content, L.CATEGORY_KEYWORDS[category], words)
     if category == "international":
         verdict = (
             F.when(hinted("national") & ~abroad, False)
@@ -49,13 +65,13 @@ def _verdict(category: str, content: Column, every: Column, source: Column, sour
         )
     elif category == "national":
         verdict = (
-            F.when(hinted("national"), F.when(abroad & ~local, False).otherwise(india | X.any_keyword(every, L.CATEGORY_KEYWORDS["national"])))
+            F.when(hinted("national"), F.when(abroad & ~local, False).otherwise(india | X.any_keyword(every, L.CATEGORY_KEYWORDS["national"], text["every_words"])))
             .when(india_source | india, ~(abroad & ~local))
             .otherwise(any_of)
         )
     elif category == "politics":
-        signal = X.keyword_count(content, L.CATEGORY_KEYWORDS["politics"])
-        verdict = (hinted("politics") & (signal > 0)) | (signal >= 2) | X.any_keyword(content, L.POLITICS_STRONG)
+        signal = X.keyword_count(content, L.CATEGORY_KEYWORDS["politics"], words)
+        verdict = (hinted("politics") & (signal > 0)) | (signal >= 2) | X.any_keyword(content, L.POLITICS_STRONG, words)
     else:
         verdict = any_of
     return verdict
@@ -64,12 +80,11 @@ def _verdict(category: str, content: Column, every: Column, source: Column, sour
 def categorised(articles: DataFrame, categories: tuple[str, ...] = tuple(L.CATEGORY_KEYWORDS)) -> DataFrame:
     """A row for each article and category that it matches. The gates drop articles before any category is asked, and the
     texts that keywords are looked up in are made once, as columns."""
-    content, every = "_content", "_every"
     rows = articles.where(relevance_reason(F.col("title"), F.col("body"), F.col("url")).isNull())
-    rows = rows.withColumn(content, F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))))
-    rows = rows.withColumn(every, F.lower(F.concat_ws(" ", content, F.coalesce("url", F.lit("")))))
-    flags = F.array(*(F.when(_verdict(c, F.col(content), F.col(every), F.col("source"), F.col("source_url")), c) for c in categories))
-    return rows.withColumn("category", F.explode(F.array_compact(flags))).drop(content, every)
+    content = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))))
+    texts = X.let(content, lambda c: _read(c, F.lower(F.concat_ws(" ", c, F.coalesce("url", F.lit(""))))))
+    flags = X.let(texts, lambda t: F.array_compact(F.array(*(F.when(_verdict(c, t, F.col("source"), F.col("source_url")), c) for c in categories))))
+    return rows.withColumn("category", F.explode(flags))
 
 
 def fresh(published: Column, now: Column, minutes: int = 1440, required: bool = False) -> Column:
@@ -82,12 +97,16 @@ def priority(text: Column, category: Column, groups: Mapping[str, tuple[str, ...
     """1 for each general keyword, 3 for each of the category's own."""
     bucket = F.when(category == "tech", "technology").otherwise(category)
     low = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-    own = None
-    for name, keywords in groups.items():
-        if name != "general":
-            count = X.keyword_count(low, keywords)
-            own = F.when(bucket == name, count) if own is None else own.when(bucket == name, count)
-    return X.keyword_count(low, groups["general"]) + 3 * own.otherwise(F.lit(0))
+
+    def counted(x: Column) -> Column:
+        own = None
+        for name, keywords in groups.items():
+            if name != "general":
+                count = X.keyword_count(x["low"], keywords, x["words"])
+                own = F.when(bucket == name, count) if own is None else own.when(bucket == name, count)
+        return X.keyword_count(x["low"], groups["general"], x["words"]) + 3 * own.otherwise(F.lit(0))
+
+    return X.let(X.let(low, lambda t: F.struct(t.alias("low"), X.token_set(t).alias("words"))), counted)
 
 
 def source_rank(source: Column) -> Column:

@@ -216,11 +216,13 @@ def story_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BIGRAMS = lambda t: f"list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1])"
 _FEATURES_SQL = f"""{T.ARTICLES_SQL}, f0 AS (SELECT article_id, event_s, title, body, {T.lead('body')} AS lead FROM art),
 f1 AS (SELECT *, {T.salient('title')} AS t, {T.salient('lead')} AS l FROM f0),
-ft AS (SELECT article_id, event_s, list_distinct({T.words(T.normalise('body'))}) AS bs, list_distinct(t) AS ts, list_distinct(l) AS ls,
+ft AS MATERIALIZED (SELECT article_id, event_s, list_distinct({T.words(T.normalise('body'))}) AS bs, list_distinct(t) AS ts, list_distinct(l) AS ls,
   list_distinct(list_concat(list_concat(t, l), list_concat({_BIGRAMS('t')}, {_BIGRAMS('l')}))) AS ss, {T.numbers("title || ' ' || lead")} AS ns FROM f1),
-pairs AS (SELECT a.article_id AS a, b.article_id AS b, {T.jaccard('a.bs', 'b.bs')} AS content, {T.jaccard('a.ts', 'b.ts')} AS title, {T.jaccard('a.ls', 'b.ls')} AS lead, {T.jaccard('a.ss', 'b.ss')} AS story,
+met AS MATERIALIZED (SELECT a.article_id AS a, b.article_id AS b FROM (SELECT article_id, event_s, unnest([event_s // 7200 - 1, event_s // 7200, event_s // 7200 + 1]) AS k FROM ft) a
+  JOIN ft b ON b.event_s // 7200 = a.k AND a.article_id < b.article_id AND abs(a.event_s - b.event_s) <= 7200),
+pairs AS MATERIALIZED (SELECT a.article_id AS a, b.article_id AS b, {T.jaccard('a.bs', 'b.bs')} AS content, {T.jaccard('a.ts', 'b.ts')} AS title, {T.jaccard('a.ls', 'b.ls')} AS lead, {T.jaccard('a.ss', 'b.ss')} AS story,
   (len(a.ns) = 0 OR len(b.ns) = 0 OR list_has_any(a.ns, b.ns)) AS fits
-  FROM ft a JOIN ft b ON a.article_id < b.article_id AND abs(a.event_s - b.event_s) <= 7200),
+  FROM met m JOIN ft a ON a.article_id = m.a JOIN ft b ON b.article_id = m.b),
 scored AS (SELECT *, CASE WHEN title >= 0.52 AND (lead >= 0.22 OR content >= 0.45 * 0.7) AND fits THEN greatest(title, story, content) WHEN lead >= 0.38 AND story >= 0.30 AND fits THEN greatest(lead, story)
   WHEN story >= 0.42 AND lead >= 0.24 AND fits THEN greatest(story, lead) WHEN content >= 0.55 AND fits THEN content ELSE 0.0 END AS score FROM pairs)"""
 _KEEP = ["title_norm", "body_set", "title_set", "lead_set", "story_set", "number_set"]
