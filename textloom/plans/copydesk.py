@@ -16,6 +16,9 @@ from ..operators import closeness as C
 from ..operators import publication as P
 from ..operators import sentences as Z
 from ..operators import summary as S
+from ..sources import histories as H
+from ..sources import loose_json as J
+from ..sources.stored import Scope, new_folder
 from . import news as N
 from . import tables as T
 from .registry import query
@@ -230,3 +233,54 @@ def publication_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 7 == 3, "image_missing").when(i % 11 == 5, "workflow_failed").when(i % 13 == 6, "too_old").otherwise("published").alias("outcome"), F.length("body").alias("size"),
     )
     return P.publish(rows, [F.desc("size")], most=40)
+
+
+_SAID = ("{}", "```json\n{}\n```", "Sure, here it is: {} as asked.", "{} and {}", "no object", "```\n{}```", "[{}", "")
+
+
+def _said_sql() -> str:
+    cases = " ".join(f"WHEN {k} THEN replace('{v.replace(chr(10), '')}', '{{}}', props)" for k, v in enumerate(_SAID))
+    return f"CASE event_id % {len(_SAID)} {cases} END"
+
+
+@query(
+    f"""WITH s AS (SELECT event_id, {_said_sql()} AS said, props FROM events)
+SELECT event_id, CASE WHEN event_id % {len(_SAID)} IN (0, 1, 2, 5) OR (event_id % {len(_SAID)} = 6) THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM s"""
+)
+def answers_in_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of the JSON that answers hold bare, in fences, in prose, cut or not at all."""
+    events = T.events(spark, sf_dir)
+    said = F.replace(N._pick(_SAID, F.col("event_id")), F.lit("{}"), F.col("props"))
+    return events.select("event_id", J.typed(said, "k bigint")["k"].alias("k"))
+
+
+@query(
+    """WITH u AS (SELECT 'https://www.example.org/News/' || (doc_id // 3) AS url, left(trim(split_part(text, '.', 1)), 512) AS title, doc_id FROM documents)
+SELECT url, arg_max(title, doc_id) AS title, max(doc_id) AS article_id FROM u GROUP BY 1"""
+)
+def published_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history of what was published, written in three batches of which one comes twice, and read back."""
+    i = F.col("article_id")
+    rows = T.articles(spark, sf_dir).select(
+        F.concat(F.lit("HTTPS://www.Example.org/News/"), F.floor(i / 3), F.lit("/?utm="), i).alias("url"), F.trim(F.substring_index("body", ".", 1)).alias("title"),
+        F.lit("").alias("story_key"), F.lit("").alias("image_url"), "event_ts", i.alias("article_id"),
+    )
+    rows = H.published_rows(rows.withColumn("published_at", F.struct("event_ts", "article_id"))).select("url", "title", F.col("published_at.article_id").alias("article_id"))
+    with Scope(spark) as scope:
+        root = new_folder(spark, "published")
+        scope.holds(root)
+        history = H.History(spark, root, "url string, title string, article_id bigint", "url")
+        for batch in (0, 1, 1, 2):
+            history.upsert(rows.where(F.col("article_id") % 3 == batch), [F.col("article_id")], "query", batch)
+        return scope.result(history.read(), "published-history")
+
+
+@query(
+    f"""WITH h AS (SELECT 'https://www.example.org/News/' || doc_id AS url, CASE WHEN doc_id % 4 = 1 THEN 'failed' ELSE 'success' END AS status, {T.START} + doc_id * {T.STEP} AS s FROM documents),
+n AS (SELECT max(s) AS now FROM h) SELECT url FROM h, n WHERE status = 'failed' AND s >= now - 360 * 60"""
+)
+def recent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that failed in the six hours before the last article."""
+    rows = T.articles(spark, sf_dir).select(X.normalise_url("url").alias("url"), F.when(F.col("article_id") % 4 == 1, "failed").otherwise("success").alias("status"), F.col("event_ts").alias("ts"))
+    now = rows.agg(F.max("ts")).first()[0]
+    return H.recently_failed(rows, F.lit(now))
