@@ -13,6 +13,7 @@ from ..functions import copyedit as E
 from ..functions import desk_lexicons as D
 from ..functions import text as X
 from ..operators import closeness as C
+from ..operators import pictures as I
 from ..operators import publication as P
 from ..operators import sentences as Z
 from ..operators import summary as S
@@ -284,3 +285,19 @@ def recent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.articles(spark, sf_dir).select(X.normalise_url("url").alias("url"), F.when(F.col("article_id") % 4 == 1, "failed").otherwise("success").alias("status"), F.col("event_ts").alias("ts"))
     now = rows.agg(F.max("ts")).first()[0]
     return H.recently_failed(rows, F.lit(now))
+
+
+#: What pages hold of pictures; {n} is the page's number.
+_PICTURES = (
+    '<meta property="og:image" content="/hero-{n}.jpg"/><img src="a-{n}.jpg" width="900"/>', '<meta content="https://cdn.example.com/t {n}.jpg" name="twitter:image"/>', '<img srcset="s-{n}.jpg 640w, //cdn.example.com/w-{n}.jpg 1280w"/>',
+    '{{"image":{{"url":"https://cdn.example.com/i-{n}.jpg"}}}}', '<img src="logo.png" class="logo"/><img data-src="late-{n}.jpg?a=1&amp;b=2" src="x.gif" alt="Fire"/><img src="LATE-{n}.jpg"/>', "",
+)
+
+
+@query(None)
+def picture_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's pictures in the order in which they are tried."""
+    i = F.col("page_id")
+    own = [F.replace(F.replace(F.replace(N._pick(_PICTURES, i + k), F.lit("{n}"), i.cast("string")), F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}")) for k in (0, 2, 3)]
+    pages = T.table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), *own).alias("html"))
+    return I.of_pages(pages).select("page_id", F.posexplode("pictures").alias("pos", "p")).select("page_id", "pos", "p.url", "p.place", "p.priority", "p.width", F.size(I.download_urls(F.col("p.url"))).alias("n_addresses"))
