@@ -13,6 +13,7 @@ from ..functions import copyedit as E
 from ..functions import desk_lexicons as D
 from ..functions import text as X
 from ..operators import closeness as C
+from ..operators import extraction as R
 from ..operators import pictures as I
 from ..operators import publication as P
 from ..operators import sentences as Z
@@ -301,3 +302,59 @@ def picture_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [F.replace(F.replace(F.replace(N._pick(_PICTURES, i + k), F.lit("{n}"), i.cast("string")), F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}")) for k in (0, 2, 3)]
     pages = T.table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), *own).alias("html"))
     return I.of_pages(pages).select("page_id", F.posexplode("pictures").alias("pos", "p")).select("page_id", "pos", "p.url", "p.place", "p.priority", "p.width", F.size(I.download_urls(F.col("p.url"))).alias("n_addresses"))
+
+
+_LONG = "The navy brought the whole crew of the burning tanker to safety on Friday night after a long search, it said in a note. "
+#: What stands in the heads of pages; a page gets four of them.
+_HEADS = (
+    '<meta property="og:title" content="Gold price jumps in Mumbai | BBC News"/>', '{"headline": "Tankers leave the strait - Reuters World"}', '<meta content="Storm shuts &amp; floods schools - NDTV" data-x=1 property="og:title">',
+    "<title>Bank of Japan holds its rate | The Hindu</title>", '<meta property="og:title" content="tiny">', "<h1 class=a>Norway storm closes all schools - Al Jazeera</h1>",
+    '{"articleBody": "' + _LONG * 2 + '\\nEnd"}', '<meta name="description" content="' + _LONG + '">', '<meta content="' + _LONG[:110] + '" property="og:description">', '{"description" : "' + _LONG[:85] + '"}', '{"summary":"' + _LONG[:82] + '"}',
+    '<time id="a" datetime="2024-03-04">', '{"datePublished":"2024-05-06T07:08"}', '{"image": {"@type": "x", "url": "https://a.org/object.jpg"}}', '{"image": "https://a.org/plain.jpg"}', '<meta property="og:image" content="https://timesofindia.indiatimes.com/photo/123.cms"/>',
+    '<meta property="og:image" content="/relative.jpg"/>', '<meta name="twitter:image" content="https://a.org/t.svg?a=1&amp;b=2"/>', "<p>" + _LONG + "</p>", "<P class=x>Copyright or newsletter, read more: " + _LONG[:60] + "</P>",
+)
+_BLANKS = "' ' || chr(9) || chr(10) || chr(12) || chr(13)"
+
+
+def _read_sql(name: str, c: R.Cascade) -> str:
+    quote = lambda v: v.replace("'", "''")
+
+    def cleaned(x: str, how: str) -> str:
+        swaps = [(n, m) for n, m in (*X.ENTITIES[1:], X.ENTITIES[0])] if how != "plain" else []
+        for n, m in [*swaps, *([("\\n", " "), ("\\u0027", "'"), ('\\"', '"')] if how == "full" else [])]:
+            x = f"replace({x}, '{quote(n)}', '{quote(m)}')"
+        return T.collapse(x) if how == "full" else f"trim({x}, {_BLANKS})"
+
+    found = lambda p, flags="(?i)": f"nullif(regexp_extract(html, '{flags}{quote(p)}', 1), '')"
+    over = lambda xs, least: "coalesce(" + ", ".join([*(f"CASE WHEN length({x}) > {least} THEN {x} END" for x in xs), "NULL"]) + ")"
+    told = lambda p: cleaned(f"replace(replace(trim({found(p)}, {_BLANKS}), '\\n', ' '), '\\u0027', chr(39))", c.clean)
+    title = over([f"regexp_replace({cleaned(found(p), c.clean)}, '{quote(c.suffix)}', '')" for p in c.titles], c.title_least)
+    flags, tag = ("(?is)" if c.loose or c.clean == "entities" else "(?s)"), (r"<p\b[^>]*>(.*?)</p>" if c.loose else "<p[^>]*>(.*?)</p>")
+    part = cleaned(f"regexp_replace(p, '<[^>]+>', '{'' if c.clean == 'plain' else ' '}', 'g')", c.clean)
+    part = T.collapse(part) if c.clean == "entities" else part
+    never = "".join(f" AND NOT contains(lower(t), '{n}')" for n in c.never)
+    parts = f"list_filter(list_transform(regexp_extract_all(html, '{flags}{tag}', 1), lambda p: {part}), lambda t: length(t) > {c.part_least}{never})"
+    text = f"array_to_string(list_slice(parts, 1, {c.parts}), ' ')"
+    body = f"coalesce(whole, CASE WHEN len(parts) >= 3 OR length({text}) > 260 THEN {text} ELSE coalesce(told, CASE WHEN len(parts) > 0 THEN {text} END) END)"
+
+    def picture(p: str) -> str:
+        u = cleaned(found(p), "entities") if c.clean == "entities" or c.no_svg else f"trim({found(p)})"
+        return f"CASE WHEN starts_with({u}, 'http'){f' AND NOT contains(lower({u}), {chr(39)}.svg{chr(39)})' if c.no_svg else ''} THEN {u} END"
+
+    pic = f"coalesce({', '.join(map(picture, c.pictures))})"
+    if c.clean == "entities":
+        pic = f"CASE WHEN regexp_matches({pic}, '(?i)/photo/[0-9]+[.]cms$') THEN 'https://static.toiimg.com/thumb/msid-' || regexp_extract({pic}, '(?i)/photo/([0-9]+)[.]cms', 1) || ',width-1280,height-720,resizemode-6/photo.jpg' ELSE {pic} END"
+    return f"""SELECT page_id, title, {body} AS body, published, picture FROM (SELECT page_id, {title} AS title, {over([told(p) for p in c.bodies], c.body_least)} AS whole, {over([told(p) for p in c.told], c.told_least)} AS told,
+ {parts} AS parts, coalesce({', '.join(found(p, c.times_case) for p in c.times)}) AS published, {pic} AS picture FROM pg WHERE publisher = '{name}')"""
+
+
+@query(
+    "WITH pg AS (SELECT page_id, " + N._pick_sql(tuple(R.CASCADES), "page_id") + " AS publisher, " + " || ".join(N._pick_sql(_HEADS, f"page_id * 3 + {k}") for k in (0, 5, 7, 11))
+    + " || CASE WHEN page_id % 3 = 0 THEN coalesce(html, '') ELSE '' END AS html FROM pages) " + " UNION ALL ".join(_read_sql(n, c) for n, c in R.CASCADES.items())
+)
+def extracted_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, body, time and picture of each page by its publisher's cascade; two thirds of the pages are heads alone."""
+    i = F.col("page_id")
+    html = F.concat(*(N._pick(_HEADS, i * 3 + k) for k in (0, 5, 7, 11)), F.when(i % 3 == 0, F.coalesce("html", F.lit(""))).otherwise(F.lit("")))
+    pages = T.table(spark, sf_dir, "pages").select("page_id", html.alias("html"), N._pick(tuple(R.CASCADES), i).alias("publisher"))
+    return R.extracted(pages, F.col("publisher")).select("page_id", "article.*")
