@@ -168,3 +168,22 @@ def test_titles_meet_all_earlier_ones(spark):
     words = {k: {w[:5] for w in t.split()} for k, t in titles.items()}
     want = [(a, b) for a in titles for b in titles if a > b and len(words[a] & words[b]) >= 0.62 * len(words[a] | words[b])]
     assert got == sorted(want) == [(8, 1), (14, 7), (15, 1), (15, 8)]
+
+
+def test_story_keys_of_retellings(spark):
+    """Two accounts of one event have one key; the longest title of a cluster stands for it, the first of equals."""
+    rows = [
+        (1, 1, "Tim Cook to step down as Apple CEO, John Ternus named successor", "Apple said Tim Cook will step down as CEO and John Ternus will take over the top role."),
+        (2, 2, "Apple names John Ternus as next CEO as Tim Cook prepares to step down", "John Ternus is set to become Apple's next chief executive after Tim Cook steps down, the company said."),
+        (3, 5, "Short", "a"), (3, 3, "Longest", "b"), (3, 4, "Longest", "b"), (4, 6, None, None),
+    ]
+    got = {r.cluster_id: (r.article_id, r.story_key) for r in S.story_keys(spark.createDataFrame(rows, "cluster_id long, article_id long, title string, body string")).collect()}
+    assert got[1][1] == got[2][1] and got[3][0] == 3 and got[4][0] == 6 and len({k for _, k in got.values()}) == 3
+
+
+def test_pictures_used_before(spark):
+    from textloom.operators import images
+
+    rows = spark.createDataFrame([(1, "https://a.org/x.jpg"), (2, " https://a.org/y.jpg "), (3, None), (4, "")], "k int, picture string")
+    used = spark.createDataFrame([("https://a.org/y.jpg",), ("https://a.org/y.jpg",), (None,), (" ",)], "picture string")
+    assert sorted(r.k for r in images.unused(rows, used).collect()) == [1, 3, 4]

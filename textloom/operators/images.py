@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import desk_lexicons as D
@@ -56,3 +56,10 @@ def main_reason(reasons: Column) -> Column:
     """The most telling of an array of reasons, the first one if none is listed, 'download_failed' for none."""
     listed = F.get(F.filter(F.array(*map(F.lit, D.REASONS)), lambda r: F.array_contains(reasons, r)), F.lit(0))
     return F.coalesce(listed, F.get(reasons, F.lit(0)), F.lit("download_failed"))
+
+
+def unused(rows: DataFrame, used: DataFrame, picture: str = "picture") -> DataFrame:
+    """Rows whose picture (an address, ends trimmed) no row of ``used`` has. Rows without a picture stay."""
+    key = F.trim(F.coalesce(F.col(picture), F.lit("")))
+    taken = used.select(key.alias("_taken")).where("_taken <> ''").distinct()
+    return rows.join(taken, key == F.col("_taken"), "left_anti")

@@ -112,6 +112,22 @@ def clusters(articles: DataFrame, minutes: int = 120, title: float = 0.78, conte
         return scope.result(out.select("article_id", F.coalesce("label", "article_id").alias("cluster_id")), "story-clusters")
 
 
+def story_keys(members: DataFrame) -> DataFrame:
+    """cluster_id, article_id, story_key: each cluster's representative (the longest title, then lead, then body, the first
+    of equals) and the key of its title and lead, under which the story counts as published. Expects cluster_id, article_id,
+    title, body."""
+    rows = members.select("cluster_id", "article_id", F.coalesce("title", F.lit("")).alias("title"), X.lead("body").alias("lead"), F.length(F.coalesce("body", F.lit(""))).alias("size"))
+    order = F.struct(F.length("title"), F.length("lead"), F.col("size"), -F.col("article_id"))
+    best = rows.groupBy("cluster_id").agg(F.max_by(F.struct("article_id", "title", "lead"), order).alias("r"))
+    return best.select("cluster_id", "r.article_id", X.story_key(F.col("r.title"), F.col("r.lead")).alias("story_key"))
+
+
+def source_groups(members: DataFrame) -> DataFrame:
+    """cluster_id, source, n_articles, first_id, last_ts: a row for each source of a cluster, so that no cluster is gathered
+    whole. Expects cluster_id, source, article_id, event_ts."""
+    return members.groupBy("cluster_id", "source").agg(F.count("*").alias("n_articles"), F.min("article_id").alias("first_id"), F.max("event_ts").alias("last_ts"))
+
+
 def rollup(members: DataFrame) -> DataFrame:
     """One row a cluster: times, longest title (first of equals), commonest category (first met of equals), sources.
     Expects cluster_id, article_id, title, category, source, event_ts."""

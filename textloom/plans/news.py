@@ -324,12 +324,13 @@ def published_url_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.unpublished(rows, old, F.timestamp_seconds(F.lit(T.START))).select("article_id")
 
 
-@query(f"WITH {_IMAGES} SELECT article_id, picture FROM i3 WHERE NOT EXISTS (SELECT 1 FROM im u WHERE u.article_id % 5 = 0 AND u.picture = i3.picture)")
+@query(f"""WITH {_ART}, im AS (SELECT article_id, replace({_pick_sql(PICTURES, 'article_id')}, '{{n}}', CAST(article_id % 11 AS VARCHAR)) AS picture FROM news)
+SELECT article_id, picture FROM im i WHERE article_id % 40 <> 0 AND NOT EXISTS (SELECT 1 FROM im u WHERE u.article_id % 40 = 0 AND u.picture = i.picture)""")
 def unused_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pictures that no published article used; every fifth article was published."""
-    rows = _images(spark, sf_dir)
-    used = rows.where("article_id % 5 = 0").select("picture").distinct()
-    return rows.join(used, "picture", "left_anti").select("article_id", "picture")
+    """Articles whose picture no published one used; every 40th was published, and pictures come again."""
+    i = F.col("article_id")
+    rows = articles(spark, sf_dir).select("article_id", F.replace(_pick(PICTURES, i), F.lit("{n}"), F.pmod(i, F.lit(11)).cast("string")).alias("picture"))
+    return I.unused(rows.where("article_id % 40 <> 0"), rows.where("article_id % 40 = 0"))
 
 
 _NAMES = f"""list_distinct(list_transform(list_filter(list_transform(string_split({T.collapse('title')}, ' '), lambda r: regexp_replace(r, '[^a-zA-Z0-9]', '', 'g')), lambda w: length(w) >= 2 AND regexp_matches(w, '^[A-Z]') AND lower(w) NOT IN ({T.quoted(L.TITLE_STOPWORDS)})), lambda q: lower(q)))"""

@@ -213,6 +213,21 @@ def story_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("article_id", X.story_key(F.col("title"), F.col("lead")).alias("story_key"))
 
 
+_REP_SQL = _KEY_SQL.replace("FROM art),\nk1", "FROM art), rep AS (SELECT * FROM k0 QUALIFY row_number() OVER (PARTITION BY article_id // 6 ORDER BY length(title) DESC, length(lead) DESC, length(body) DESC, article_id) = 1),\nk1").replace("AS nums FROM k0)", "AS nums FROM rep)")
+
+
+@query(f"WITH {_REP_SQL} SELECT article_id // 6 AS cluster_id, article_id, story_key FROM keyed")
+def cluster_story_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of each cluster's representative."""
+    return S.story_keys(T.articles(spark, sf_dir).withColumn("cluster_id", F.floor(F.col("article_id") / 6)))
+
+
+@query(f"WITH {T.ARTICLES_SQL} SELECT article_id // 6 AS cluster_id, source, count(*) AS n_articles, min(article_id) AS first_id, max(event_s) AS last_s FROM art GROUP BY ALL")
+def cluster_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.source_groups(T.articles(spark, sf_dir).withColumn("cluster_id", F.floor(F.col("article_id") / 6)))
+    return rows.select("cluster_id", "source", "n_articles", "first_id", F.unix_timestamp("last_ts").alias("last_s"))
+
+
 _BIGRAMS = lambda t: f"list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1])"
 _FEATURES_SQL = f"""{T.ARTICLES_SQL}, f0 AS (SELECT article_id, event_s, title, body, {T.lead('body')} AS lead FROM art),
 f1 AS (SELECT *, {T.salient('title')} AS t, {T.salient('lead')} AS l FROM f0),
