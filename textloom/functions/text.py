@@ -92,8 +92,9 @@ def numbers(c: Column | str) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Share of common members of two sets; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    """Share of common members of two sets (arrays without repeats); 0 if either is empty."""
+    common = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(common)
 
 
 def numbers_fit(a: Column, b: Column) -> Column:

@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as X
 from ..sources.stored import Scope, Stored
-
-
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def sequence_ratio(a: str, b: str) -> Column:
-    """Matching-blocks ratio of two strings: no built-in function has it."""
-    return F.pandas_udf(_ratios, "double")(a, b)
+from . import closeness as C
 
 
 def features(articles: DataFrame) -> DataFrame:
@@ -55,14 +44,27 @@ def window_pairs(rows: DataFrame, minutes: int, keep: list[str]) -> DataFrame:
     return met.drop("bucket", "b_bucket")
 
 
-def pair_score(pairs: DataFrame, title: float = 0.78, content: float = 0.45, with_ratio: bool = True) -> DataFrame:
-    """Adds the overlaps and ``score``: by the first rule that holds, 0 if none."""
+def pair_score(pairs: DataFrame, title: float = 0.78, content: float = 0.45, with_ratio: bool = True, all_overlaps: bool = False) -> DataFrame:
+    """Adds the overlaps and ``score``: by the first rule that holds, 0 if none. ``ratio`` is that of the titles, or 0 where
+    it is known to be too small for any rule; so is ``content``, told by the sizes of the word sets, unless
+    ``all_overlaps``."""
+    a_words, b_words = F.size("a_body_set"), F.size("b_body_set")
+    content_of = X.jaccard(F.col("a_body_set"), F.col("b_body_set"))
+    if not all_overlaps:
+        content_of = F.when(F.least(a_words, b_words) >= min(0.55, content * 0.7) * F.greatest(a_words, b_words), content_of).otherwise(0.0)
     p = pairs.select(
-        "*", X.jaccard(F.col("a_body_set"), F.col("b_body_set")).alias("content"), X.jaccard(F.col("a_title_set"), F.col("b_title_set")).alias("title"),
+        "*", content_of.alias("content"), X.jaccard(F.col("a_title_set"), F.col("b_title_set")).alias("title"),
         X.jaccard(F.col("a_lead_set"), F.col("b_lead_set")).alias("lead"), X.jaccard(F.col("a_story_set"), F.col("b_story_set")).alias("story"),
         X.numbers_fit(F.col("a_number_set"), F.col("b_number_set")).alias("fits"),
     )
-    p = p.withColumn("ratio", sequence_ratio("a_title_norm", "b_title_norm") if with_ratio else F.lit(0.0))
+    if with_ratio:
+        # below the least ratio that any rule asks for it decides nothing: such pairs, told by bounds, never reach Python
+        a, b, least = F.col("a_title_norm"), F.col("b_title_norm"), title * 0.82
+        short, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
+        open_ = F.when((both == 0) | (2.0 * short / both >= least), C.most_alike(C.histogram(a), C.histogram(b)) >= least).otherwise(False)
+        p = p.withColumn("_open", open_).withColumn("ratio", F.coalesce(C.ratio(F.when(F.col("_open"), a), F.when(F.col("_open"), b)), F.lit(0.0))).drop("_open")
+    else:
+        p = p.withColumn("ratio", F.lit(0.0))
     fits = F.col("fits")
     score = (
         F.when(F.col("ratio") >= title, F.col("ratio"))

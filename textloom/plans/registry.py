@@ -245,7 +245,7 @@ _KEEP = ["title_norm", "body_set", "title_set", "lead_set", "story_set", "number
 
 def _pairs(spark: SparkSession, sf_dir: str, with_ratio: bool) -> DataFrame:
     pairs = S.window_pairs(S.features(T.articles(spark, sf_dir)), 120, _KEEP)
-    rows = S.pair_score(pairs, with_ratio=with_ratio)
+    rows = S.pair_score(pairs, with_ratio=with_ratio, all_overlaps=not with_ratio)
     return rows.withColumns({"a": F.least("a_article_id", "b_article_id"), "b": F.greatest("a_article_id", "b_article_id")})
 
 
