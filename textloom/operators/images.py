@@ -63,3 +63,54 @@ def unused(rows: DataFrame, used: DataFrame, picture: str = "picture") -> DataFr
     key = F.trim(F.coalesce(F.col(picture), F.lit("")))
     taken = used.select(key.alias("_taken")).where("_taken <> ''").distinct()
     return rows.join(taken, key == F.col("_taken"), "left_anti")
+
+
+# Least and most measures of a picture, places whose pictures must fit the topic, and names of no pictures.
+LEAST = {"width": 400, "height": 220, "bytes": 15000, "aspect": (0.35, 3.2), "sharpness": 6.0, "fit": 0.10, "megapixels": 0.9}
+NOISY_PLACES = ("body", "srcset", "schema")
+NOT_PICTURES = r"(?:^|[/_-])(logo|sprite|icon|favicon|avatar|author|profile|reporter|screenshot)(?:$|[._/-])"
+
+
+def _measures(p: DataFrame, least: dict) -> tuple[Column, Column]:
+    """(width, height): those of the bytes, or what the page tells of a large enough picture; null if neither is known."""
+    told = p["content_type"].startswith("image/") & (p["width_hint"] >= least["width"]) & (p["bytes"] >= least["bytes"])
+    known = p["width"].isNotNull() & p["height"].isNotNull()
+    hint = F.greatest(F.lit(least["height"]), F.floor(p["width_hint"] / 1.77).cast("int"))
+    return F.when(known, p["width"]).when(told, p["width_hint"]), F.when(known, p["height"]).when(told, hint)
+
+
+def probed(probes: DataFrame, key: str = "candidate_id", least: dict = LEAST) -> DataFrame:
+    """One row a candidate picture: the best of its downloads, or why there is none.
+
+    Expects key, pos (the order of the downloads, from 0), url (the candidate's), asked and final (addresses of the
+    download), status, content_type, bytes, width, height, width_hint, sharpness, fit and place. A download's reason is the
+    first gate that it fails; nulls: a status or a size in bytes is a failed or an empty download, a type passes, a final
+    address is the asked one, sharpness and fit are 0, a place is any other. Gives key, ok, pos, score,
+    width and height of the best download (the first of equals), or nulls and ``reason``: the most telling one of its downloads,
+    the first if none is listed; a candidate whose address can't be a picture's is refused before any download. Rows of a null key are one
+    candidate; equal rows count once. One aggregation, combined before the shuffle: rows a candidate don't matter."""
+    none = lambda c, v: F.coalesce(F.col(c), F.lit(v))
+    p = probes.select(
+        F.col(key).alias(key), F.col("pos").alias("pos"), none("url", "").alias("url"), none("asked", "").alias("asked"), F.coalesce("final", "asked", F.lit("")).alias("final"), F.col("status").alias("status"),
+        F.lower(none("content_type", "")).alias("content_type"), none("bytes", 0).alias("bytes"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"),
+        none("width_hint", 0).cast("int").alias("width_hint"), none("sharpness", 0.0).alias("sharpness"), none("fit", 0.0).alias("fit"), none("place", "").alias("place"),
+    )
+    wide, high = _measures(p, least)
+    p = p.withColumns({"width": wide, "height": high})
+    aspect = F.col("width") / F.greatest(F.lit(1), F.col("height"))
+    reason = (
+        F.when(F.lower("url").rlike(NOT_PICTURES), "url_pattern_rejected").when(blocked(F.col("asked")), "overlay_or_branding_url_rejected")
+        .when(F.col("status").isNull() | (F.col("status") != 200), "download_failed").when(blocked(F.col("final")), "overlay_or_branding_url_rejected")
+        .when((F.col("content_type") != "") & ~F.contains("content_type", F.lit("image")), "non_image_content").when(F.col("width").isNull(), "unknown_dimensions")
+        .when((F.col("width") < least["width"]) | (F.col("height") < least["height"]), "resolution_too_low")
+        .when((F.col("bytes") < least["bytes"]) & (F.col("width").cast("long") * F.col("height") / 1e6 < least["megapixels"]), "file_too_small")
+        .when(~aspect.between(*least["aspect"]), "extreme_aspect_ratio").when(F.col("sharpness") < least["sharpness"], "blur_detected")
+        .when((F.col("fit") < least["fit"]) & F.col("place").isin(*NOISY_PLACES), "low_relevance")
+    )
+    p = p.withColumn("reason", reason).withColumn("score", score(F.col("width").cast("double"), F.col("height").cast("double"), F.col("sharpness"), F.col("fit"), F.col("place")))
+    telling = F.array_position(F.array(F.lit("url_pattern_rejected"), *map(F.lit, D.REASONS)), F.col("reason"))
+    passed = F.when(F.col("reason").isNull(), F.struct(F.col("score").alias("score"), (-F.col("pos")).alias("before"), "width", "height"))
+    failed = F.when(F.col("reason").isNotNull(), F.struct(F.when(telling > 0, telling).otherwise(99).alias("telling"), "pos", "reason"))
+    found = p.groupBy(key).agg(F.max(passed).alias("best"), F.min(failed).alias("worst"))
+    ok = F.col("best").isNotNull()
+    return found.select(key, ok.alias("ok"), (-F.col("best.before")).alias("pos"), F.col("best.score").alias("score"), F.col("best.width").alias("width"), F.col("best.height").alias("height"), F.when(~ok, F.col("worst.reason")).alias("reason"))
