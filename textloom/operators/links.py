@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,9 +117,25 @@ def article_links(html: Column, rule: LinkRule, limit: int = 20) -> Column:
     return F.slice(urls, 1, limit)
 
 
-def by_publisher(pages: DataFrame, limit: int = 20) -> DataFrame:
+def of_section(name: str, section: str) -> LinkRule:
+    """A publisher's rule for the listing page of a section (the first part of its path, 'india' or 'world'; may be empty).
+    Publishers whose rules don't depend on sections keep theirs."""
+    rule, part = RULES[name], re.escape(section.strip("/").split("/")[0])
+    if name == "toi":
+        part = part or "india"
+        return replace(rule, patterns=(rf'href="(https://timesofindia\.indiatimes\.com/{part}/[^"]+/articleshow/\d+\.cms)"', rf'href="(/{part}/[^"]+/articleshow/\d+\.cms)"'))
+    if name == "reuters":
+        # an address that is no more than a section has a closing slash and two slashes at most
+        inside = rf"^https://www\.reuters\.com[^?#]*/{part}/" if part else r"^https://www\.reuters\.com(?:[^?#]*[^/?#]|(?:/[^/?#]*){3,})(?:[?#]|$)"
+        return replace(rule, must=(inside, *rule.must[1:]))
+    if name == "guardian":
+        return replace(rule, section=f"/{section.strip('/').split('/')[0]}/" if part else None)
+    return rule
+
+
+def by_publisher(pages: DataFrame, limit: int = 20, rules: dict[str, LinkRule] = RULES) -> DataFrame:
     """page_id, publisher, pos (from 1), link: every rule on every page. Expects page_id and html."""
-    lists = F.array(*(F.struct(F.lit(name).alias("publisher"), article_links(F.col("html"), rule, limit).alias("links")) for name, rule in RULES.items()))
+    lists = F.array(*(F.struct(F.lit(name).alias("publisher"), article_links(F.col("html"), rule, limit).alias("links")) for name, rule in rules.items()))
     rows = pages.select("page_id", F.inline(lists))
     return rows.select("page_id", "publisher", F.posexplode("links").alias("pos", "link")).withColumn("pos", F.col("pos") + 1)
 
