@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
 from textloom.llm import pii
 
 from .helpers import documents, odd_texts
@@ -83,3 +84,18 @@ def test_rounds_go_on_while_values_are_found(spark):
     texts = [f"sent to step{k} label {value(k + j, n)} now" for k in range(len(sizes) - 1) for j in (0, 1) for n in range(sizes[k + j])]
     got = {r.doc_id: r.spans for r in pii.report(documents(spark, texts)).collect()}
     assert [k for k, text in enumerate(texts) if "@" not in text and not got[k].startswith("id:")] == []
+
+
+def test_tokens_outside_base_spans(spark):
+    draw, parts = random.Random(3), ["a@b.co", "QX12345", "10.0.0.1", "4111 1111 1111 1111", "+49 170 1234567", "x12345@y.de", "id=AB-99887", "1234567", "word", "ZZ/12345.6789.1.2", "4111-1111-1111-1111-X99999"]
+    texts = ["".join(draw.choice(parts) + draw.choice([" ", "", ",", "\n"]) for _ in range(draw.randrange(60))) for _ in range(120)] + ["", None, "a@b.co QX12345 " * 20000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = {r.doc_id: r.t for r in rows.select("doc_id", pii._spans(F.coalesce("text", F.lit("")), pii.TOKEN, F.lit(True)).alias("t")).collect()}
+    for row in pii.found_spans(rows).collect():
+        base = [(s.first, s.last) for kind in pii.KINDS for s in row[kind]]
+        enough = [(s.first, s.last, s.value) for s in tokens[row.doc_id] if sum(c in "0123456789" for c in s.value) >= pii.MIN_DIGITS]
+        got = [(s.first, s.last, s.value) for s in row.seen if not s.known]
+        if row.doc_id == len(texts) - 1:
+            assert len(base) == 20000 and got == enough
+        else:
+            assert got == [t for t in enough if not any(a < t[1] and t[0] < b for a, b in base)]

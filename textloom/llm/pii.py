@@ -51,19 +51,35 @@ def _bound(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _sums(numbers: Column) -> Column:
-    """(total, before): the sum of all numbers, and of those before each."""
-    start = F.expr("struct(0 as total, cast(array() as array<int>) as before)")
-    return F.aggregate(numbers, start, lambda s, x: F.struct((s["total"] + x).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before")))
+def _scan(numbers: Column, first: int, join) -> Column:
+    """(total, before): all numbers joined, and those before each."""
+    start = F.expr(f"struct({first} as total, cast(array() as array<int>) as before)")
+    return F.aggregate(numbers, start, lambda s, x: F.struct(join(s["total"], x).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before")))
 
 
-def _running(numbers: Column) -> Column:
-    """For each number, the sum of those before it."""
-    runs = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _RUN).cast("int")), lambda r: _sums(F.slice(n, r * _RUN + 1, F.lit(_RUN))))
-    joined = lambda r: F.flatten(F.zip_with(r, _sums(F.transform(r, lambda x: x["total"]))["before"], lambda x, upto: F.transform(x["before"], lambda k: k + upto)))
+def _running(numbers: Column, first: int = 0, join=lambda a, b: a + b) -> Column:
+    """For each number of one or more, those before it joined: their sum, if nothing else is said."""
+    runs = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _RUN).cast("int")), lambda r: _scan(F.slice(n, r * _RUN + 1, F.lit(_RUN)), first, join))
+    joined = lambda r: F.flatten(F.zip_with(r, _scan(F.transform(r, lambda x: x["total"]), first, join)["before"], lambda x, upto: F.transform(x["before"], lambda k: join(k, upto))))
     return _bound(numbers, lambda n: _bound(runs(n), joined))
 
 
+def _outside(tokens: Column, base: Column) -> Column:
+    """The tokens that no base span overlaps, in order. Both are sorted into one row of spans; one walk tells each token the
+    last end of the base spans that start no later, one walk back the first start of the later ones."""
+    far = 2**31 - 1
+    spans = F.array_sort(F.concat(F.transform(base, lambda b: F.struct(b["first"].alias("first"), F.lit(0).alias("token"), F.struct(b["last"].alias("last"), F.lit("").alias("value"), F.lit("").alias("before")).alias("s"))),
+                                  F.transform(tokens, lambda t: F.struct(t["first"].alias("first"), F.lit(1).alias("token"), F.struct(t["last"].alias("last"), t["value"].alias("value"), t["before"].alias("before")).alias("s")))))
+
+    def walked(all: Column) -> Column:
+        ended = _running(F.transform(all, lambda x: F.when(x["token"] == 0, x["s"]["last"]).otherwise(0)), 0, F.greatest)
+        starts = F.reverse(_running(F.reverse(F.transform(all, lambda x: F.when(x["token"] == 0, x["first"]).otherwise(far))), far, F.least))
+        told = F.zip_with(all, F.arrays_zip(ended.alias("ended"), starts.alias("starts")), lambda x, w: F.struct(x.alias("x"), ((x["token"] == 1) & (w["ended"] <= x["first"]) & (w["starts"] >= x["s"]["last"])).alias("free")))
+        return F.transform(F.filter(told, lambda t: t["free"]), lambda t: F.struct(t["x"]["first"].alias("first"), t["x"]["s"]["last"].alias("last"), t["x"]["s"]["value"].alias("value"), t["x"]["s"]["before"].alias("before")))
+
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(_bound(spans, walked))
+
+
 def _spans(text: Column, pattern: str, there: Column) -> Column:
     """All matches as (first, last, value, before); first and last are code points, last exclusive; before is some of the
     text that ends at the match."""
@@ -118,8 +134,8 @@ def found_spans(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({k: _spans(F.col("text"), PATTERNS[k], there[k]) for k in KINDS} | {"token": _spans(F.col("text"), TOKEN, F.col("text").rlike("[0-9]"))})
     rows = rows.withColumns({k: F.filter(k, _checked(k)) for k in KINDS})
     base = F.concat(*KINDS)
-    outside = lambda s: ~F.exists("base", lambda b: (b["first"] < s["last"]) & (s["first"] < b["last"]))
-    rows = rows.withColumn("base", base).withColumn("token", F.filter("token", lambda s: (F.length(_digits(s["value"])) >= MIN_DIGITS) & outside(s)))
+    rows = rows.withColumn("base", base).withColumn("token", F.filter("token", lambda s: F.length(_digits(s["value"])) >= MIN_DIGITS))
+    rows = rows.withColumn("token", _outside(F.col("token"), F.col("base")))
 
     def seen(column: str, known: bool) -> Column:
         return F.transform(column, lambda s: F.struct(F.lit(known).alias("known"), s["first"].alias("first"), s["last"].alias("last"), s["value"].alias("value"), F.lower(F.regexp_extract(s["before"], CONTEXT, 1)).alias("context")))
