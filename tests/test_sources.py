@@ -107,3 +107,20 @@ def test_bad_lines_stay_apart(spark, tmp_path):
     good, bad = J.read_lines(spark, str(tmp_path / "x.jsonl"), "t string, n int", ("t",))
     assert as_rows(good.fillna(0)) == [("a b", 1), ("x", 0)]
     assert sorted(r.reason for r in bad.collect()) == ["incomplete", "incomplete", "not_json", "not_json", "not_json"]
+
+
+def test_passing_results_go(spark):
+    import os
+
+    from textloom.sources.stored import Scope, passing, shared_root
+
+    there = lambda: {f for f in os.listdir(shared_root(spark).removeprefix("file:")) if f.startswith("kept-")}
+    before = there()
+    with passing(spark):
+        with Scope(spark) as scope:
+            inner = scope.result(spark.range(3).toDF("n"), "kept")
+        assert inner.count() == 3 and len(there() - before) == 1
+    assert there() == before
+    with Scope(spark) as scope:
+        assert scope.result(spark.range(3).toDF("n"), "kept").count() == 3
+    assert len(there() - before) == 1

@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,20 @@ class Stored:
         remove(self.spark, self.path)
 
 
+#: Folders of results, a list for each open block of ``passing``.
+_PASSING: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Results that work leaves behind inside this block go when it ends: for a caller that has stored what it made of them."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_PASSING.pop())
+
+
 class Scope:
     """The stored tables of one piece of work; they go together when it ends.
 
@@ -86,4 +101,7 @@ class Scope:
 
     def result(self, df: DataFrame, label: str) -> DataFrame:
         """What the work leaves behind: stored, so that nothing else has to stay."""
-        return Stored(df, label).df
+        stored = Stored(df, label)
+        if _PASSING:
+            _PASSING[-1].append(stored.path)
+        return stored.df
