@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm import decontam, line_dedup, minhash, packing, quality
 from textloom.llm.queries import tokenizer_path
-from textloom.llm.shared import new_folder
+from textloom.llm.shared import new_folder, remove
+from textloom.sources.stored import passing
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        folder = new_folder(spark, f"stage-{name}")
-        out.write.parquet(folder)
-        docs = spark.read.parquet(folder)
-    return docs
+    """The stages on all documents. A stage's table goes once the next one is stored, and with it what the stage itself has
+    left behind, so at most two stages are on disk; packing stores its result, which is all that stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    *first, (_, last) = STAGES
+    try:
+        for name, stage in first:
+            folder = new_folder(spark, f"stage-{name}")
+            with passing(spark):
+                stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(folder)
+            remove(spark, *before)
+            docs, before = spark.read.parquet(folder), [folder]
+        return last(spark, docs, sf_dir)
+    finally:
+        remove(spark, *before)

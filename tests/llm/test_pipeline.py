@@ -1,12 +1,15 @@
 """The pipeline's stages one by one against plain versions of what each must do."""
 
 import itertools
+import os
 import re
 
 import corpus_pipeline
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from textloom.llm import quality
+from textloom.llm.shared import shared_root
 
 from .helpers import documents, odd_texts
 from .test_line_dedup import brute as brute_lines
@@ -76,3 +79,18 @@ def test_the_whole_run_gives_the_last_stage(spark, folder):
     path, _ = folder
     rows = corpus_pipeline.run(spark, path)
     assert sorted((r.doc_id, r.start, r.length) for r in rows.collect()) == sorted((r.doc_id, r.start, r.length) for r in spark.read.parquet(f"{path}/packing").collect())
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_nothing_but_the_result_stays(spark, folder, tmp_path, empty):
+    """An empty table gives no rows; nulls and repeated rows pass through; of the folders made, the result's alone stays."""
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    none = docs.limit(1).select("doc_id", *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns[1:]))
+    rows = docs.limit(0) if empty else docs.unionByName(none).unionByName(docs.where("doc_id < 3"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    there = lambda: set(os.listdir(shared_root(spark).removeprefix("file:")))
+    before = there()
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [f.split("-")[0] for f in there() - before] == ["packed"]
+    assert (out == []) == empty
