@@ -187,7 +187,8 @@ def write_warc(pages: DataFrame, folder: str, shards: int | None = None, roll: i
         every = every.withColumn("shard", F.coalesce(shard, F.lit(shards - 1)))
         dealt = every.repartitionById(shards, F.col("shard")).sortWithinPartitions(*by, *then).select("page_id", "url", "html", "digest", "refers_to")
         manifest = scope.store(dealt.mapInArrow(_write(folder, roll, date), _MANIFEST_SQL), "warc-manifest")
-        renamed = manifest.repartition("name").mapInArrow(_rename(folder), _MANIFEST_SQL)
+        # stored, so that the renames are spread over tasks and the commit alone is one
+        renamed = scope.store(manifest.repartition("name").mapInArrow(_rename(folder), _MANIFEST_SQL), "warc-renamed")
         renamed.coalesce(1).sortWithinPartitions("shard", "number").write.mode("overwrite").json(f"{folder}/_manifest")
     return spark.read.schema(_MANIFEST_SQL).json(f"{folder}/_manifest")
 
