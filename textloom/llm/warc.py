@@ -32,6 +32,8 @@ from .shared import Scope, new_folder, salted_join
 REVISIT_BYTES = 100
 #: A file is closed once it has this many compressed bytes.
 ROLL_BYTES = 16 << 20
+#: Compressed bytes that are read at once.
+PIECE = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6f1c9c3e-6a8e-5d0e-9d8b-2f4f6f5f7a10")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -197,9 +199,13 @@ def records(data: bytes):
     """The records of an archive: (headers, block). One gzip member at a time."""
     view, at = memoryview(data), 0
     while at < len(view):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(view[at:]) + member.flush()
-        at = len(view) - len(member.unused_data)
+        # in small pieces: what follows a member is copied for each one
+        member, parts = zlib.decompressobj(31), []
+        while at < len(view) and not member.eof:
+            piece = view[at : at + PIECE]
+            parts.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        raw = b"".join(parts) + member.flush()
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
