@@ -283,3 +283,10 @@ def test_doubt_and_proof(spark):
     values = ["The clip was not independently verified by the agency.", "Images circulating online show a fire.", "BBC Verify checked it.", "A video seems viral here", "Rain fell.", None]
     rows = column(spark, values, S.needs_caution(F.lit(""), F.col("v")), S.has_proof(F.lit(""), F.col("v")))
     assert rows == [(True, False), (True, False), (False, True), (True, False), (False, False), (False, False)]
+
+
+def test_stock_words_side_by_side(spark):
+    """As SQL counts them, of two that share a space one counts; elsewhere each one does."""
+    rows = spark.createDataFrame([("so this this is it",), ("this is so, this is it",), ("Athis this is",)], "body string")
+    got = rows.select(E.template_body("body", apart=True).alias("apart"), E.template_body("body").alias("each")).collect()
+    assert [tuple(r) for r in got] == [(False, True), (True, True), (False, False)]
