@@ -65,6 +65,16 @@ def test_same_event_and_keys(spark):
     assert {r.cluster_id: r.number for r in S.cluster_keys(clusters).collect()} == {5: 1, 9: 2, 70000: 3}
 
 
+def test_every_retold_title(spark):
+    """Not the first alone: each earlier title with two names and a number of its own in common, equal titles too."""
+    rows = spark.createDataFrame([
+        (1, "US warns China over Taiwan 2027", ""), (2, "Taiwan window for China in 2027", ""), (3, "Taiwan window for China in 2027", ""), (4, "China builds 2027 ships", ""),
+        (5, "US and China over Taiwan", "2027, 300 and 2027"), (6, "Taiwan China US 300", "2027"), (7, None, None),
+    ], "id long, title string, rest string").withColumn("text", F.concat_ws(" ", "title", "rest"))
+    got = sorted(tuple(r) for r in S.retold(rows, rows).collect())
+    assert got == [(2, 1, 2), (3, 1, 2), (3, 2, 2), (5, 1, 3), (5, 2, 2), (5, 3, 2), (6, 1, 3), (6, 2, 2), (6, 3, 2)]
+
+
 def test_pool_order(spark):
     day = datetime(2024, 1, 1)
     rows = [(1, "c", True, 2, 0.5, day, 1), (2, "c", True, 2, 0.9, day, 1), (3, "c", False, 2, 0.9, day, 2), (4, "c", False, 2, 0.1, day, 0), (5, "c", True, 2, 0.9, day, 0)]
