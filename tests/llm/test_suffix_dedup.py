@@ -57,3 +57,37 @@ def test_removed_bytes_match_brute_force(spark, parts):
 def test_an_empty_table(spark):
     assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
     assert suffix_dedup.remove_repeats(documents(spark, [None, "", "x"])).where("n_removed > 0").count() == 0
+
+
+def test_only_runs_that_may_share_a_window_are_sorted(monkeypatch):
+    """Copies are merged and what stands alone is told apart before any suffix is sorted; periodic runs, too."""
+    rng, sorted_bytes = random.Random(5), []
+    plain = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda raw, *more: sorted_bytes.append(len(raw)) or plain(raw, *more))
+
+    def repeats(runs):
+        raw = [r for r, _ in runs]
+        docs, sizes = np.array([d for _, d in runs]), np.array([len(r) for r in raw])
+        grams = np.array([suffix_dedup._least_grams(np.frombuffer(r, np.uint8), 50)[0] for r in raw])
+        got = suffix_dedup._repeats(docs, grams, sizes, np.frombuffer(b"".join(raw), np.uint8), 50, 1 << 20)
+        first = {}
+        for r, d in runs:
+            for i in range(len(r) - 49):
+                first[r[i : i + 50]] = min(d, first.get(r[i : i + 50], d))
+        assert got.tolist() == [first[r[i : i + 50]] < d for r, d in runs for i in range(len(r) - 49)]
+
+    def runs_of(text):
+        least = suffix_dedup._least_grams(np.frombuffer(text, np.uint8), 50)
+        cuts = [0, *(np.flatnonzero(least[1:] != least[:-1]) + 1).tolist(), len(least)]
+        return [text[a : b + 49] for a, b in zip(cuts, cuts[1:])]
+
+    text = bytes(rng.choice(b"abcdefgh ") for _ in range(3000))
+    repeats([(r, d) for d in (3, 1, 2) for r in runs_of(text)])
+    assert not sorted_bytes
+    for _ in range(40):
+        word = bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 30)))
+        texts = [bytes(rng.choice(b"abc ") for _ in range(rng.randrange(40))) + word * rng.randrange(1, 200 // len(word) + 2) + text[: rng.randrange(90)] for _ in range(4)]
+        runs = [(r, d) for d, t in enumerate(texts) if len(t) >= 50 for r in runs_of(t)]
+        if runs:
+            repeats(runs)
+    assert sorted_bytes

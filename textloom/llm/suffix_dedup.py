@@ -2,7 +2,8 @@
 
 Every 50-byte window holds a sampled 16-byte gram, the one with the least hash of all in it. Windows whose gram occurs in
 one document alone can't repeat elsewhere. The others go, in runs of bytes, to the shard that their gram names, so equal
-windows meet in one shard. A shard sorts its suffixes by induction: positions of the leftmost smaller-type suffixes are
+windows meet in one shard. There equal runs are merged, and runs that agree with no other one in the 33 bytes on either side of
+their gram are told apart. Of the rest a shard sorts the suffixes by induction: positions of the leftmost smaller-type suffixes are
 sorted by a first round of induction over their substrings and by their names, and the second round induces all others.
 Both rounds move positions through queues, one a byte value, that go to disk beyond a memory budget: as positions arrive
 in the order of their suffixes, a queue a value is the priority queue. Neighbours in the array that share 50 bytes are one
@@ -28,8 +29,12 @@ from .slices import Slice, SliceTable, bucket_counts, distinct_keys, in_several,
 
 WIDTH = 50
 GRAM = 16
-#: Shards for each bucket of keys: a suffix array takes some 70 bytes a byte of text.
-SHARDS = 3
+#: A window holds its gram and as many bytes more on one side at least; both together are what runs must agree on.
+BESIDE = (WIDTH - GRAM + 1) // 2
+#: Buckets of text whose keys are searched together, and whose runs go in one row: rows are slices times buckets over this.
+KEYS_OF, RUNS_OF = 8, 4
+#: Shards that a row of runs is split into: they are sorted one after the other, so that memory is a shard's.
+SHARDS = 16
 #: Bytes of positions that a round of induction holds in memory before its queues go to disk.
 QUEUE_BYTES = 64 << 20
 
@@ -166,6 +171,45 @@ def _names(text: np.ndarray, seeds: np.ndarray, number: np.ndarray, ordered: np.
     return np.concatenate([[0], np.cumsum(~equal)])
 
 
+def _groups(buckets: int, of: int) -> int:
+    return max(8, -(-buckets // of))
+
+
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+#: Bytes that are worked on at once where 64-bit numbers would be held for each.
+CHUNK = 1 << 18
+
+
+def _gathered(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of some runs, one run after another."""
+    upto = np.concatenate([[0], np.cumsum(size)])
+    out, a = np.empty(int(upto[-1]), np.uint8), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + CHUNK, "right")) - 1)
+        out[upto[a] : upto[b]] = text[_places(first[a:b], size[a:b])]
+        a = b
+    return out
+
+
+def _hashes(text: np.ndarray) -> np.ndarray:
+    """The hash of the gram at each place."""
+    eight = W.loads(text)
+    return W.mix(W.mix(eight[: len(text) - GRAM + 1]) * np.uint64(0xA0761D6478BD642F) + eight[GRAM - 8 :])
+
+
+def _least_grams(text: np.ndarray, width: int) -> np.ndarray:
+    """The least hash of a gram in each window, whichever texts it lies in."""
+    n = len(text) - width + 1
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, CHUNK):
+        b = min(n, a + CHUNK)
+        out[a:b] = W.sliding_min(_hashes(text[a : b + width - 1]), width - GRAM + 1)
+    return out
+
+
 class _Windows:
     """The windows of a slice, in runs that share a document and a sampled gram."""
 
@@ -177,29 +221,27 @@ class _Windows:
         sizes = np.diff(at)
         if n < width or sizes.max() < width:
             return
-        eight = W.loads(piece.text)
-        grams = W.mix(W.mix(eight[: n - GRAM + 1]) * np.uint64(0xA0761D6478BD642F) + eight[GRAM - 8 :])
-        least = W.sliding_min(grams, width - GRAM + 1)
-        row = np.repeat(np.arange(len(sizes)), sizes)[: n - width + 1]
-        inside = np.arange(n - width + 1) + width <= at[1:][row]
-        new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])])
-        heads = np.flatnonzero(new & inside)
-        # a run ends before the next begins, or where its document has no more windows
+        least = _least_grams(piece.text, width)
+        new = np.concatenate([[True], least[1:] != least[:-1]])
+        new[at[:-1][(at[:-1] < len(new)) & (sizes > 0)]] = True
         begins = np.flatnonzero(new)
-        until = np.concatenate([begins[1:], [n - width + 1]])[np.searchsorted(begins, heads)]
-        self.first, self.last = heads, np.minimum(until, at[1:][row[heads]] - width + 1)
-        self.grams, self.docs = least[heads], piece.docs[row[heads]]
+        row = np.searchsorted(at, begins, "right") - 1
+        inside = begins + width <= at[1:][row]
+        heads, row = begins[inside], row[inside]
+        # a run ends before the next begins, or where its document has no more windows
+        until = np.concatenate([begins[1:], [n - width + 1]])[inside]
+        self.first, self.last = heads, np.minimum(until, at[1:][row] - width + 1)
+        self.grams, self.docs = least[heads], piece.docs[row]
         if narrow:
             keys, number, several = distinct_keys(self.grams, self.docs)
-            again = (several | piece.bits(0, bucket_counts(keys, buckets)))[number]
+            again = (several | piece.bits(0, bucket_counts(keys, _groups(buckets, KEYS_OF))))[number]
             self.first, self.last, self.grams, self.docs = self.first[again], self.last[again], self.grams[again], self.docs[again]
 
     def runs(self):
         """Distinct runs of bytes by gram: (first, length, smallest document), and each run's number among them."""
         size = self.last - self.first + self.width - 1
-        place = np.repeat(self.first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        codes = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(self.piece.text[place])]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        codes = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(_gathered(self.piece.text, self.first, size))]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
         # equal bytes have equal grams, so the order by gram keeps equal ones together
         order = np.lexsort((self.docs, codes, self.grams))
         new = np.concatenate([[True], codes[order][1:] != codes[order][:-1]]) if len(order) else np.zeros(0, bool)
@@ -214,65 +256,130 @@ def _send_grams(width: int, buckets: int):
         for piece in read_slices(batches):
             windows = _Windows(piece, width, buckets, False)
             keys = distinct_keys(windows.grams, windows.docs)[0]
-            yield from sent(piece.id, bucket_counts(keys, buckets), lambda a, b, keys=keys: keys[a:b].tobytes())
+            yield from sent(piece.id, bucket_counts(keys, _groups(buckets, KEYS_OF)), lambda a, b, keys=keys: keys[a:b].tobytes())
 
     return run
 
 
 def _send_runs(width: int, buckets: int):
     def run(batches):
-        compressor = zstandard.ZstdCompressor(level=3)
+        compressor, groups = zstandard.ZstdCompressor(level=3), _groups(buckets, RUNS_OF)
         for piece in read_slices(batches):
             first, size, docs, grams, _ = _Windows(piece, width, buckets, True).runs()
+            at = np.concatenate([[0], np.cumsum(bucket_counts(grams, groups * SHARDS))])
 
             def payload(a, b):
-                n, s = b - a, size[a:b]
-                place = np.repeat(first[a:b] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
-                packed = np.array([n], np.int64).tobytes() + docs[a:b].tobytes() + s.astype(np.int32).tobytes() + piece.text[place].tobytes()
-                return compressor.compress(packed)
+                k = int(np.searchsorted(at[::SHARDS], a, "right")) - 1
+                shards = np.diff(at[k * SHARDS : (k + 1) * SHARDS + 1])
+                return compressor.compress(b"".join(x.tobytes() for x in (shards, docs[a:b], grams[a:b], size[a:b], _gathered(piece.text, first[a:b], size[a:b]))))
 
-            yield from sent(piece.id, bucket_counts(grams, SHARDS * buckets), payload)
+            yield from sent(piece.id, at[SHARDS::SHARDS] - at[:-1:SHARDS], payload)
 
     return run
 
 
-def _sort_shard(width: int, budget: int):
+def _sort_shards(width: int, budget: int):
     def run(payloads: list[bytes]) -> list[bytes]:
-        decompressor, docs, sizes, texts, windows = zstandard.ZstdDecompressor(), [], [], [], []
+        decompressor, parts = zstandard.ZstdDecompressor(), []
         for p in map(decompressor.decompress, payloads):
-            n = int(np.frombuffer(p, np.int64, 1)[0])
-            docs.append(np.frombuffer(p, np.int64, n, 8))
-            sizes.append(np.frombuffer(p, np.int32, n, 8 + 8 * n).astype(np.int64))
-            texts.append(np.frombuffer(p, np.uint8, -1, 8 + 12 * n))
-            windows.append(int((sizes[-1] - width + 1).sum()))
-        docs, size, raw = np.concatenate(docs), np.concatenate(sizes), np.concatenate(texts)
-        del sizes, texts, p
-        # 0xFF is in no UTF-8 text: it parts the runs
-        ends = np.cumsum(size + 1)
-        text = np.full(int(ends[-1]), 0xFF, np.uint8)
-        inside = np.ones(len(text), bool)
-        inside[ends - 1] = False
-        text[inside] = raw
-        del inside, raw
-        run_of = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
-        starts = np.arange(len(text)) + width <= (ends - 1)[run_of]
-        order = suffix_array(text, width, budget)
-        order = order[starts[order]]
-        eight = W.loads(np.concatenate([text, np.zeros(8, np.uint8)]))
-        same = np.ones(max(0, len(order) - 1), bool)
-        for k in [*range(0, width - 7, 8), width - 8]:
-            part = eight[order + k]
-            same &= part[1:] == part[:-1]
-        new = np.concatenate([[True], ~same])
-        doc = docs[run_of[order]]
-        least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
-        smaller = np.zeros(len(text), bool)
-        smaller[order] = least < doc
-        return [np.packbits(x).tobytes() for x in np.split(smaller[starts], np.cumsum(windows)[:-1])]
+            shards = np.frombuffer(p, np.int64, SHARDS)
+            docs, grams, sizes = (np.frombuffer(p, kind, int(shards.sum()), 8 * (SHARDS + k * int(shards.sum()))) for k, kind in enumerate((np.int64, np.uint64, np.int64)))
+            parts.append((np.concatenate([[0], np.cumsum(shards)]), np.concatenate([[0], np.cumsum(sizes)]), docs, grams, sizes, np.frombuffer(p, np.uint8, -1, 8 * (SHARDS + 3 * int(shards.sum())))))
+        out: list[list[np.ndarray]] = [[] for _ in parts]
+        for k in range(SHARDS):
+            cuts = [(at[k], at[k + 1]) for at, *_ in parts]
+            docs, grams, sizes = (np.concatenate([p[c][a:b] for p, (a, b) in zip(parts, cuts)]) for c in (2, 3, 4))
+            if not len(docs):
+                continue
+            raw = np.concatenate([p[5][p[1][a] : p[1][b]] for p, (a, b) in zip(parts, cuts)])
+            windows = [int((p[4][a:b] - width + 1).sum()) for p, (a, b) in zip(parts, cuts)]
+            for held, bits in zip(out, np.split(_repeats(docs, grams, sizes, raw, width, budget), np.cumsum(windows)[:-1])):
+                held.append(bits)
+        return [np.packbits(np.concatenate(x)).tobytes() for x in out]
 
     return run
 
 
+def _repeats(docs: np.ndarray, grams: np.ndarray, sizes: np.ndarray, raw: np.ndarray, width: int, budget: int) -> np.ndarray:
+    """Of each window of each run: whether it starts in a document with a smaller id, too."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    strings = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    number = strings.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    head = np.unique(number, return_index=True)[1]
+    least_doc = np.full(len(head), np.iinfo(np.int64).max)
+    np.minimum.at(least_doc, number, docs)
+    size = sizes[head]
+    text = _gathered(raw, offsets[head], size)
+    # a run that shares no window has its own document's id, or that of its copy with the least
+    counts = size - width + 1
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    least = np.repeat(least_doc, counts)
+    open_ = _meeting(text, size, grams[head], width)
+    if open_.any():
+        inside = np.repeat(open_, size)
+        least[np.repeat(open_, counts)] = _least_in_order(text[inside], size[open_], least_doc[open_], width, budget)
+    mine = sizes - width + 1
+    return least[_places(upto[:-1][number], mine)] < np.repeat(docs, mine)
+
+
+def _meeting(text: np.ndarray, size: np.ndarray, grams: np.ndarray, width: int) -> np.ndarray:
+    """Which of some different runs may share a window with another one.
+
+    Windows that are equal have their gram at one place, and beside it, on the left or on the right, the same bytes. A gram
+    that is twice in a run has no one place: its runs all stay."""
+    beside = min(BESIDE, (width - GRAM + 1) // 2)
+    by_gram = np.unique(grams, return_inverse=True)[1]
+    several = np.bincount(by_gram)[by_gram] > 1
+    if not several.any():
+        return several
+    keep = np.flatnonzero(several)
+    text, size, grams, by_gram = text[np.repeat(several, size)], size[keep], grams[keep], by_gram[keep]
+    ends = np.cumsum(size)
+    eight, hashed = W.loads(text), _hashes(text)
+    run_of = np.repeat(np.arange(len(size)), size)
+    at = np.flatnonzero(hashed == grams[run_of[: len(hashed)]])
+    at = at[at + GRAM <= ends[run_of[at]]]
+    times = np.bincount(run_of[at], minlength=len(size))
+    unclear = np.bincount(by_gram, times != 1)[by_gram] > 0
+    out = unclear.copy()
+    at = at[~unclear[run_of[at]]]
+    run = run_of[at]
+    for begin in (at - beside, at):
+        whole = (begin >= ends[run] - size[run]) & (begin + GRAM + beside <= ends[run])
+        who, begin = run[whole], begin[whole]
+        key = grams[who]
+        for k in [*range(0, GRAM + beside - 7, 8), GRAM + beside - 8]:
+            key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + eight[begin + k])
+        same = np.unique(key, return_inverse=True, return_counts=True)
+        out[who] |= same[2][same[1]] > 1
+    several[keep] = out
+    return several
+
+
+def _least_in_order(raw: np.ndarray, size: np.ndarray, docs: np.ndarray, width: int, budget: int) -> np.ndarray:
+    """Of each window of some runs the least document in which it starts, by the order of all suffixes."""
+    # 0xFF is in no UTF-8 text: it parts the runs
+    ends = np.cumsum(size + 1)
+    text = np.full(int(ends[-1]), 0xFF, np.uint8)
+    inside = np.ones(len(text), bool)
+    inside[ends - 1] = False
+    text[inside] = raw
+    del inside, raw
+    run_of = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+    starts = np.arange(len(text)) + width <= (ends - 1)[run_of]
+    order = suffix_array(text, width, budget)
+    order = order[starts[order]]
+    eight = W.loads(np.concatenate([text, np.zeros(8, np.uint8)]))
+    same = np.ones(max(0, len(order) - 1), bool)
+    for k in [*range(0, width - 7, 8), width - 8]:
+        part = eight[order + k]
+        same &= part[1:] == part[:-1]
+    new = np.concatenate([[True], ~same])
+    out = np.zeros(len(text), np.int64)
+    out[order] = np.minimum.reduceat(docs[run_of[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out[starts]
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
 
 
@@ -283,7 +390,7 @@ def _remove(width: int, buckets: int, with_spans: bool):
             _, size, least, grams, number = windows.runs()
             counts = size - width + 1
             upto = np.concatenate([[0], np.cumsum(counts)])
-            cut = np.concatenate([[0], np.cumsum(bucket_counts(grams, SHARDS * buckets))])
+            cut = np.concatenate([[0], np.cumsum(bucket_counts(grams, _groups(buckets, RUNS_OF)))])
             bits = piece.bits(1, upto[cut[1:]] - upto[cut[:-1]])
             mine = windows.last - windows.first
             place = np.repeat(windows.first - (np.cumsum(mine) - mine), mine) + np.arange(int(mine.sum()))
@@ -325,6 +432,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_spans: bool = True,
         table = SliceTable(docs, scope)
         buckets = table.buckets
         table.ask(0, _send_grams(width, buckets), in_several, "grams")
-        table.ask(1, _send_runs(width, buckets), _sort_shard(width, budget), "shards")
+        table.ask(1, _send_runs(width, buckets), _sort_shards(width, budget), "shards")
         out = table.rows().mapInArrow(_remove(width, buckets, with_spans), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
         return scope.result(out, "suffix-dedup")
