@@ -68,7 +68,7 @@ def test_only_runs_that_may_share_a_window_are_sorted(monkeypatch):
     def repeats(runs):
         raw = [r for r, _ in runs]
         docs, sizes = np.array([d for _, d in runs]), np.array([len(r) for r in raw])
-        grams = np.array([suffix_dedup._least_grams(np.frombuffer(r, np.uint8), 50)[0] for r in raw])
+        grams = suffix_dedup.W.mix(np.array([suffix_dedup._least_grams(np.frombuffer(r, np.uint8), 50)[0] for r in raw]))
         got = suffix_dedup._repeats(docs, grams, sizes, np.frombuffer(b"".join(raw), np.uint8), 50, 1 << 20)
         first = {}
         for r, d in runs:
@@ -91,3 +91,13 @@ def test_only_runs_that_may_share_a_window_are_sorted(monkeypatch):
         if runs:
             repeats(runs)
     assert sorted_bytes
+
+
+def test_buckets_get_even_shares():
+    """The hash by which runs are dealt is the least of some 35, yet no bucket gets more than its share."""
+    text = np.random.default_rng(1).integers(97, 123, 200_000, np.uint8)
+    ids, at = suffix_dedup.pa.array([1]), np.array([0, len(text)])
+    piece = suffix_dedup.Slice(0, ids, at.tobytes(), suffix_dedup.zstandard.compress(text.tobytes()), None, None)
+    grams = np.sort(suffix_dedup._Windows(piece, 50, 8, False).grams)
+    counts = suffix_dedup.bucket_counts(grams, 32)
+    assert counts.sum() > 9000 and counts.max() < 1.5 * counts.mean()

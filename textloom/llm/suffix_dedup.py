@@ -231,7 +231,8 @@ class _Windows:
         # a run ends before the next begins, or where its document has no more windows
         until = np.concatenate([begins[1:], [n - width + 1]])[inside]
         self.first, self.last = heads, np.minimum(until, at[1:][row] - width + 1)
-        self.grams, self.docs = least[heads], piece.docs[row]
+        # least hashes are small ones: mixed again they go to all buckets alike
+        self.grams, self.docs = W.mix(least[heads]), piece.docs[row]
         if narrow:
             keys, number, several = distinct_keys(self.grams, self.docs)
             again = (several | piece.bits(0, bucket_counts(keys, _groups(buckets, KEYS_OF))))[number]
@@ -335,7 +336,7 @@ def _meeting(text: np.ndarray, size: np.ndarray, grams: np.ndarray, width: int)
     keep = np.flatnonzero(several)
     text, size, grams, by_gram = text[np.repeat(several, size)], size[keep], grams[keep], by_gram[keep]
     ends = np.cumsum(size)
-    eight, hashed = W.loads(text), _hashes(text)
+    eight, hashed = W.loads(text), W.mix(_hashes(text))
     run_of = np.repeat(np.arange(len(size)), size)
     at = np.flatnonzero(hashed == grams[run_of[: len(hashed)]])
     at = at[at + GRAM <= ends[run_of[at]]]
