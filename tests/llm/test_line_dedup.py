@@ -164,3 +164,19 @@ def test_session_and_catalog_are_left_as_they_were(spark):
     before, tables = [spark.conf.get(n) for n in names], len(spark.catalog.listTables())
     line_dedup.report(documents(spark)).count()
     assert [spark.conf.get(n) for n in names] == before and len(spark.catalog.listTables()) == tables
+
+
+def test_pairs_compared_together_are_within_as_pair_by_pair():
+    rng = random.Random(5)
+    ones, others = ["", "a", "", "x" * 2600], ["", "", "abc", "x" * 2599 + "y"]
+    for _ in range(1500):
+        one = "".join(rng.choice("abcé 😀") for _ in range(rng.randint(1, 160)))
+        other = list(one)
+        for _ in range(rng.randint(0, 18)):
+            k = rng.randint(0, len(other))
+            other[k : k + rng.randint(0, 1)] = rng.choice(("", "z", "é", "ab"))
+        ones.append(one)
+        others.append("".join(other))
+    limits = [line_dedup.EDIT_PERCENT * max(len(a), len(b)) // 100 for a, b in zip(ones, others)]
+    want = [line_dedup.edits(a, b) <= n for a, b, n in zip(ones, others, limits)]
+    assert 300 < sum(want) < 1300 and line_dedup.all_within(ones, others).tolist() == want

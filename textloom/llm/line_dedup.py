@@ -23,6 +23,7 @@ one row, with its columns as they are, and an empty table gives none."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from functools import cached_property
 
@@ -286,7 +287,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _verify(batches):
     for batch in batches:
-        good = pa.array([within(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+        good = pa.array(all_within(batch.column(2).to_pylist(), batch.column(3).to_pylist()), pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(2)], names=["a", "b"])
 
 
@@ -376,6 +377,83 @@ def within(one: str, other: str) -> bool:
     return edits(" ".join(a[k : len(a) - n]), " ".join(b[k : len(b) - n]), limit) <= limit
 
 
+#: Pairs of which a table of distances is filled in at once, the fewest for which that pays, and the characters of a line
+#: from which on one pair is told alone (limits stay in a byte).
+ABREAST, FEW, ALONE = 256, 6, 2500
+
+
+def _laid(texts: list[str], sizes: np.ndarray, before: int, length: int, filler: int) -> np.ndarray:
+    """The characters of texts, a column each, with a filler around them."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32) + np.uint32(2)
+    out = np.full((length, len(texts)), filler, np.uint16 if points.max(initial=0) < 1 << 16 else np.uint32)
+    out[_runs_of(np.full(len(texts), before), sizes), np.repeat(np.arange(len(texts)), sizes)] = points
+    return out
+
+
+def _banded(ones: list[str], others: list[str], limits: np.ndarray) -> np.ndarray:
+    """Whether each two texts are within their limit: Levenshtein's table for all pairs together, one diagonal across the
+    matches after another, only as far from the main diagonal as the largest limit. Texts are shorter than ``ALONE``."""
+    sizes, other_sizes = (np.array([len(x) for x in texts]) for texts in (ones, others))
+    far, cap = int(limits.max()) + 1 & ~1, np.uint8(253)
+    ends = sizes + other_sizes
+    last = int(ends.max())
+    # (i, j) with i + j = step and i - j up to ``far``: both stay within these rows
+    length = last // 2 + far + 2
+    a, b = _laid(ones, sizes, far, length + far, 0), _laid(others, other_sizes, far, length + far, 1)[::-1].copy()
+    # steps off the main diagonal, even and odd ones; each looks at the other kind's last and its own last but one
+    even, odd = np.full((far + 1, len(ones)), cap), np.full((far + 2, len(ones)), cap)
+    even[far // 2] = 0
+    beside, differs = np.empty((far + 1, len(ones)), np.uint8), np.empty((far + 1, len(ones)), bool)
+    out, order = np.zeros(len(ones), bool), np.argsort(ends, kind="stable")
+    upto = np.searchsorted(ends[order], np.arange(last + 2))
+    out[order[: upto[1]]] = True
+    for step in range(1, last + 1):
+        mine, other, low = (even, odd, -far) if step % 2 == 0 else (odd[1:-1], even, 1 - far)
+        n, at, back = len(mine), (step + low) // 2 - 1 + far, len(b) - 1 - ((step - low) // 2 - 1 + far)
+        np.not_equal(a[at : at + n], b[back : back + n], out=differs[:n])
+        np.minimum(other[:-1], other[1:], out=beside[:n])
+        np.minimum(beside[:n], cap, out=beside[:n])
+        beside[:n] += 1
+        mine += differs[:n].view(np.uint8)
+        np.minimum(mine, beside[:n], out=mine)
+        done = order[upto[step] : upto[step + 1]]
+        if len(done):
+            off = sizes[done] - other_sizes[done]
+            done, off = done[np.abs(off) <= far], off[np.abs(off) <= far]
+            out[done] = (even[(off + far) // 2, done] if step % 2 == 0 else odd[(off + far + 1) // 2, done]) <= limits[done]
+    return out
+
+
+def all_within(ones: list[str], others: list[str]) -> np.ndarray:
+    """``within`` for pairs of texts; those that aren't quickly told are told together, lines of about a length at a time."""
+    out, open_ = np.zeros(len(ones), bool), []
+    for k, (one, other) in enumerate(zip(ones, others)):
+        longer = max(len(one), len(other))
+        limit = EDIT_PERCENT * longer // 100
+        if abs(len(one) - len(other)) > limit:
+            continue
+        if longer >= ALONE:
+            out[k] = within(one, other)
+            continue
+        a, b = one.split(" "), other.split(" ")
+        if len(a) == len(b) and sum(max(len(x), len(y)) for x, y in zip(a, b) if x != y) <= limit:
+            out[k] = True
+        else:
+            open_.append((longer, k, limit))
+    open_.sort()
+    first = 0
+    while first < len(open_):
+        # one table is as large as its longest pair asks for
+        like = bisect.bisect_right(open_, open_[first][0] * 5 // 4, first, min(first + ABREAST, len(open_)), key=lambda p: p[0])
+        some, first = open_[first:like], like
+        which = [k for _, k, _ in some]
+        if len(some) < FEW:
+            out[which] = [within(ones[k], others[k]) for k in which]
+            continue
+        out[which] = _banded([ones[k] for k in which], [others[k] for k in which], np.array([limit for *_, limit in some]))
+    return out
+
+
 class _Part:
     """Lines of a large block that others are compared with; what is found joined stays joined."""
 
@@ -395,14 +473,24 @@ class _Part:
         for k, r in enumerate(self.rows):
             self.blocks[k, : len(r[6])] = [(b["block"], b["place"]) for b in r[6]]
 
-    def links(self, block: int, rows: list[tuple]):
-        """Links of some other lines of the block with lines of this part."""
+    def opened(self, block: int, rows: list[tuple]) -> list[tuple[tuple, list[int]]]:
+        """Other lines of the block with the lines of this part that each is to be compared with, the nearest first."""
         label, simhash, size, place = (np.array([r[k] for r in rows], np.int64)[:, None] for k in range(1, 5))
         fits = candidates(simhash, self.simhash, size, self.size, place, self.place) & (label != self.labels)
-        for k in np.flatnonzero(fits.any(axis=1)).tolist():
-            yield from self._links(block, rows[k], np.flatnonzero(fits[k]))
-
-    def _links(self, block: int, row: tuple, fits: np.ndarray):
+        found = ((rows[k], self._open(block, rows[k], np.flatnonzero(fits[k]))) for k in np.flatnonzero(fits.any(axis=1)).tolist())
+        return [(row, fits) for row, fits in found if fits]
+
+    def apart(self, row: tuple, fits: list[int], most: int) -> tuple[list[int], list[int]]:
+        """The first ``most`` lines that a line isn't joined with by now, and what comes after them."""
+        own, out = self.label(row[1]), []
+        for n, k in enumerate(fits, 1):
+            if self.label(self.rows[k][1]) != own:
+                out.append(k)
+                if len(out) == most:
+                    return out, fits[n:]
+        return out, []
+
+    def _open(self, block: int, row: tuple, fits: np.ndarray) -> list[int]:
         node, label, simhash, size, place, plain, blocks = row
         # a pair is compared in the least of the blocks in which it is a candidate
         before = np.array([(b["block"], b["place"]) for b in blocks if b["block"] < block], np.int64).reshape(-1, 2)
@@ -413,46 +501,79 @@ class _Part:
             met = (theirs[..., 0] == before[:, 0]) & (100 * moved <= EDIT_PERCENT * np.maximum(size, self.size[fits])[:, None, None])
             fits = fits[~met.any(axis=(1, 2))]
         if not len(fits):
-            return
+            return []
         if self.profiles is None:
             self.profiles = np.stack([profile(r[5]) for r in self.rows])
         limit = EDIT_PERCENT * np.maximum(size, self.size[fits]) // 100
         fits = fits[np.abs(self.profiles[fits] - profile(plain)).sum(axis=1, dtype=np.int32) <= 4 * limit]
-        # the nearest first: it most likely joins the two, and then the rest of that group needs no look
-        for k in fits[np.argsort(np.bitwise_count((self.simhash[fits] ^ np.int64(simhash)).view(np.uint64)), kind="stable")].tolist():
-            other = self.rows[k]
-            one, two = self.label(label), self.label(other[1])
-            if one != two and within(plain, other[5]):
-                self.joined[max(one, two)] = min(one, two)
-                yield node, other[0]
+        return fits[np.argsort(np.bitwise_count((self.simhash[fits] ^ np.int64(simhash)).view(np.uint64)), kind="stable")].tolist()
+
+
+def _linked(waiting: list[tuple[_Part, tuple, list[int]]]) -> pa.RecordBatch:
+    """Links of lines (with the part they are held against and its lines in question), compared all together. The nearest
+    come first: they most likely join the two, and then the rest of that group needs no look."""
+    links, many = [], 2
+    while waiting:
+        now, later = [], []
+        for part, row, fits in waiting:
+            first, rest = part.apart(row, fits, many)
+            now.extend((part, row, part.rows[k]) for k in first)
+            if rest:
+                later.append((part, row, rest))
+        good = all_within([row[5] for _, row, _ in now], [other[5] for *_, other in now])
+        for k in np.flatnonzero(good).tolist():
+            part, row, other = now[k]
+            one, two = part.label(row[1]), part.label(other[1])
+            if one != two:
+                part.joined[max(one, two)] = min(one, two)
+                links.append((row[0], other[0]))
+        waiting, many = later, 2 * many
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
+#: Lines that are held against a part at once; their characters, and pairs in question, that wait to be compared.
+TOGETHER, HELD, PAIRS = 128, 1 << 23, 1 << 15
 
 
-#: Lines that are held against a part at once.
-TOGETHER = 128
+def _compare(batches):
+    at, part, far, waiting, held, asked = None, _Part(), [], [], 0, 0
 
+    def open_far() -> None:
+        nonlocal far, held, asked
+        if far and part.rows:
+            opened = part.opened(at[0], far)
+            waiting.extend((part, *x) for x in opened)
+            asked += sum(len(fits) for _, fits in opened)
+            held += sum(row[3] for row, _ in opened) + (sum(row[3] for row in part.rows) if opened else 0)
+        far = []
 
-def _compare(batches):
-    at, part, waiting = None, _Part(), []
+    def full() -> bool:
+        return held >= HELD or asked >= PAIRS
 
-    def found():
-        nonlocal waiting
-        out, waiting = list(part.links(at[0], waiting)) if waiting and part.rows else [], []
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+    def compared() -> pa.RecordBatch:
+        nonlocal waiting, held, asked
+        now, waiting, held, asked = waiting, [], 0, 0
+        return _linked(now)
 
     for batch in batches:
-        for block, number, far, *row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+        for block, number, is_far, *row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
             if (block, number) != at:
-                yield found()
+                open_far()
+                if full():
+                    yield compared()
                 at, part = (block, number), _Part()
-            if not far:
+            if not is_far:
                 part.rows.append(tuple(row))
                 continue
-            if not waiting and part.rows and not hasattr(part, "id"):
+            if not far and part.rows and not hasattr(part, "id"):
                 part.close()
-            waiting.append(tuple(row))
-            if len(waiting) == TOGETHER:
-                yield found()
-    yield found()
+            far.append(tuple(row))
+            if len(far) == TOGETHER:
+                open_far()
+                if full():
+                    yield compared()
+    open_far()
+    yield compared()
 
 
 def _compared(apart: DataFrame, texts: DataFrame, scope: Scope) -> DataFrame:
