@@ -80,3 +80,9 @@ def test_pool_order(spark):
     rows = [(1, "c", True, 2, 0.5, day, 1), (2, "c", True, 2, 0.9, day, 1), (3, "c", False, 2, 0.9, day, 2), (4, "c", False, 2, 0.1, day, 0), (5, "c", True, 2, 0.9, day, 0)]
     got = S.pool_order(spark.createDataFrame(rows, "cluster_id long, category string, breaking boolean, priority int, confidence double, end_ts timestamp, source_rank int")).collect()
     assert {r.cluster_id: r["rank"] for r in got} == {5: 1, 2: 2, 1: 3, 4: 1, 3: 2}
+
+
+def test_low_value_works_a_sentence_out_once(spark):
+    assert str(Z.low_value(F.col("s"))).count("regexp_replace") == 1
+    rows = spark.createDataFrame([(None,), ("",), ("Rain fell  in Oslo.",)], "s string").select(Z.low_value(F.col("s")).alias("l")).collect()
+    assert [r.l for r in rows] == [False, False, False]
