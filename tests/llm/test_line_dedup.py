@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from textloom.llm import line_dedup
 from textloom.llm import words as W
 
@@ -180,3 +181,21 @@ def test_pairs_compared_together_are_within_as_pair_by_pair():
     limits = [line_dedup.EDIT_PERCENT * max(len(a), len(b)) // 100 for a, b in zip(ones, others)]
     want = [line_dedup.edits(a, b) <= n for a, b, n in zip(ones, others, limits)]
     assert 300 < sum(want) < 1300 and line_dedup.all_within(ones, others).tolist() == want
+
+
+def test_lines_are_worked_out_once(monkeypatch):
+    """Of lines without a partner nothing comes back, those with one are the only ones worked out again."""
+    text = "\n".join(f"line {k} of words {k * 7} nobody {k * k} else {k + 5} has {k * 13} here {k}" for k in range(200))
+    texts = [text, "one line that is met again by a near one here\nx y", "one line that is met again by a near one hera\nx y"]
+    at = np.cumsum([0, *(len(t) for t in texts)])
+    lines = line_dedup.Lines(np.frombuffer("".join(texts).encode(), np.uint8), at, np.array([3, 2, 1]))
+    (reply,) = line_dedup.partners([line_dedup._packed(line_dedup._again(lines), line_dedup._entries(lines))])
+    again, near, same = line_dedup._unpacked(reply, line_dedup._AGAIN, line_dedup._NEAR, "<u4")
+    # the line that stands for equal ones is that of the least document
+    assert again.tolist() == [(201, 203)] and set(near["number"].tolist()) == {200, 202} and not len(same)
+
+    seen = []
+    monkeypatch.setattr(line_dedup, "Lines", lambda text, at, docs, made=line_dedup.Lines: seen.append(len(text)) or made(text, at, docs))
+    table = pa.table({"slice_id": [0], "doc_ids": [[3, 2, 1]], "offsets": [at.astype(np.int64).tobytes()], "text": [zstandard.compress("".join(texts).encode())], "rest": pa.array([None], pa.binary()), "size": [int(at[-1])], "answers": [[{"level": 0, "bucket": 0, "reply": reply}]]})
+    (met,) = line_dedup._meeting(table.to_batches())
+    assert sum(seen) < 200 and sorted(met.column("numbers").to_pylist()) == [[200], [202], [203, 201]]

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from . import words as W
 from .shared import Scope
-from .slices import Slice, SliceTable, bucket_counts, read_slices, sent
+from .slices import SliceTable, bucket_counts, read_slices, sent
 
 EDIT_PERCENT = 10
 #: Bits of the SimHashes that a candidate pair may differ in, by the longer one's characters: one changed word of four moves
@@ -63,8 +63,9 @@ def simhashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     first_run = np.cumsum(runs) - runs
     begins = np.repeat(np.cumsum(counts) - counts, runs) + 255 * (np.arange(len(line)) - np.repeat(first_run, runs))
     ones = np.empty((len(line), 8), np.uint64)
+    parts = hashes.view(np.uint8).reshape(-1, 8)
     for k in range(8):
-        ones[:, k] = np.add.reduceat(_SPREAD[(hashes >> np.uint64(8 * k)) & np.uint64(255)], begins)
+        ones[:, k] = np.add.reduceat(_SPREAD[parts[:, k]], begins)
     ones = np.add.reduceat(ones.view(np.uint8).reshape(len(line), 64), first_run, axis=0, dtype=np.int32)
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -74,32 +75,47 @@ def _runs_of(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def line_starts(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the lines of some texts begin; a line's number is its place among these."""
+    return np.union1d(at[:-1][np.diff(at) > 0], np.flatnonzero(text == 10) + 1)
+
+
+def line_places(numbers: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some lines with a word, by number: the text each is in, and which line of it it is."""
+    rows = np.searchsorted(at, starts[numbers], "right") - 1
+    return rows, numbers - np.searchsorted(starts, at[rows])
+
+
 class Lines:
-    """The lines of a slice that have a word: of each occurrence its document's row, its number there and a code of its
-    normalised text; of each code its key, first occurrence and uses."""
+    """The lines of a slice that have a word: of each occurrence its number and a code of its normalised text; of each code
+    its key and its first occurrence (``head``), by document and line."""
 
     def __init__(self, text: np.ndarray, at: np.ndarray, docs: np.ndarray):
         text = W.LOWER[text]
         self.words = words = W.Words(text, at, W.ALNUM)
-        starts = np.union1d(at[:-1][np.diff(at) > 0], np.flatnonzero(text == 10) + 1)
-        line = np.searchsorted(starts, words.starts, "right") - 1
-        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-        counts = np.diff(np.concatenate([first, [len(line)]]))
-        self.rows, line = words.rows[first], line[first]
-        self.at = line - np.searchsorted(starts, at[self.rows])
-        self.docs = docs[self.rows]
+        starts = line_starts(text, at)
+        begins = np.searchsorted(words.starts, np.concatenate([starts, [len(text)]]))
+        self.numbers = np.flatnonzero(np.diff(begins))
+        first, counts = begins[self.numbers], np.diff(begins)[self.numbers]
         self.hashes = words.hashes()
         place = (np.arange(len(self.hashes)) - np.repeat(first, counts)).astype(np.uint64)
         whole = np.add.reduceat(W.mix(self.hashes + place * _STEP), first) if len(first) else np.zeros(0, np.uint64)
-        self.keys, head, self.codes = np.unique(W.mix(whole + counts.astype(np.uint64)), return_index=True, return_inverse=True)
-        self.first, self.counts = first[head], counts[head]
-        self.uses = np.bincount(self.codes, minlength=len(self.keys))
+        self.keys, self.codes = np.unique(W.mix(whole + counts.astype(np.uint64)), return_inverse=True)
+        rows, line = line_places(self.numbers, starts, at)
+        order = np.lexsort((line, docs[rows], self.codes))
+        self.head = order[np.searchsorted(self.codes[order], np.arange(len(self.keys)))]
+        self.first, self.counts = first[self.head], counts[self.head]
 
     @cached_property
     def _upto(self) -> np.ndarray:
         """Characters of the words before each word."""
-        upto = np.concatenate([[0], np.cumsum((self.words.text & 0xC0) != 0x80, dtype=np.int32)])
-        return np.concatenate([[0], np.cumsum(upto[self.words.ends] - upto[self.words.starts])])
+        words = self.words
+        size = words.ends - words.starts
+        # bytes that go on with a character are always in words
+        inner = np.flatnonzero((words.text & 0xC0) == 0x80)
+        if len(inner):
+            size = size - np.bincount(np.searchsorted(words.starts, inner, "right") - 1, minlength=len(size))
+        return np.concatenate([[0], np.cumsum(size)])
 
     def sizes(self) -> np.ndarray:
         """Characters of each distinct line, with a space between words."""
@@ -123,6 +139,12 @@ class Lines:
                     code.append(mine)
                     block.append(W.mix(before[:, :k].sum(axis=1) + after[:, k + 1 :].sum(axis=1) + np.uint64(n - 1)))
                     place.append(np.zeros(len(mine), np.int64))
+        # a line may lose either of two equal words in a row
+        parts = [np.concatenate(x) for x in (code, block, place)]
+        order = np.lexsort((parts[0], parts[1]))
+        parts = [x[order] for x in parts]
+        new = np.concatenate([[True], (parts[0][1:] != parts[0][:-1]) | (parts[1][1:] != parts[1][:-1])]) if len(order) else np.zeros(0, bool)
+        code, block, place = ([x[new]] for x in parts)
         long = np.flatnonzero(~short)
         if len(long):
             n = self.counts[long] - RUN + 1
@@ -133,11 +155,15 @@ class Lines:
             few = hashed <= np.repeat(np.where(n > 3 * SAMPLED, most // n.astype(np.uint64) * np.uint64(3 * SAMPLED), most), n)
             # a line that says the same again and again has too few different runs for that
             few |= np.repeat(np.add.reduceat(few, np.cumsum(n) - n, dtype=np.int64) < SAMPLED, n)
-            owner, hashed, at = np.repeat(long, n)[few], hashed[few], at[few]
-            order = np.lexsort((at, hashed, owner))
-            owner, hashed, at = owner[order], hashed[order], at[order]
-            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])])
-            owner, hashed, at = owner[new], hashed[new], at[new]
+            owner, hashed, at = np.repeat(np.arange(len(long)), n)[few], hashed[few], at[few]
+            # one number to sort by: the line, then its run's hash as far as there is room
+            bits = max(1, len(long).bit_length())
+            by = (owner.astype(np.uint64) << np.uint64(64 - bits)) | (hashed >> np.uint64(bits))
+            order = np.argsort(by)
+            by = by[order]
+            new = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+            at = np.minimum.reduceat(at[order], new)
+            owner, hashed = long[owner[order[new]]], hashed[order[new]]
             sampled = np.arange(len(owner)) - np.searchsorted(owner, owner) < SAMPLED
             owner, hashed, at = owner[sampled], hashed[sampled], at[sampled]
             code.append(owner)
@@ -145,10 +171,8 @@ class Lines:
             of = self._upto
             place.append(of[at] - of[self.first[owner]] + at - self.first[owner])
         code, block, place = np.concatenate(code), np.concatenate(block), np.concatenate(place)
-        order = np.lexsort((place, code, block))
-        code, block, place = code[order], block[order], place[order]
-        new = np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])]) if len(code) else np.zeros(0, bool)
-        return code[new], block[new], place[new]
+        order = np.argsort(block)
+        return code[order], block[order], place[order]
 
     def simhashes(self) -> np.ndarray:
         return simhashes(self.hashes[_runs_of(self.first, self.counts)], self.counts) if len(self.keys) else np.zeros(0, np.uint64)
@@ -170,18 +194,43 @@ class Lines:
         return out
 
 
-#: What a slice files under a block: the SimHash, 32 bits of the line's key, its size and the characters before the block.
-_ENTRY = np.dtype([("block", "<u8"), ("simhash", "<u8"), ("line", "<u4"), ("size", "<u4"), ("place", "<u4")])
+#: What a slice files under a block: the SimHash, 32 bits of the line's key, its size, the characters before the block, and
+#: the line's number in the slice.
+_ENTRY = np.dtype([("block", "<u8"), ("simhash", "<u8"), ("line", "<u4"), ("size", "<u4"), ("place", "<u4"), ("number", "<u4")])
+#: What is answered of an entry with a partner.
+_NEAR = np.dtype([("block", "<u8"), ("place", "<u4"), ("number", "<u4")])
+#: An occurrence of a line that is in the slice before, and the number that stands for the line.
+_AGAIN = np.dtype([("number", "<u4"), ("of", "<u4")])
 
 
-def _entries(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
-    """The entries in order of block, and the code of each."""
+def _entries(lines: Lines) -> np.ndarray:
+    """The entries in order of block."""
     sizes = lines.sizes()
     code, block, place = lines.blocks(sizes)
     out = np.empty(len(code), _ENTRY)
     out["block"], out["simhash"], out["line"], out["size"] = block, lines.simhashes()[code], (lines.keys[code] >> np.uint64(32)).astype(np.uint32), sizes[code]
-    out["place"] = place
-    return out, code
+    out["place"], out["number"] = place, lines.numbers[lines.head][code]
+    return out
+
+
+def _again(lines: Lines) -> np.ndarray:
+    stands = lines.head[lines.codes]
+    other = np.flatnonzero(stands != np.arange(len(stands)))
+    out = np.empty(len(other), _AGAIN)
+    out["number"], out["of"] = lines.numbers[other], lines.numbers[stands[other]]
+    return out
+
+
+def _packed(*parts: np.ndarray) -> bytes:
+    return b"".join([np.array([len(p) for p in parts], np.int64).tobytes(), *(p.tobytes() for p in parts)])
+
+
+def _unpacked(data: bytes, *kinds) -> list[np.ndarray]:
+    at, out = 8 * len(kinds), []
+    for kind, n in zip(kinds, np.frombuffer(data, np.int64, len(kinds)).tolist()):
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
 
 
 def candidates(one, other, size_one, size_other, place_one, place_other) -> np.ndarray:
@@ -194,20 +243,36 @@ def candidates(one, other, size_one, size_other, place_one, place_other) -> np.n
 
 
 def _send(buckets: int):
+    """To each bucket a slice's entries; one of them also gets, and gives back, what is told of the slice by itself."""
+
     def run(batches):
         for piece in read_slices(batches):
-            entries, _ = _entries(Lines(piece.text, piece.at, piece.docs))
-            yield from sent(piece.id, bucket_counts(entries["block"], buckets), lambda a, b, e=entries: e[a:b].tobytes())
+            lines = Lines(piece.text, piece.at, piece.docs)
+            entries, again = _entries(lines), _again(lines)
+            counts = bucket_counts(entries["block"], buckets)
+            if len(entries):
+                held = np.flatnonzero(counts)
+                own = int(held[int(W.mix(np.array([piece.id], np.uint64))[0]) % len(held)])
+                upto = int(counts[:own].sum())
+                yield from sent(piece.id, counts, lambda a, b: _packed(again if a == upto else again[:0], entries[a:b]))
 
     return run
 
 
 def partners(payloads: list[bytes]) -> list[bytes]:
-    """Of each slice's entries, two bits each: whether another line of its block is a candidate, and whether the same line
-    is in another slice."""
-    parts = [np.frombuffer(p, _ENTRY) for p in payloads]
+    """Of each slice's entries, those with which another line of their block is a candidate, and the numbers of the lines
+    that are in another slice too."""
+    agains, parts = zip(*(_unpacked(p, _AGAIN, _ENTRY) for p in payloads))
     entries = np.concatenate(parts)
-    order = np.lexsort((entries["line"], entries["size"], entries["block"]))
+    block = entries["block"]
+    order = np.argsort(block)
+    block = block[order]
+    # most blocks have one line
+    met = np.zeros(len(order) + 1, bool)
+    met[1:-1] = block[1:] == block[:-1]
+    order = order[met[1:] | met[:-1]]
+    some = entries[order]
+    order = order[np.lexsort((some["line"], some["size"], some["block"]))]
     block, simhash, line, size, place = (entries[c][order] for c in ("block", "simhash", "line", "size", "place"))
     size, place = size.astype(np.int64), place.astype(np.int64)
     near, same = np.zeros(len(order), bool), np.zeros(len(order), bool)
@@ -226,42 +291,51 @@ def partners(payloads: list[bytes]) -> list[bytes]:
         for flag, which in ((near, hit), (same, equal)):
             flag[left[which]] = flag[other[which]] = True
         step += 1
-    out = np.empty((len(order), 2), bool)
-    out[order, 0], out[order, 1] = near, same
-    return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1])]
+    flags = np.zeros((len(entries), 2), bool)
+    flags[order, 0], flags[order, 1] = near, same
+    out, first = [], 0
+    for again, part in zip(agains, parts):
+        (near, same), first = flags[first : first + len(part)].T, first + len(part)
+        told = np.empty(int(near.sum()), _NEAR)
+        for c in _NEAR.names:
+            told[c] = part[c][near]
+        out.append(_packed(again, told, np.unique(part["number"][same])))
+    return out
 
 
-_MEETING = pa.schema([("slice_id", pa.int64()), ("id", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("uses", pa.int64()), ("simhash", pa.int64()), ("size", pa.int64()), ("blocks", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("plain", pa.string())])
-_MEETING_SQL = "slice_id long, id long, doc_id long, line long, uses long, simhash long, size long, blocks array<long>, places array<long>, plain string"
+_MEETING = pa.schema([("slice_id", pa.int64()), ("id", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("numbers", pa.list_(pa.int64())), ("simhash", pa.int64()), ("size", pa.int64()), ("blocks", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("plain", pa.string())])
+_MEETING_SQL = "slice_id long, id long, doc_id long, line long, numbers array<long>, simhash long, size long, blocks array<long>, places array<long>, plain string"
 
 
-def _meeting(buckets: int):
-    """The distinct lines of each slice that occur again or have a partner, with their first occurrence in it; those with
-    a partner with the blocks in which it is and their texts."""
+def _lists(owner: np.ndarray, of: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """The columns as lists, one for each of ``of``."""
+    order = np.argsort(owner, kind="stable")
+    offsets = pa.array(np.concatenate([np.searchsorted(owner[order], of), [len(owner)]]), pa.int32())
+    return [pa.ListArray.from_arrays(offsets, pa.array(x[order], pa.int64())) for x in columns]
 
-    def run(batches):
-        for piece in read_slices(batches):
-            lines = Lines(piece.text, piece.at, piece.docs)
-            entries, owner = _entries(lines)
-            bits = piece.bits(0, 2 * bucket_counts(entries["block"], buckets)).reshape(-1, 2)
-            near, again = np.zeros(len(lines.keys), bool), lines.uses > 1
-            near[owner[bits[:, 0]]] = True
-            again[owner[bits[:, 1]]] = True
-            code = np.flatnonzero(near | again)
-            order = np.lexsort((lines.at, lines.docs, lines.codes))
-            first = order[np.searchsorted(lines.codes[order], code)]
-            hit = bits[:, 0]
-            by_owner = np.argsort(owner[hit], kind="stable")
-            owners, blocks, places = owner[hit][by_owner], entries["block"][hit][by_owner].view(np.int64), entries["place"][hit][by_owner].astype(np.int64)
-            offsets = np.concatenate([np.searchsorted(owners, code), [len(owners)]]).astype(np.int32)
-            simhash, size = np.zeros(len(lines.keys), np.uint64), np.zeros(len(lines.keys), np.int64)
-            simhash[owner], size[owner] = entries["simhash"], entries["size"]
-            texts = np.full(len(code), None, object)
-            texts[near[code]] = lines.texts(code[near[code]])
-            columns = (np.full(len(code), piece.id), lines.keys[code].view(np.int64), lines.docs[first], lines.at[first], lines.uses[code], simhash[code].view(np.int64), size[code])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _MEETING)), *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (blocks, places)), pa.array(texts, pa.string())], schema=_MEETING)
 
-    return run
+def _meeting(batches):
+    """The distinct lines of each slice that occur again or have a partner, with their first occurrence in it and all their
+    numbers; those with a partner with the blocks in which it is and their texts."""
+    for piece in read_slices(batches):
+        replies = [_unpacked(r, _AGAIN, _NEAR, "<u4") for r in piece.answers(0)]
+        if not replies:
+            continue
+        again, near, same = (np.concatenate(x) for x in zip(*replies))
+        number = np.unique(np.concatenate([again["of"], near["number"], same])).astype(np.int64)
+        # nothing but these lines is worked out again, each as a text of its own
+        starts = line_starts(piece.text, piece.at)
+        begin = starts[number]
+        size = np.concatenate([starts, [len(piece.text)]])[number + 1] - begin
+        rows, line = line_places(number, starts, piece.at)
+        lines = Lines(piece.text[_runs_of(begin, size)], np.concatenate([[0], np.cumsum(size)]), piece.docs[rows])
+        code, is_near = lines.codes, np.isin(number, near["number"])
+        texts = np.full(len(number), None, object)
+        texts[is_near] = lines.texts(code[is_near])
+        (numbers,) = _lists(np.concatenate([number, again["of"]]), number, np.concatenate([number, again["number"]]))
+        blocks, places = _lists(near["number"], number, near["block"].view(np.int64), near["place"])
+        columns = (np.full(len(number), piece.id), lines.keys[code].view(np.int64), piece.docs[rows], line, numbers, lines.simhashes()[code].view(np.int64), lines.sizes()[code], blocks, places)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(columns, _MEETING)), pa.array(texts, pa.string())], schema=_MEETING)
 
 
 def _sided(df: DataFrame, side: str, *columns: str) -> DataFrame:
@@ -614,23 +688,16 @@ def _groups(lines: DataFrame, scope: Scope) -> DataFrame:
     return components(links.unionByName(scope.store(_compared(apart, texts, scope), "line-links")), scope=scope)
 
 
-def _packed(table: pa.Table) -> pa.Table:
-    reply = np.concatenate([table.column(c).to_numpy().astype(np.int64) for c in ("id", "keep_doc", "keep_line")]).tobytes()
-    return pa.table({"slice_id": table.column("slice_id")[:1], "bucket": pa.array([0], pa.int32()), "reply": pa.array([reply], pa.binary())})
-
-
 def _rewrite(out: pa.Schema, report: bool):
     def run(batches):
-        for piece in read_slices(batches):
-            lines = Lines(piece.text, piece.at, piece.docs)
-            key, doc, line = np.frombuffer(piece.answer(1, 0), np.int64).reshape(3, -1)
-            code = np.searchsorted(lines.keys, key.view(np.uint64))
-            keep_doc, keep_line = np.full(len(lines.keys), -1), np.full(len(lines.keys), -1)
-            grouped = np.zeros(len(lines.keys), bool)
-            grouped[code], keep_doc[code], keep_line[code] = True, doc, line
-            gone = grouped[lines.codes] & ((lines.docs != keep_doc[lines.codes]) | (lines.at != keep_line[lines.codes]))
+        for piece, told in read_slices(batches, with_more=True):
+            numbers = told.field("numbers")
+            n = numbers.value_lengths().to_numpy()
+            number, keep_doc, keep_line = numbers.flatten().to_numpy(), *(np.repeat(told.field(c).to_numpy(), n) for c in ("keep_doc", "keep_line"))
+            rows, lines = line_places(number, line_starts(piece.text, piece.at), piece.at)
+            gone = (piece.docs[rows] != keep_doc) | (lines != keep_line)
             dropped: dict[int, set] = {}
-            for row, k in zip(lines.rows[gone].tolist(), lines.at[gone].tolist()):
+            for row, k in zip(rows[gone].tolist(), lines[gone].tolist()):
                 dropped.setdefault(row, set()).add(k)
             raw, texts, counts, removed = piece.text.tobytes(), [], [], []
             for row, (a, b) in enumerate(zip(piece.at[:-1].tolist(), piece.at[1:].tolist())):
@@ -654,29 +721,29 @@ def _rewrite(out: pa.Schema, report: bool):
 _REPORT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _searched(docs: DataFrame, scope: Scope, keep_columns: bool) -> SliceTable:
+def _searched(docs: DataFrame, scope: Scope, keep_columns: bool) -> DataFrame:
+    """The slices, each with the lines of it that are in a group and what the group keeps."""
     table = SliceTable(docs, scope, keep_columns)
     table.ask(0, _send(table.buckets), partners, "line-partners")
-    met = scope.store(table.rows().mapInArrow(_meeting(table.buckets), _MEETING_SQL), "line-meeting")
+    met = scope.store(table.rows().mapInArrow(_meeting, _MEETING_SQL), "line-meeting")
     first = (F.any_value(c, F.lit(True)).alias(c) for c in ("simhash", "size", "blocks", "places", "plain"))
-    lines = scope.store(met.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.sum("uses").alias("uses"), *first), "line-distinct")
+    lines = scope.store(met.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.sum(F.size("numbers")).alias("uses"), *first), "line-distinct")
     labels = _groups(lines, scope)
     grouped = lines.select("id", "at", "uses").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     keepers = grouped.groupBy("label").agg(F.min("at").alias("keep"), F.sum("uses").alias("all")).where("all > 1").select("label", "keep")
     keep = scope.store(grouped.select("id", "label").join(keepers, "label").select("id", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line")), "line-keep")
-    told = met.select("slice_id", "id").join(keep, "id").select("slice_id", "id", "keep_doc", "keep_line")
-    table.add(1, told.groupBy("slice_id").applyInArrow(_packed, "slice_id long, bucket int, reply binary"))
-    return table
+    told = met.select("slice_id", "id", "numbers").join(keep, "id").groupBy("slice_id").agg(F.collect_list(F.struct("numbers", "keep_doc", "keep_line")).alias("told"))
+    return table.df.join(told, "slice_id", "left")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_lines, n_removed, kept_sha256 of what is left."""
     with Scope(docs.sparkSession) as scope:
-        rows = _searched(docs, scope, False).rows()
+        rows = _searched(docs, scope, False)
         return scope.result(rows.mapInArrow(_rewrite(_REPORT, True), "doc_id long, n_lines long, n_removed long, kept_sha256 string"), "line-report")
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """The documents with the repeated lines taken out of ``text``; all other columns as they are."""
     with Scope(docs.sparkSession) as scope:
-        return scope.result(_searched(docs, scope, True).rows().mapInArrow(_rewrite(None, False), docs.schema), "line-removed")
+        return scope.result(_searched(docs, scope, True).mapInArrow(_rewrite(None, False), docs.schema), "line-removed")

@@ -77,6 +77,10 @@ class Slice:
     def answer(self, level: int, bucket: int) -> bytes:
         return self._answers.get((level, bucket), b"")
 
+    def answers(self, level: int) -> list[bytes]:
+        """All answers of a level."""
+        return [reply for (of, _), reply in self._answers.items() if of == level]
+
     def rest(self) -> pa.Table:
         """The other columns of its rows."""
         return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self._rest)).read_all()
@@ -87,12 +91,14 @@ class Slice:
         return np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
 
 
-def read_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+def read_slices(batches: Iterator[pa.RecordBatch], with_more: bool = False) -> Iterator:
+    """The slices of a slice table with their answers; ``with_more``: each with the list that stands in place of answers."""
     for batch in batches:
         answers = batch.column(6) if batch.num_columns > 6 else None
         for k in range(batch.num_rows):
             ids, (offsets, text, rest) = batch.column(1)[k].values, (batch.column(c)[k].as_py() for c in (2, 3, 4))
-            yield Slice(batch.column(0)[k].as_py(), ids, offsets, text, rest, answers[k].as_py() if answers is not None else None)
+            piece = Slice(batch.column(0)[k].as_py(), ids, offsets, text, rest, answers[k].as_py() if answers is not None and not with_more else None)
+            yield (piece, answers.slice(k, 1).flatten()) if with_more else piece
 
 
 def bucket_counts(keys: np.ndarray, buckets: int) -> np.ndarray:
