@@ -9,6 +9,8 @@ import pytest
 import zstandard
 from textloom.llm import line_dedup
 from textloom.llm import words as W
+from textloom.llm.shared import Scope
+from textloom.llm.slices import SliceTable, read_slices
 
 from .helpers import documents, odd_texts
 from .test_minhash_decontam import roots
@@ -183,8 +185,9 @@ def test_pairs_compared_together_are_within_as_pair_by_pair():
     assert 300 < sum(want) < 1300 and line_dedup.all_within(ones, others).tolist() == want
 
 
-def test_lines_are_worked_out_once(monkeypatch):
-    """Of lines without a partner nothing comes back, those with one are the only ones worked out again."""
+def test_lines_are_worked_out_once_and_texts_kept_once(spark, monkeypatch):
+    """Of lines without a partner nothing comes back, those with one are the only ones worked out again, and the other
+    columns of a slice don't hold the text a second time."""
     text = "\n".join(f"line {k} of words {k * 7} nobody {k * k} else {k + 5} has {k * 13} here {k}" for k in range(200))
     texts = [text, "one line that is met again by a near one here\nx y", "one line that is met again by a near one hera\nx y"]
     at = np.cumsum([0, *(len(t) for t in texts)])
@@ -199,3 +202,7 @@ def test_lines_are_worked_out_once(monkeypatch):
     table = pa.table({"slice_id": [0], "doc_ids": [[3, 2, 1]], "offsets": [at.astype(np.int64).tobytes()], "text": [zstandard.compress("".join(texts).encode())], "rest": pa.array([None], pa.binary()), "size": [int(at[-1])], "answers": [[{"level": 0, "bucket": 0, "reply": reply}]]})
     (met,) = line_dedup._meeting(table.to_batches())
     assert sum(seen) < 200 and sorted(met.column("numbers").to_pylist()) == [[200], [202], [203, 201]]
+
+    with Scope(spark) as scope:
+        rest = [s.rest() for s in read_slices(SliceTable(documents(spark, ["some text", None, ""]), scope, True).df.toArrow().to_batches())]
+    assert sorted("null" if t is None else t for r in rest for t in r.column("text").to_pylist()) == ["", "", "null"]

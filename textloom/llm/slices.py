@@ -82,7 +82,7 @@ class Slice:
         return [reply for (of, _), reply in self._answers.items() if of == level]
 
     def rest(self) -> pa.Table:
-        """The other columns of its rows."""
+        """The other columns of its rows, and ``text`` as an empty string or null."""
         return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self._rest)).read_all()
 
     def bits(self, level: int, counts: np.ndarray) -> np.ndarray:
@@ -122,7 +122,9 @@ class SliceTable:
     def __init__(self, docs: DataFrame, scope: Scope, keep_columns: bool = False):
         self.spark, self.scope = docs.sparkSession, scope
         named = [F.col("doc_id").cast("long").alias(free_name(docs, "slice_doc_id")), F.col("text").cast("string").alias(free_name(docs, "slice_text"))]
-        texts = docs.select(*named, *(docs.columns if keep_columns else []))
+        # of the text itself nothing is kept twice, but whether it is null
+        kept = [F.left(c, F.lit(0)).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns] if keep_columns else []
+        texts = docs.select(*named, *kept)
         # a bucketed table: the slices are dealt by slice_id once, and the joins with their answers move answers alone
         parts, name, folder = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"slices_{uuid.uuid4().hex}", new_folder(self.spark, "slices")
         scope.holds(path=folder, table=name)

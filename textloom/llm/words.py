@@ -23,7 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +72,12 @@ class Words:
         self.ends = np.flatnonzero(edge) + 1
         self.first = np.searchsorted(self.starts, at)
         self.counts = np.diff(self.first)
-        self.rows = np.repeat(np.arange(len(at) - 1), self.counts)
         self.text, self._inside = text, inside
 
+    @cached_property
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
     @cached_property
     def _encoded(self) -> pa.DictionaryArray:
         offsets = np.zeros(len(self.starts) + 1, np.int32)
