@@ -187,6 +187,30 @@ def test_titles_too_close(spark):
     assert [r.too_close for r in got] == [c[2] for c in cases]
 
 
+def test_bodies_that_share_a_whole_sentence_are_settled_without_matching(spark):
+    """A sentence taken as it is settles its row: nothing is joined, shuffled or sent to Python for it."""
+    held = "The ministry launched a rescue operation off the coast."
+    table = spark.createDataFrame([(k, f"Help came. {held} More {k}.", f"{held} Nine vessels were sent on Friday night.") for k in range(5)] + [(None, held, held), (9, "Short one.", "Short one."), (10, held.upper(), held)], "k int, body string, src string")
+    out = C.bodies_too_close(table, "k", "body", "src")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert [r.too_close for r in out.collect()] == [True] * 8
+    assert out.columns == ["k", "body", "src", "too_close"]
+
+
+def test_sentences_are_matched_where_a_bound_leaves_them_open(spark):
+    rng = random.Random(7)
+    def spoiled(s):
+        return "".join(rng.choice("abcdefghij ") if rng.random() < 0.1 else c for c in s)
+    rows = []
+    for k in range(60):
+        source = [rng.choice(PARTS) + "." for _ in range(4)]
+        rows.append((k, [spoiled(s) for s in rng.sample(source, 2)] + [None], source + [None]))
+    got = C.sentence_matches(spark.createDataFrame(rows, "k int, a array<string>, b array<string>"), "a", "b").orderBy("k").collect()
+    want = [any(len(s) >= 40 and SequenceMatcher(None, s, t).ratio() >= 0.86 for s in a if s for t in b if t) for _, a, b in rows]
+    assert [r.lifted for r in got] == want and 0 < sum(want) < len(want)
+
+
 def test_bodies_too_close(spark):
     source = "The ministry launched a rescue operation off the coast. Nine vessels were sent on Friday night. The crew was brought home."
     cases = [

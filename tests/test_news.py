@@ -1,9 +1,11 @@
 """Desk, sentence, link, image and ranking rules on worked cases, with nulls and empty values."""
 
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from textloom.functions import desk_lexicons as D
 from textloom.operators import desk as K
 from textloom.operators import images as I
 from textloom.operators import links as H
@@ -39,6 +41,24 @@ def test_prose(spark):
     assert [r.k for r in tags] == [["A", "b"], ["news"], ["news"]]
 
 
+def test_prose_is_what_all_patterns_leave(spark):
+    ends = ["- Ends here", " -ENDS", "Published by: A", "published ON : now", "Also\t Read | more", "story continues  below this ad x", "ADVERTISEMENT", "Read more at toi x", "forthcoming stories", "Subscribe to India Today", "Get latest news on x", "watch live", "Follow  us on x", "Weekends here", "also ready"]
+    marks = ["<b>x</b>", "<script a>v < 1;</script>", "(function (a) { b } ) (c);", "x.createElement('a');", "e.appendChild", "window.a = 1;", "d.head.b;", "v.location.c", "'//cdn.a.com/b.js'", "a // b", "1 < 2", "document .x"]
+    texts = [f"Rain fell. {m} Sun\n shone. {e}" for e in ["", *ends] for m in ["", *marks]]
+
+    def plain(text):
+        squeeze = lambda x: re.sub(r"[ \t\n\x0B\f\r]+", " ", x).strip(" ")
+        out = squeeze(text)
+        for p in D.TAILS:
+            out = re.sub("(?is)" + p, "", out).strip(" ")
+        for p in D.SCRIPTS:
+            out = re.sub(p, " ", out)
+        return squeeze(out)
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, b string").select("k", Z.clean_body("b").alias("c")).orderBy("k").collect()
+    assert [r.c for r in rows] == [plain(t) for t in texts]
+
+
 def test_links(spark):
     html = '<a href="/world/2023/may/3/a"><a href="/world/2024/jan/13/b"><a href="/world/2024/jan/2/c"><a href="/world/2024/jan/13/b">' + "<a href='/india-news/x-123456'><a href='/india-news/y-123456?ref=/video&amp;a=&quot;'><a href='/video/z-123456'>"
     got = {}
