@@ -340,3 +340,15 @@ def test_sentences_are_graded_once_and_rows_of_arrays_are_whole(spark):
     assert plan.count("broader tensions") == 1
     rows = spark.createDataFrame([(1, ["a", None, "b"]), (2, []), (3, None)], "k long, v array<string>")
     assert [tuple(r) for r in X.exploded(rows, "v", "pos", "s", keep="k").orderBy("pos").collect()] == [(1, 0, "a"), (1, 1, None), (1, 2, "b")]
+
+
+def test_only_sentences_whose_turn_comes_are_compared(monkeypatch):
+    """Of many sentences that tell different things the best are taken, and the others aren't held against each other."""
+    rng, compared = random.Random(1), []
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(9)).capitalize() + "." for _ in range(60)]
+    rows = [{"text": s, "words": tokens(s), "base": k % 17, "overlap": 0, "number": False, "acts": False, "matters": False, "weak": False, "named": False} for k, s in enumerate(texts)]
+    name = "like" if hasattr(S.Pick, "like") else "_like"
+    held = getattr(S.Pick, name)
+    monkeypatch.setattr(S.Pick, name, lambda *a: compared.append(1) or held(*a))
+    assert len(S.chosen(rows, "A title")) == 4
+    assert len(compared) < 400
