@@ -206,3 +206,23 @@ def test_lines_are_worked_out_once_and_texts_kept_once(spark, monkeypatch):
     with Scope(spark) as scope:
         rest = [s.rest() for s in read_slices(SliceTable(documents(spark, ["some text", None, ""]), scope, True).df.toArrow().to_batches())]
     assert sorted("null" if t is None else t for r in rest for t in r.column("text").to_pylist()) == ["", "", "null"]
+
+
+def test_pairs_that_cannot_keep_their_limit_are_left_out(monkeypatch):
+    """Of texts that part early nothing is filled in to the end, and what is told of any pair stays the same."""
+    rng = random.Random(4)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    ones, others = [], []
+    for k in range(300):
+        one = line(rng.randint(1, 900))
+        spoiled = "".join(rng.choice(("", c, c + "x", "y")) if rng.random() < rng.choice((0.02, 0.1, 0.15, 0.3)) else c for c in one)
+        ones.append(one)
+        others.append(rng.choice((spoiled, line(len(one)), one[40:] + one[:40])))
+    limits = np.array([line_dedup.EDIT_PERCENT * max(len(a), len(b)) // 100 for a, b in zip(ones, others)])
+    want = [line_dedup.edits(a, b) <= n for a, b, n in zip(ones, others, limits.tolist())]
+    assert line_dedup._banded(ones, others, limits).tolist() == want and 0 < sum(want) < 300
+    # two long texts without a letter in common are told by the first look
+    looks, minimum = [], np.minimum
+    monkeypatch.setattr(line_dedup.np, "minimum", lambda *a, **k: looks.append(1) or minimum(*a, **k))
+    assert not line_dedup._banded(["a" * 1000] * 8, ["b" * 1000] * 8, np.full(8, 100)).any()
+    assert len(looks) < 1500

@@ -454,6 +454,8 @@ def within(one: str, other: str) -> bool:
 #: Pairs of which a table of distances is filled in at once, the fewest for which that pays, and the characters of a line
 #: from which on one pair is told alone (limits stay in a byte).
 ABREAST, FEW, ALONE = 256, 6, 2500
+#: Steps of that table after which it is looked which pairs can still keep their limits.
+LOOK_ABREAST = 64
 
 
 def _laid(texts: list[str], sizes: np.ndarray, before: int, length: int, filler: int) -> np.ndarray:
@@ -466,7 +468,10 @@ def _laid(texts: list[str], sizes: np.ndarray, before: int, length: int, filler:
 
 def _banded(ones: list[str], others: list[str], limits: np.ndarray) -> np.ndarray:
     """Whether each two texts are within their limit: Levenshtein's table for all pairs together, one diagonal across the
-    matches after another, only as far from the main diagonal as the largest limit. Texts are shorter than ``ALONE``."""
+    matches after another, only as far from the main diagonal as the largest limit. Texts are shorter than ``ALONE``.
+
+    Distances never shrink on the way, and from a diagonal to that of the end it takes an edit a step: pairs that can't
+    keep their limit any more are left out of the rest."""
     sizes, other_sizes = (np.array([len(x) for x in texts]) for texts in (ones, others))
     far, cap = int(limits.max()) + 1 & ~1, np.uint8(253)
     ends = sizes + other_sizes
@@ -478,10 +483,14 @@ def _banded(ones: list[str], others: list[str], limits: np.ndarray) -> np.ndarra
     even, odd = np.full((far + 1, len(ones)), cap), np.full((far + 2, len(ones)), cap)
     even[far // 2] = 0
     beside, differs = np.empty((far + 1, len(ones)), np.uint8), np.empty((far + 1, len(ones)), bool)
-    out, order = np.zeros(len(ones), bool), np.argsort(ends, kind="stable")
+    off, off_even, off_odd = (x.astype(np.int16) for x in (sizes - other_sizes, np.arange(-far, far + 1, 2)[:, None], np.arange(1 - far, far, 2)[:, None]))
+    out, which = np.zeros(len(ones), bool), np.arange(len(ones))
+    order = np.argsort(ends, kind="stable")
     upto = np.searchsorted(ends[order], np.arange(last + 2))
     out[order[: upto[1]]] = True
-    for step in range(1, last + 1):
+    step = 0
+    while step < last:
+        step += 1
         mine, other, low = (even, odd, -far) if step % 2 == 0 else (odd[1:-1], even, 1 - far)
         n, at, back = len(mine), (step + low) // 2 - 1 + far, len(b) - 1 - ((step - low) // 2 - 1 + far)
         np.not_equal(a[at : at + n], b[back : back + n], out=differs[:n])
@@ -492,9 +501,20 @@ def _banded(ones: list[str], others: list[str], limits: np.ndarray) -> np.ndarra
         np.minimum(mine, beside[:n], out=mine)
         done = order[upto[step] : upto[step + 1]]
         if len(done):
-            off = sizes[done] - other_sizes[done]
-            done, off = done[np.abs(off) <= far], off[np.abs(off) <= far]
-            out[done] = (even[(off + far) // 2, done] if step % 2 == 0 else odd[(off + far + 1) // 2, done]) <= limits[done]
+            done = done[np.abs(off[done]) <= far]
+            out[which[done]] = (even[(off[done] + far) // 2, done] if step % 2 == 0 else odd[(off[done] + far + 1) // 2, done]) <= limits[done]
+        if step % LOOK_ABREAST == 0:
+            # a way to the end passes this diagonal across the matches or the last one
+            least = np.minimum((even + np.abs(off_even - off)).min(axis=0), (odd[1:-1] + np.abs(off_odd - off)).min(axis=0))
+            open_ = np.flatnonzero((least <= limits) & (ends > step))
+            if not len(open_):
+                break
+            if 4 * len(open_) <= 3 * len(which):
+                which, off, ends, limits = which[open_], off[open_], ends[open_], limits[open_]
+                a, b, even, odd = (np.ascontiguousarray(x[:, open_]) for x in (a, b, even, odd))
+                beside, differs = np.empty(even.shape, np.uint8), np.empty(even.shape, bool)
+                order, last = np.argsort(ends, kind="stable"), int(ends.max())
+                upto = np.searchsorted(ends[order], np.arange(last + 2))
     return out
 
 
